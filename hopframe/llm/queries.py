@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+import functools
+
+from . import common, jaccard, packing, token_files
+
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_token_files": token_files.op3_token_files,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
+}
 
 
 def queries() -> dict:
-    return {
-        "op1_packing": packing.op1_packing,
-        "op3_token_files": token_files.op3_token_files,
-    }
+    def ready(query):
+        @functools.wraps(query)
+        def run(spark, sf_dir):
+            common.make_importable(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: ready(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
