@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from . import common, jaccard, packing, token_files
+from . import common, jaccard, packing, substrings, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op7_suffix_dedup": substrings.op7_suffix_dedup,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
