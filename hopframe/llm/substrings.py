@@ -8,8 +8,8 @@ least hash of the TRIGGER-byte strings in it; windows in a row with the same tri
 `length` - 1 bytes of look-ahead, so that phrases overlap and every window lies whole in one phrase. Equal
 windows have equal triggers, whatever surrounds them.
 
-1. A phrase whose trigger occurs once in the corpus holds no repeated window, unless it has more windows than
-   one occurrence of the trigger can serve: then the trigger recurs inside, and the phrase goes to step 3.
+1. A phrase whose trigger occurs in no other holds no repeated window, unless the trigger recurs inside; then
+   the phrase goes to step 3.
 2. The dictionary holds distinct phrases. One that occurs twice is repeated as a whole, window by window.
 3. Different phrases of one trigger meet in one task, one occurrence of each. There `repeated_windows`
    parses them again with short phrases, sorts the suffixes of that dictionary and of that parse, and
@@ -35,7 +35,8 @@ from . import common
 
 TRIGGER = 64
 HOT_BYTES = 8 << 20
-WINDOWS = 1 << 20  # worked on at a time
+WINDOWS = 1 << 20  # worked on at a time; with what they span, places fit in PLACE_BITS
+PLACE_BITS = 21
 SHORT_TRIGGER, SHORT_MODULUS = 16, 32  # of the parse inside a task
 CHUNK = 2 << 20
 
@@ -51,7 +52,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, windows: int = WINDOWS):
-    """Runs of windows with one trigger: (trigger, phrase hash, row, first byte in the text, windows)."""
+    """Runs of windows with one trigger: (trigger, phrase hash, row, first byte in the text, windows, and whether
+    the trigger's first place in the window changes along the run; only then can windows of a run be equal)."""
     n = len(data) - length + 1
     sizes = np.diff(offsets)
     for p in range(0, max(n, 0), windows):
@@ -60,7 +62,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, windows: int = W
         c = common.prefix_hash(own)
         _, down = common.powers(len(own) + 1)
         m = len(own) - TRIGGER + 1
-        trigger = sliding_min(common.mix((c[TRIGGER:] - c[:m]) * down[:m]), length - TRIGGER + 1)
+        hashes = common.mix((c[TRIGGER:] - c[:m]) * down[:m])
+        place = np.uint64((1 << PLACE_BITS) - 1)
+        first_least = sliding_min((hashes & ~place) | np.arange(m, dtype=np.uint64), length - TRIGGER + 1) & place
+        trigger = hashes[first_least.astype(np.int64)]
         first, last = np.searchsorted(offsets, p, "right") - 1, np.searchsorted(offsets, q, "left")
         rows = np.arange(first, last)[sizes[first:last] >= length]
         valid = np.zeros(q - p + 1, np.int32)
@@ -76,7 +81,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, windows: int = W
         to = x2 + length - 1
         phrase = common.mix((c[to] - c[x1]) * down[x1] + (to - x1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         row = np.searchsorted(offsets, x1 + p, "right") - 1
-        yield trigger[x1], phrase, row, x1 + p - offsets[row], x2 - x1
+        yield trigger[x1], phrase, row, x1 + p - offsets[row], x2 - x1, first_least[x1] != first_least[x2 - 1]
 
 
 def _ranks(symbols: np.ndarray, group_end: np.ndarray, reach: int) -> np.ndarray:
@@ -157,10 +162,10 @@ def _all_phrases(source: DataFrame, length: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for part in common.slices(batch, "text"):
                 ids = part.column(0).to_numpy()
-                for trigger, phrase, row, at, n in phrases(*common.text_buffers(part.column(1)), length):
-                    yield pa.RecordBatch.from_pydict({"trigger": common.signed(trigger), "phrase": common.signed(phrase), "row_id": ids[row], "at": at.astype(np.int64), "windows": n.astype(np.int32)})
+                for trigger, phrase, row, at, n, inside in phrases(*common.text_buffers(part.column(1)), length):
+                    yield pa.RecordBatch.from_pydict({"trigger": common.signed(trigger), "phrase": common.signed(phrase), "row_id": ids[row], "at": at.astype(np.int64), "windows": n.astype(np.int32), "inside": pa.array(inside)})
 
-    return common.stage(source.mapInArrow(rows, "trigger long, phrase long, row_id long, at long, windows int"), "phrases")
+    return common.stage(source.mapInArrow(rows, "trigger long, phrase long, row_id long, at long, windows int, inside boolean"), "phrases")
 
 
 def _bytes_of(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -255,8 +260,8 @@ def _count_windows(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(source: DataFrame, length: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Runs of repeated windows (row_id, at, windows) of source (row_id, text)."""
     every = _all_phrases(source, length)
-    again = every.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"), F.max("windows").alias("most"))
-    again = again.where((F.col("n") > 1) | (F.col("most") > length - TRIGGER + 1)).select("trigger", ((F.col("lo") != F.col("hi")) | (F.col("n") == 1)).alias("mixed"))
+    again = every.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"), F.max("inside").alias("inside"))
+    again = again.where((F.col("n") > 1) | F.col("inside")).select("trigger", ((F.col("lo") != F.col("hi")) | (F.col("n") == 1)).alias("mixed"))
     shared = common.stage(every.join(again, "trigger"), "shared")
     mixed = shared.where("mixed")
     distinct = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at", "windows")).alias("one"))
