@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from . import common, jaccard, language, lm, packing, substrings, token_files
+from . import ann, common, jaccard, language, lm, packing, substrings, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op5_nearest": ann.op5_nearest,
     "op6_language_id": language.op6_language_id,
     "op7_suffix_dedup": substrings.op7_suffix_dedup,
     "op8_lm_score": lm.op8_lm_score,
