@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import functools
 
-from . import ann, common, jaccard, language, lm, packing, substrings, token_files
+from . import ann, common, jaccard, language, lm, packing, resample, shards, substrings, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op4_sharding": shards.op4_sharding,
     "op5_nearest": ann.op5_nearest,
     "op6_language_id": language.op6_language_id,
     "op7_suffix_dedup": substrings.op7_suffix_dedup,
     "op8_lm_score": lm.op8_lm_score,
+    "op9_resample": resample.op9_resample,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
@@ -30,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": shards.OP4_SQL}
