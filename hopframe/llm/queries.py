@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from . import ann, common, jaccard, language, lm, packing, resample, shards, substrings, token_files
+from . import ann, common, decontaminate, jaccard, language, lm, packing, resample, shards, substrings, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_files": token_files.op3_token_files,
     "op4_sharding": shards.op4_sharding,
     "op5_nearest": ann.op5_nearest,

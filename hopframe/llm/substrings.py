@@ -277,11 +277,13 @@ def repeated_spans(source: DataFrame, length: int, hot_bytes: int = HOT_BYTES) -
     return common.stage(whole.select("row_id", "at", F.col("windows").cast("long").alias("windows")).union(spans), "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, spans (removed runs: first byte and end, in the input) and row_id.
+def remove_repeats(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, n_removed, spans (removed runs: first byte and end, in the input), row_id and
+    the columns in `keep`.
 
     The rows are those of docs, in its scan partitions."""
-    source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    kept_columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[3:]]
     path = common.side_table(repeated_spans(source.select("row_id", "text"), length, hot_bytes), "removed")
 
     def rows(batches):
@@ -317,11 +319,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTE
                 per_row = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=part.num_rows))))
                 spans = pa.StructArray.from_arrays([pa.array(begin - offsets[own]), pa.array(end - offsets[own])], fields=[span.field(0), span.field(1)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(before.astype(np.int32)), pa.py_buffer(kept)]), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(before)), pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), spans)],
-                    names=["row_id", "doc_id", "kept", "n_bytes", "n_removed", "spans"],
+                    [part.column(0), part.column(1), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(before.astype(np.int32)), pa.py_buffer(kept)]), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(before)), pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), spans), *part.columns[3:]],
+                    names=["row_id", "doc_id", "kept", "n_bytes", "n_removed", "spans", *part.schema.names[3:]],
                 )
 
-    return source.mapInArrow(rows, "row_id long, doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>")
+    schema = ["row_id long, doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>", *kept_columns]
+    return source.mapInArrow(rows, ", ".join(schema))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
