@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T  # types, not strings: workers import this module without a session
 
 MAX_NODES = 16
 SEARCH_LIMIT = 20_000  # partial assignments looked at before the best one so far is returned
@@ -104,13 +105,13 @@ def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES) -> tuple
     return edit_distance(a, b) / size, None
 
 
-@F.pandas_udf("ged double, ged_fallback string")
+@F.pandas_udf(T.StructType([T.StructField("ged", T.DoubleType()), T.StructField("ged_fallback", T.StringType())]))
 def ged(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Of two columns of break_steps arrays."""
     return pd.DataFrame([normalized(list(p), list(g)) for p, g in zip(pred, gold)], columns=["ged", "ged_fallback"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 - label_distance(x, y) for x, y in zip(a, b)])
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import text as T
 
@@ -81,20 +83,24 @@ def score_answer(pred: Column, golds: Column) -> Column:
     return F.struct(best(answer_exact).alias("exact"), best(answer_f1).alias("f1"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table per item of a, folded over b.
-
-    A row is an array of size(b) + 1; the fold carries the row being built, whose last item is its left neighbour."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            up, left, corner = F.get(prev, j), F.element_at(cur, -1), F.get(prev, j - 1)
-            return F.concat(cur, F.array(F.when(F.get(b, j - 1) == x, corner + 1).otherwise(F.greatest(up, left))))
-
-        return F.aggregate(indexes(F.size(b)), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, zero, row), -1)
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two token lists. Higher-order functions can say it, but they are
+    interpreted cell by cell; here a row of the table is one integer, whose bits are updated at once."""
+
+    def one(x, y) -> int:
+        places: dict = {}
+        for i, t in enumerate(x):
+            places[t] = places.get(t, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        row = full
+        for t in y:
+            if m := places.get(t):
+                u = row & m
+                row = ((row + u) | (row - u)) & full
+        return len(x) - row.bit_count()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def rouge_l(pred: Column, gold: Column) -> Column:

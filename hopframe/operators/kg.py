@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
 
     Every round joins all plans' k-th steps to the edges at once. Steps' results are distinct; the last step's are the
     answers. An entity that isn't in the graph, or a reference to a step that isn't before, fails the plan."""
-    edges = triples.select("src", "rel", "dst").distinct()
+    edges = triples.select("src", "rel", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     steps = plans.select("item_id", F.size("ops").alias("n_steps"), F.posexplode("ops").alias("pos", "o"))
     steps = steps.select("item_id", "n_steps", (F.col("pos") + 1).alias("step"), "o.op", "o.relation", "o.entity", "o.ref_step")
     last = max_steps or (steps.agg(F.max("step")).first()[0] or 0)
@@ -48,7 +49,7 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
     loose = seen.where(F.col("entity").isNull() & (F.col("ref_step").isNull() | (F.col("ref_step") < 1) | (F.col("ref_step") >= F.col("step")))).select("item_id", "step", F.lit("bad_reference_or_plan").alias("reason"))
     empty = plans.where(F.coalesce(F.size("ops"), F.lit(0)) < 1).select("item_id", F.lit(1).alias("step"), F.lit("bad_reference_or_plan").alias("reason"))
     failed = unknown.unionByName(loose).unionByName(empty).groupBy("item_id").agg(F.min_by("reason", "step").alias("reason"))
-    sound = steps.join(failed.select("item_id"), "item_id", "left_anti")
+    sound = steps.join(failed.select("item_id"), "item_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
 
     done: list[DataFrame] = []
     for k in range(1, last + 1):
@@ -61,7 +62,7 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
             frontier = given.unionByName(refs.join(earlier, ["item_id", "ref_step"]).drop("ref_step"))
         ahead = frontier.where(F.col("op").isin(FORWARD, PROJECT)).join(edges, (F.col("value") == F.col("src")) & (F.col("relation") == F.col("rel"))).select("item_id", "n_steps", "step", F.col("dst").alias("value"))
         back = frontier.where(F.col("op") == REVERSE).join(edges, (F.col("value") == F.col("dst")) & (F.col("relation") == F.col("rel"))).select("item_id", "n_steps", "step", F.col("src").alias("value"))
-        done.append(ahead.unionByName(back).distinct())
+        done.append(ahead.unionByName(back).distinct().persist(StorageLevel.MEMORY_AND_DISK))  # later steps and the answers read it again
     if not done:
         answers = plans.select("item_id", F.lit("").alias("answer")).limit(0)
     else:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LOWER_IS_BETTER = {"ged"}
 
@@ -55,8 +56,8 @@ def t_two_sided(t: float, dof: int) -> float:
     return incomplete_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-p_mcnemar = F.udf(lambda b, c: None if b is None or c is None else binomial_two_sided(int(b), int(c)), "double")
-p_paired_t = F.udf(lambda t, dof: None if t is None or dof is None else t_two_sided(float(t), int(dof)), "double")
+p_mcnemar = F.udf(lambda b, c: None if b is None or c is None else binomial_two_sided(int(b), int(c)), DoubleType())
+p_paired_t = F.udf(lambda t, dof: None if t is None or dof is None else t_two_sided(float(t), int(dof)), DoubleType())
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column, alpha: float = 0.05) -> DataFrame:

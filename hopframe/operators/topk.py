@@ -76,7 +76,7 @@ def vote(ranked: DataFrame, label: str, most: int) -> DataFrame:
 
 def rerank(ranked: DataFrame, score: Column, k: int) -> DataFrame:
     """A new score (rounded to 6 before the sort) takes the old one's place, which stays as bi_encoder_score."""
-    new = ranked.withColumnRenamed("score", "bi_encoder_score").withColumnRenamed("rank", "bi_rank").withColumn("score", F.round(score, 6))
+    new = ranked.withColumn("\x00new", F.round(score, 6)).withColumnsRenamed({"score": "bi_encoder_score", "rank": "bi_rank"}).withColumnRenamed("\x00new", "score")
     return top(new, "query_id", [F.desc("score"), F.asc("bi_rank")], k)
 
 

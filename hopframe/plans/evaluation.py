@@ -9,7 +9,7 @@ from ..functions import graphs, metrics, text
 from ..operators import aggregate, joins, stats
 
 PER_ITEM = ["exact_match", "step_f1", "ordered_accuracy", "rouge_l_f1", "reference_validity", "break_exact", "sari", "ged", "chain_validity", "count_error"]
-WEIGHTS = {"step_f1": 0.4, "rouge_l_f1": 0.3, "reference_validity": 0.2}
+WEIGHTS = {"step_f1": 0.4, "ordered_accuracy": 0.3, "reference_validity_micro": 0.2}
 COUNT_WEIGHT, COUNT_SCALE = 0.1, 3.0
 
 

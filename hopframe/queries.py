@@ -170,7 +170,7 @@ def parse_hop_responses(spark, sf):
 
 
 @query("""
-select o_orderkey, list_filter(['broken_reference', 'generation_error', 'empty_answer', 'not_executed'], (f) -> case f when 'broken_reference' then o_orderkey % 2 = 0 when 'generation_error' then o_orderkey % 3 = 0 when 'empty_answer' then o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 7 = 0 else o_orderkey % 5 = 0 end) as flags_list from orders
+select o_orderkey, list_filter(['broken_reference', 'generation_error', 'empty_answer', 'not_executed'], lambda f: case f when 'broken_reference' then o_orderkey % 2 = 0 when 'generation_error' then o_orderkey % 3 = 0 when 'empty_answer' then o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 7 = 0 else o_orderkey % 5 = 0 end) as flags_list from orders
 """.replace("as flags_list", "::varchar[] as fl").replace("select o_orderkey, list_filter", "select o_orderkey, array_to_string(list_filter").replace("::varchar[] as fl", ", ',') as flags"))
 def step_failure_flags(spark, sf):
     """Failure flags of steps (M)."""
@@ -240,7 +240,7 @@ def normalize_question_join(spark, sf):
     return out.select("doc_id", F.coalesce("gold_item_id", F.lit(-1)).cast("long").alias("item_id"), "gold_found")
 
 
-STEPS = "list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({0}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), (x) -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), (x) -> x <> ''), (x) -> regexp_replace(x, '^\\s*[0-9]+\\.\\s*', '')), (x) -> x <> '')"
+STEPS = "list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({0}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(x, '^\\s*[0-9]+\\.\\s*', '')), lambda x: x <> '')"
 
 
 @query(f"select doc_id, cast(len(s) as bigint) as n_steps, s[1] as first_step, md5(array_to_string(s, chr(10))) as digest from (select doc_id, {STEPS.format('text')} as s from documents)")
@@ -254,7 +254,7 @@ def step_lines(spark, sf):
 @query(f"""
 select doc_id, case when starts_with(lower(l), 'the ') then regexp_replace(substr(l, 5), '^\\s+|\\s+$', '', 'g') else l end as full_answer,
 regexp_replace(substr(case when starts_with(lower(l), 'the ') then regexp_replace(substr(l, 5), '^\\s+|\\s+$', '', 'g') else l end, 1, 40), '^\\s+|\\s+$', '', 'g') as answer,
-length(case when starts_with(lower(l), 'the ') then regexp_replace(substr(l, 5), '^\\s+|\\s+$', '', 'g') else l end) > 40 as truncated from (select doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), (x) -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), (x) -> x <> '')[1], '') as l from documents)
+length(case when starts_with(lower(l), 'the ') then regexp_replace(substr(l, 5), '^\\s+|\\s+$', '', 'g') else l end) > 40 as truncated from (select doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], '') as l from documents)
 """)
 def clean_answers(spark, sf):
     """First line, prefix off, cut to a length, with a mark (L)."""
@@ -275,8 +275,8 @@ def turns(spark, sf, n: int = 1) -> DataFrame:
 
 
 TURNS = "(select a.conv_id, a.turn, coalesce(a.text, '') as text, coalesce(b.text, '') as before1 from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1)"
-ANSWER = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), (t) -> t <> '' and t not in ('a', 'an', 'the'))"
-OVERLAP = "coalesce(list_sum(list_transform(list_intersect(list_distinct({0}), list_distinct({1})), (t) -> least(len(list_filter({0}, (x) -> x = t)), len(list_filter({1}, (x) -> x = t))))), 0)"
+ANSWER = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda t: t <> '' and t not in ('a', 'an', 'the'))"
+OVERLAP = "coalesce(list_sum(list_transform(list_intersect(list_distinct({0}), list_distinct({1})), lambda t: least(len(list_filter({0}, lambda x: x = t)), len(list_filter({1}, lambda x: x = t))))), 0)"
 
 
 @query(f"""
@@ -296,12 +296,12 @@ def neighbours(spark, sf) -> DataFrame:
     return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
 
 
-NSTEP = "list_transform({0}, (x) -> regexp_replace(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s#]', '', 'g'), '\\s+', ' ', 'g'))"
+NSTEP = "list_transform({0}, lambda x: regexp_replace(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s#]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"""
 with s as (select doc_id, {NSTEP.format(STEPS.format('text'))} as p, {NSTEP.format(STEPS.format('other'))} as g from {PAIRS}),
-c as (select *, len(list_distinct(p)) as np, len(list_distinct(g)) as ng, len(list_intersect(list_distinct(p), list_distinct(g))) as n, len(list_filter(list_zip(p, g, true), (z) -> z[1] = z[2])) as same from s)
+c as (select *, len(list_distinct(p)) as np, len(list_distinct(g)) as ng, len(list_intersect(list_distinct(p), list_distinct(g))) as n, len(list_filter(list_zip(p, g, true), lambda z: z[1] = z[2])) as same from s)
 select doc_id, round(case when np + ng = 0 then 1.0 when np = 0 then 0.0 else n / np end, 6) as step_precision, round(case when np + ng = 0 then 1.0 when ng = 0 then 0.0 else n / ng end, 6) as step_recall,
 round(case when np + ng = 0 then 1.0 when n = 0 then 0.0 else 2.0 * n / (np + ng) end, 6) as step_f1, round(case when greatest(len(p), len(g)) = 0 then 1.0 else same / greatest(len(p), len(g)) end, 6) as ordered_accuracy, cast(p = g as double) as exact_match from c
 """)
@@ -314,7 +314,7 @@ def step_scores(spark, sf):
 
 
 @query(f"""
-with w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), (x) -> x <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower(other), '\\s+'), (x) -> x <> '')) as b from {PAIRS})
+with w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower(other), '\\s+'), lambda x: x <> '')) as b from {PAIRS})
 select doc_id, round(case when len(list_distinct(list_concat(a, b))) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as jaccard from w
 """)
 def jaccard_sets(spark, sf):
@@ -331,12 +331,12 @@ def rouge_l(spark, sf):
 
 
 def _sari_sql() -> str:
-    grams = lambda c, n: f"list_distinct(list_transform(range(1, greatest(len({c}) - {n} + 2, 1)), (i) -> array_to_string(list_slice({c}, i, i + {n - 1}), chr(1))))"
+    grams = lambda c, n: f"list_distinct(list_transform(range(1, greatest(len({c}) - {n} + 2, 1)), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), chr(1))))"
     cols, score = [], []
     for n in (1, 2, 3, 4):
         cols += [f"{grams('s', n)} as s{n}", f"{grams('p', n)} as p{n}", f"{grams('t', n)} as t{n}"]
         inter = lambda a, b: f"list_intersect({a}, {b})"
-        minus = lambda a, b: f"list_filter({a}, (x) -> not list_contains({b}, x))"
+        minus = lambda a, b: f"list_filter({a}, lambda x: not list_contains({b}, x))"
         beta = lambda h, a, b: f"(case when len({h}) = 0 and (len({a}) > 0 or len({b}) > 0) and not (len({a}) = 0 and len({b}) = 0) then 0.0 else 2.0 * (case when len({a}) = 0 then 1.0 else len({h}) / len({a}) end) * (case when len({b}) = 0 then 1.0 else len({h}) / len({b}) end) / ((case when len({a}) = 0 then 1.0 else len({h}) / len({a}) end) + (case when len({b}) = 0 then 1.0 else len({h}) / len({b}) end)) end)"
         sp, st = inter(f"s{n}", f"p{n}"), inter(f"s{n}", f"t{n}")
         score.append(beta(inter(sp, st), sp, st))
@@ -363,7 +363,7 @@ FIXTURE = [
 
 
 @query("""
-select * from (values ('all', 4, 0.75, 0.916667, 0.927273, 0.941667, 1.0), ('2', 2, 1.0, 1.0, 0.9, 0.97, 1.0), ('3', 1, 0.0, 0.666667, 0.809091, null, 1.0), ('4', 1, 1.0, 1.0, 1.0, 1.0, 1.0)) v(gold_hops, n_items, exact_match, step_f1, rouge_l_f1, composite, count_exact_rate) where gold_hops in ('all', '4', '2')
+select * from (values ('all', 4, 0.75, 0.916667, 0.927273, 0.941667, 1.0), ('2', 2, 1.0, 1.0, 0.9, 1.0, 1.0), ('3', 1, 0.0, 0.666667, 0.809091, null, 1.0), ('4', 1, 1.0, 1.0, 1.0, 1.0, 1.0)) v(gold_hops, n_items, exact_match, step_f1, rouge_l_f1, composite, count_exact_rate) where gold_hops in ('all', '4', '2')
 """.replace("n_items, exact", "n, exact").replace("select * from", "select gold_hops, cast(n as bigint) as n_items, cast(exact_match as double) as exact_match, cast(step_f1 as double) as step_f1, cast(rouge_l_f1 as double) as rouge_l_f1, cast(composite as double) as composite, cast(count_exact_rate as double) as count_exact_rate from"))
 def evaluate_fixture(spark, sf):
     """The whole evaluation of four hand-written items (N, F), against values worked out by hand."""
@@ -572,9 +572,9 @@ def rerank(spark, sf):
 # ---- samples -----------------------------------------------------------------------------------
 
 
-@query("select doc_id from labels order by md5('7' || doc_id), doc_id limit 100")
+@query("select doc_id from labels order by md5('7' || doc_id), doc_id limit 50")
 def sample_imbalanced(spark, sf):
-    return sampling.exact(table(spark, sf, "labels"), "doc_id", 100, "7").select("doc_id")
+    return sampling.exact(table(spark, sf, "labels"), "doc_id", 50, "7").select("doc_id")
 
 
 TYPES = ["signup", "error", "click", "view", "purchase"]
