@@ -92,8 +92,9 @@ class ShardedTable:
             except Conflict:
                 continue
 
-    def compact(self) -> int:
-        """Merge the tiers that are full, lowest first, until none is; returns the version."""
+    def compact(self, keep_old: bool = True) -> int:
+        """Merge the tiers that are full, lowest first, until none is; returns the version. keep_old False vacuums after
+        each merge, for a table that nobody else reads meanwhile."""
         while True:
             v = self.version()
             live = self.manifest(v)
@@ -112,6 +113,8 @@ class ShardedTable:
                 self._commit(live.join(merged.select("path"), "path", "left_anti").select("path", "bytes", "n_rows", "tier").unionByName(new), v + 1)
             except Conflict:
                 continue
+            if not keep_old:
+                self.vacuum()
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [r.path for r in self.manifest(version).select("path").orderBy("path").collect()]
@@ -147,7 +150,7 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     arrival = F.pmod(F.xxhash64("doc_id", "source"), F.lit(ARRIVALS))
     for k in range(ARRIVALS):
         table.append(docs.where(arrival == k))
-    table.compact()
+    table.compact(keep_old=False)
     return table.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
