@@ -110,17 +110,18 @@ def path(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     c = np.vstack((np.zeros(k), np.cumsum(gain, axis=0)))
     if float((c - np.minimum.accumulate(c, axis=0)).max()) <= penalty / 2:
         return constant
-    come = np.empty((n, k), np.int32)
-    value, stay = s[0].copy(), np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        change = value[top] - penalty
-        come[t] = np.where(value >= change, stay, top)
-        value = np.maximum(value, change) + s[t]
+    rows = s.tolist()  # plain numbers: numpy's cost per call is several times that of a few languages' sums
+    value, come = rows[0], []
+    for row in rows[1:]:
+        top = max(value)
+        change = top - penalty
+        at = value.index(top)
+        come.append([j if x >= change else at for j, x in enumerate(value)])
+        value = [(x if x >= change else change) + y for x, y in zip(value, row)]
     out = np.empty(n, np.int64)
-    out[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = come[t, out[t]]
+    last = out[-1] = value.index(max(value))
+    for t in range(n - 2, -1, -1):
+        last = out[t] = come[t][last]
     return out
 
 
