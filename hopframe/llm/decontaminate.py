@@ -5,8 +5,9 @@
    factored by a distributed randomised SVD: partitions of passages multiply their rows with a random (then with
    the improved) basis and back; the driver sums the products, whose size is that of the block's vocabulary.
 3. Documents are cut into windows the same way and folded into the latent space. A window is a candidate for
-   the items of passages with a cosine of COSINE or more. Windows whose words outside the benchmark's vocabulary
-   weigh too much for that are left out first, by a bound that loses none.
+   the items of passages with a cosine of COSINE or more (a word counts once in a window's vector, and each time in
+   its norm). Windows that can't reach it, since too little of their weight is on the words of any one passage, are
+   left out first; that bound loses none.
 4. Candidates are verified on the words themselves: the longest common subsequence of item and the window's
    surroundings must cover LCS_SHARE of the item, and ANSWER_SHARE of its answer (what follows "answer:", else the
    rarest quarter of its words) must be there. Paraphrases with changed or moved words pass; texts on the
@@ -39,6 +40,7 @@ COSINE = 0.35
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST = 5
 BLOCK = 512
+FEW = 4
 
 
 def _weights(docs: DataFrame) -> np.ndarray:
@@ -164,7 +166,14 @@ class Index:
         latent = _rows(ids, weights, basis)
         self.passages = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.words = (basis * idf[bucket(self.vocabulary)][:, None]).astype(np.float32)
-        self.weight = idf[bucket(self.vocabulary)]
+        # which passages a word is in, for words that are in few
+        pairs = np.unique(np.concatenate([np.unique(a) * len(ids) + p for p, a in enumerate(ids)]))
+        word, passage = pairs // len(ids), pairs % len(ids)
+        n = np.bincount(word, minlength=len(self.vocabulary))
+        self.few = n <= FEW
+        self.of_word, self.first_of = passage, np.cumsum(n) - n
+        self.n_of = n
+        self.square = idf[bucket(self.vocabulary)] ** 2
 
     def candidates(self, h: np.ndarray, offsets: np.ndarray):
         """(first word of the window, item) of the candidates among texts' words (offsets: where texts begin)."""
@@ -189,11 +198,28 @@ class Index:
             inside = places < end[some][:, None]
             places = np.minimum(places, n - 1)
             inside &= hit[places]
-            flat = at[places[inside]]
-            per = inside.sum(axis=1)
-            vectors = np.zeros((len(some), self.words.shape[1]), np.float32)
-            live = per > 0
-            vectors[live] = np.add.reduceat(self.words[flat], (np.cumsum(per) - per)[live], axis=0)
+            # a word counts once in a window, so <x, p> is at most the norm of x on the words of p: the words that
+            # are in many passages, and those of the passage with which it shares most of the others
+            pairs = np.unique(np.repeat(np.arange(len(some)), inside.sum(axis=1)) * len(self.vocabulary) + at[places[inside]])
+            owner, flat = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+            most = np.bincount(owner, weights=self.square[flat] * ~self.few[flat], minlength=len(some))
+            rare = np.flatnonzero(self.few[flat])
+            n_of = self.n_of[flat[rare]]
+            again = np.repeat(rare, n_of)
+            step = np.arange(len(again)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+            key = owner[again] * len(self.passages) + self.of_word[self.first_of[flat[again]] + step]
+            if len(key):
+                kinds, back = np.unique(key, return_inverse=True)
+                shared = np.bincount(back, weights=self.square[flat[again]])
+                own_of = kinds // len(self.passages)
+                first = common.run_starts(own_of)
+                most[own_of[first]] += np.maximum.reduceat(shared, first)
+            live = most >= COSINE**2 * norm[some] * (1 - 1e-6)
+            if not live.any():
+                continue
+            keep = live[owner]
+            owner, flat, some = (np.cumsum(live) - 1)[owner[keep]], flat[keep], some[live]
+            vectors = np.add.reduceat(self.words[flat], common.run_starts(owner), axis=0)  # each has a word
             near = vectors @ self.passages.T
             w, p = np.nonzero(near >= COSINE * np.sqrt(norm[some])[:, None])
             for k in np.unique(w * len(self.items) + self.owner[p]):
