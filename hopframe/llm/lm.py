@@ -26,22 +26,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, exchange
 from .language import held_out
 
 WEIGHT = 20.0
 FLUSH = 2 << 20  # tokens
-BLOB = 1024  # keys in a row
 END = np.uint64(0xE5D0F7E87D3B4A11)
 ONE, TWO = np.uint64(0x632BE59BD9B4E019), np.uint64(0xD1B54A32D192ED03)
 
-BLOBS = "pid int, part int, level int, keys binary, counts binary, flags binary"
-REPLIES = "pid int, level int, keys binary, counts binary, tokens long, kinds long, once long, twice long"
-
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hash, text, whether it is a text's first token) with an end after each text's words."""
@@ -68,61 +63,18 @@ def grams(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return one, two
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane; the empty high planes compress away."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "lz4", asbytes=True)
-
-
-def unpack_keys(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 8 * n, "lz4", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
-def _pack_small(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "lz4", asbytes=True)
-
-
-def _unpack_small(raw: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 4 * n, "lz4", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
-
-
-def _sum_keys(keys: list[np.ndarray], values: list[list[np.ndarray]]):
-    """Distinct sorted keys, and each list of values summed by key."""
-    k, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, [np.bincount(back, weights=np.concatenate(v), minlength=len(k)).astype(np.int64) for v in values], back
-
-
 def _counts(source: DataFrame, parts: int) -> DataFrame:
     """Each scan partition's n-grams by hash range: training counts, and whether held-out texts have them."""
-    step = np.uint64(-(-(1 << 64) // parts) & ((1 << 64) - 1)) if parts > 1 else np.uint64((1 << 64) - 1)
-
     def rows(batches):
         held: dict[int, list] = {1: [], 2: []}
         size, pid = 0, None
 
         def flush():
             for level, some in held.items():
-                if not some:
-                    continue
-                keys, (train, test), _ = _sum_keys([x[0] for x in some], [[x[1] for x in some], [x[2] for x in some]])
-                part = (keys // step).astype(np.int64)
-                cuts = np.unique(np.concatenate((common.run_starts(part), np.arange(0, len(keys), BLOB))))
-                out: list[tuple] = []
-                for a, b in zip(cuts, np.append(cuts[1:], len(keys))):
-                    n = int(b - a).to_bytes(4, "little")
-                    out.append((pid, int(part[a]), level, n + pack_keys(keys[a:b]), _pack_small(train[a:b]), np.packbits(test[a:b] > 0).tobytes()))
-                    if len(out) == 1000:
-                        yield batch_of(out)
-                        out = []
-                if out:
-                    yield batch_of(out)
-                some.clear()
-
-        schema = pa.schema([("pid", pa.int32()), ("part", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("flags", pa.binary())])
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+                if some:
+                    keys, (train, test), _ = exchange.sum_keys([x[0] for x in some], [[x[1] for x in some], [x[2] for x in some]])
+                    yield from exchange.send(pid, level, keys, train, test > 0, parts)
+                    some.clear()
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -145,50 +97,7 @@ def _counts(source: DataFrame, parts: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return source.mapInArrow(rows, BLOBS)
-
-
-def _answers(blobs: DataFrame) -> DataFrame:
-    """What each scan partition needs to know of its n-grams, and each range's totals (rows with pid -1)."""
-
-    schema = pa.schema([("pid", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), *((k, pa.int64()) for k in ("tokens", "kinds", "once", "twice"))])
-
-    def work(level, held):
-        out: list[tuple] = []
-        pids = np.concatenate([np.full(len(x[1]), x[0]) for x in held])
-        keys, (total,), back = _sum_keys([x[1] for x in held], [[x[2] for x in held]])
-        if level == 1:
-            out.append((-1, level, None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())))
-        count = total[back]
-        tell = (count > 1) | ((count > 0) & np.concatenate([x[3] for x in held]))
-        order = np.lexsort((back[tell], pids[tell]))
-        p, k = pids[tell][order], back[tell][order]
-        keep = np.ones(len(p), bool)
-        keep[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
-        p, k = p[keep], k[keep]
-        cuts = np.unique(np.concatenate((common.run_starts(p), np.arange(0, len(p), BLOB)))) if len(p) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(p))):
-            n = int(b - a).to_bytes(4, "little")
-            out.append((int(p[a]), level, n + pack_keys(keys[k[a:b]]), _pack_small(np.minimum(total[k[a:b]], 2**32 - 1)), None, None, None, None))
-        for at in range(0, len(out), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 1000]), schema.types)], schema=schema)
-
-    def rows(batches):
-        now, held = None, []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for pid, part, level, keys, counts, flags in zip(*cols):
-                if (part, level) != now:
-                    if held:
-                        yield from work(now[1], held)
-                    now, held = (part, level), []
-                n = int.from_bytes(keys[:4], "little")
-                held.append((pid, unpack_keys(keys[4:], n), _unpack_small(counts, n), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)))
-        if held:
-            yield from work(now[1], held)
-
-    dealt = blobs.repartition("part").sortWithinPartitions("part", "level")
-    return common.stage(dealt.mapInArrow(rows, REPLIES), "ngrams")
+    return source.mapInArrow(rows, exchange.BLOBS)
 
 
 class Automaton:
@@ -202,16 +111,7 @@ class Automaton:
     def load(self, side: pa.Table | None) -> None:
         self.keys, self.counts = {}, {}
         for level in (1, 2):
-            k, c = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            if side is not None:
-                some = side.filter(pc.equal(side["level"], level))
-                for keys, counts in zip(some["keys"].to_pylist(), some["counts"].to_pylist()):
-                    n = int.from_bytes(keys[:4], "little")
-                    k.append(unpack_keys(keys[4:], n))
-                    c.append(_unpack_small(counts, n))
-            keys, counts = np.concatenate(k), np.concatenate(c)
-            order = np.argsort(keys)
-            self.keys[level], self.counts[level] = keys[order], counts[order]
+            self.keys[level], self.counts[level] = exchange.load(side, level)
 
     def count(self, level: int, key: np.ndarray, train: np.ndarray) -> np.ndarray:
         keys = self.keys[level]
@@ -242,8 +142,8 @@ def score(docs: DataFrame, train, weight: float = WEIGHT) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text); `train`
     is the condition of the rows that the model learns from. base_score is that of add-one unigrams."""
     source = common.with_row_id(docs.withColumn("train", train), F.col("doc_id").cast("long").alias("doc_id"), "text", "train")
-    parts = max(256, 16 * source.rdd.getNumPartitions())  # so that a range holds a sixteenth of a partition's n-grams
-    replies = _answers(_counts(source, parts))
+    parts = exchange.ranges(source)
+    replies = exchange.answers(_counts(source, parts))
     totals = replies.where("pid = -1").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tokens", "kinds", "once", "twice"))).first()
     path = common.side_table(replies.where("pid >= 0").select("pid", "level", "keys", "counts"), "arcs")
     model = Automaton(*totals, weight)
