@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from . import common
+
 _LOADED: dict[str, object] = {}
 
 
@@ -31,17 +34,147 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Kinds of bytes: where a text holds only these, it can be cut into pieces that the tokenizers encode on their own.
+SPACE, BREAK, LETTER, DIGIT, MARK, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x20] = SPACE
+KIND[0x09:0x0E] = BREAK
+KIND[0x21:0x7F] = MARK
+KIND[0x30:0x3A] = DIGIT
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = LETTER
+KIND[0xC3] = LETTER  # with its next byte, a letter of Latin-1; see plain_rows
+KIND[0x80:0xC0] = LETTER
+MOST_PIECES = 1_500_000  # remembered by a worker, in about 100 MB
+SLOTS = 22
+
+
+def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts hold only ASCII and Latin-1 letters, and no mark of a special token ("<|")."""
+    before = np.concatenate((np.zeros(1, np.uint8), data[:-1]))
+    high = data >= 0x80
+    bad = KIND[data] == OTHER
+    bad |= high & (data != 0xC3) & ((before != 0xC3) | (data > 0xBF) | (data == 0x97) | (data == 0xB7))
+    bad |= (data == ord("|")) & (before == ord("<"))
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = False
+    return out
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces: at text starts, before a space between words, between letters and marks, and before
+    letters after marks or a single line break (an apostrophe and what is beside it stay together). At all of these places both
+    tokenizers' patterns end a pre-token, so the pieces' ids are those of the text."""
+    k = KIND[data]
+    prev, nxt = np.empty_like(k), np.empty_like(k)
+    prev[0], prev[1:] = BREAK, k[:-1]
+    nxt[-1], nxt[:-1] = BREAK, k[1:]
+    before = np.concatenate((np.zeros(1, np.uint8), prev[:-1]))
+    quote = data == ord("'")
+    after_quote = np.concatenate((np.zeros(1, bool), quote[:-1]))
+    at = (k == SPACE) & (prev > BREAK) & (nxt > BREAK)
+    at |= (prev == LETTER) & (k == MARK) & ~quote
+    at |= (k == LETTER) & ((prev == MARK) & ~after_quote | (prev == BREAK) & (before > BREAK))
+    at[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(at)
+
+
+class Pieces:
+    """Ids of the pieces met so far, found by 64-bit hash; the library makes those of new ones."""
+
+    def __init__(self, model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+        self.slots = np.zeros(1 << SLOTS, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = self.slots[(keys >> np.uint64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
+        lost = np.flatnonzero(self.keys[at] != keys)
+        if len(lost):  # another key has the slot, or it is new
+            k = keys[lost]
+            i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            at[lost] = np.where(self.keys[i] == k, i, -1)
+        return at
+
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        ids = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))))
+        every = np.concatenate((self.keys, keys))
+        order = np.argsort(every)
+        self.keys, self.first, self.count = every[order], np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
+        self.slots[(self.keys >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, end to end, and the number of ids of each."""
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        start = cuts(data, offsets)
+        stop = np.append(start[1:], len(data))
+        key = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(stop, start[at] + (1 << 20), "right")))
+            a, b = start[at], stop[to - 1]
+            c = common.prefix_hash(data[a:b])
+            _, down = common.powers(b - a + 1)
+            s, e = start[at:to] - a, stop[at:to] - a
+            key[at:to] = common.mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64))
+            at = to
+        place = self.find(key)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            kinds, pick = np.unique(key[new], return_index=True)
+            if len(self.keys) + len(kinds) > MOST_PIECES:
+                self.clear()
+                kinds, pick = np.unique(key, return_index=True)
+                new = np.arange(len(key))
+            raw = data.tobytes()
+            self.learn(kinds, [raw[start[i] : stop[i]].decode() for i in new[pick]])
+            place = self.find(key)
+        count = self.count[place]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[place] - (ends - count), count) + np.arange(int(ends[-1]))]
+        of_text = np.searchsorted(offsets, start, "right") - 1
+        return ids, np.bincount(of_text, weights=count, minlength=len(offsets) - 1).astype(np.int64)
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
 def encode(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of every whole text (null: empty) with end_id after each, as one array, and the bounds of the texts."""
-    texts = ["" if t is None else t for t in column.to_pylist()]
+    """Ids of every whole text (null: empty) with end_id after each, as one array, and the bounds of the texts.
+
+    All ids are the tokenizers library's: of pieces, remembered, for plain texts; of the whole text for others."""
     model = tokenizer(path)
-    parts, bounds = [], np.zeros(len(texts) + 1, np.int64)
-    end = np.array([end_id], np.uint32)
-    at = 0
-    for e in range(0, len(texts), 64):
-        for i, x in enumerate(model.encode_batch_fast(texts[e : e + 64], add_special_tokens=False), e):
-            ids = np.array(x.ids, np.uint32)
-            parts += (ids, end)
-            at += len(ids) + 1
-            bounds[i + 1] = at
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), bounds
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(model)
+    data, offsets = common.text_buffers(column)
+    n = len(offsets) - 1
+    plain = plain_rows(data, offsets)
+    if plain.all():
+        ids, count = _PIECES[path].encode(data, offsets)
+        odd: list[np.ndarray] = []
+    else:
+        sizes = np.diff(offsets)
+        keep = np.repeat(plain, sizes)
+        ids, count = _PIECES[path].encode(data[keep], np.concatenate(([0], np.cumsum(sizes * plain))))
+        texts = column.to_pylist()
+        odd = [np.array(x.ids, np.uint32) for x in model.encode_batch_fast([texts[i] for i in np.flatnonzero(~plain)], add_special_tokens=False)]
+        count[~plain] = [len(x) for x in odd]
+    bounds = np.concatenate(([0], np.cumsum(count + 1)))
+    out = np.full(int(bounds[-1]), end_id, np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[bounds[1:] - 1] = False
+    of = np.repeat(plain, count + 1)
+    out[inside & of] = ids
+    if odd:
+        out[inside & ~of] = np.concatenate(odd)
+    return out, bounds
