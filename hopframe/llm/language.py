@@ -3,8 +3,8 @@
 Words are runs of letters, lower-cased. A word's script (by its first letter) narrows the languages it may
 be in; each of them scores the word by its character n-grams (1 to 5 bytes, and the word as a whole) under
 hashed counts learned from labelled text; a Viterbi path with a penalty for each change of language labels
-the words. Most texts need no path search: where no stretch gains more than half a penalty in any other
-language over the best one, the constant path is the best, which cumulative sums show.
+the words. Most texts need no path search: cumulative sums show that no stretch gains enough in another
+language to pay for the change.
 
 The model has 2**BITS counters for each language, summed over all training rows, and is broadcast; its size
 depends on the number of languages alone (at most MOST_LANGUAGES).
@@ -108,8 +108,17 @@ def path(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
         return constant
     gain = s - s[:, best : best + 1]
     c = np.vstack((np.zeros(k), np.cumsum(gain, axis=0)))
-    if float((c - np.minimum.accumulate(c, axis=0)).max()) <= penalty / 2:
+    most = float((c - np.minimum.accumulate(c, axis=0)).max())  # gain of any stretch in another language
+    if most <= penalty / 2:
         return constant
+    if most <= penalty:
+        # a path with a stretch in the best language changes as often as it leaves it, so it gains nothing; one without
+        # gains its first and last stretch less a change at most
+        c = np.delete(c, best, axis=1)
+        start = np.maximum.accumulate(c.max(axis=1))
+        end = (c[-1] - c).max(axis=1)
+        if float((start + end).max()) <= penalty:
+            return constant
     rows = s.tolist()  # plain numbers: numpy's cost per call is several times that of a few languages' sums
     value, come = rows[0], []
     for row in rows[1:]:
