@@ -115,7 +115,7 @@ def build(vectors: DataFrame, copies: int, books: int = BOOKS, words: int = WORD
                 codes, norms = c.encode(_matrix(part.column(2), d))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["key", "ids", "embedding", "codes", "norm"])
 
-    index = distinct.repartition(F.col("key")).mapInArrow(encode, "key long, ids array<long>, embedding array<double>, codes binary, norm double")
+    index = distinct.repartition(F.col("key")).mapInArrow(common.tidy(encode), "key long, ids array<long>, embedding array<double>, codes binary, norm double")
     return common.stage(index, "index"), fitted, d
 
 
@@ -168,7 +168,7 @@ def search(index: DataFrame, books: Codebooks | None, d: int, queries: DataFrame
             a, b = _matrix(t["embedding"].combine_chunks(), d), _matrix(t["v"].combine_chunks(), d)
             yield from t.select(["query_id", "ids"]).append_column("score", pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))).to_batches()
 
-    exact = whole.select("query_id", "ids", "embedding", "v").mapInArrow(rank, "query_id long, ids array<long>, score double")
+    exact = whole.select("query_id", "ids", "embedding", "v").mapInArrow(common.tidy(rank), "query_id long, ids array<long>, score double")
     each = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank_ = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return each.withColumn("rank", rank_).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

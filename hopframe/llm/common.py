@@ -113,6 +113,23 @@ def load_side(path: str, pid: int) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f.path)).read() for f in sorted(files, key=lambda x: x.path)])
 
 
+def tidy(work):
+    """A mapInArrow function that gives freed memory back to the system at its end: workers live on between tasks and
+    stages, and an executor's limit counts what their allocators keep."""
+
+    def run(batches):
+        import ctypes
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+    return run
+
+
 def task_partition() -> int:
     from pyspark import TaskContext
 
@@ -138,7 +155,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Cut a batch into runs of rows of about `most` text bytes (one long row may exceed it)."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
@@ -277,6 +294,6 @@ def sum_dense(rows: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(keys[at : at + 1024], pa.int32()), "counts": pa.array([total[k].tobytes() for k in keys[at : at + 1024]], pa.binary())})
 
     out = np.zeros(-(-size // SLICE) * SLICE, np.int64)
-    for k, raw in rows.repartition("slice").mapInArrow(add, DENSE).collect():
+    for k, raw in rows.repartition("slice").mapInArrow(tidy(add), DENSE).collect():
         out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(raw, np.int64)
     return out[:size]

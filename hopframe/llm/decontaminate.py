@@ -57,7 +57,7 @@ def _weights(docs: DataFrame) -> np.ndarray:
                 total[size] += part.num_rows
         yield from common.dense_batches(total)
 
-    total = common.sum_dense(docs.select("text").mapInArrow(count, common.DENSE), size + 1)
+    total = common.sum_dense(docs.select("text").mapInArrow(common.tidy(count), common.DENSE), size + 1)
     return np.log((total[size] + 1.0) / (total[:size] + 1.0)) + 0.05
 
 
@@ -134,7 +134,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = ROUNDS,
                         np.add.at(out, np.concatenate(ids), np.concatenate(weights)[:, None] * y[own])
             yield pa.RecordBatch.from_pydict({"part": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
-        parts = rows.mapInArrow(multiply, "part binary").toLocalIterator()
+        parts = rows.mapInArrow(common.tidy(multiply), "part binary").toLocalIterator()
         shape = (basis.shape[1], basis.shape[1]) if gram else basis.shape
         return sum((np.frombuffer(r[0], np.float32).reshape(shape).astype(np.float64) for r in parts), np.zeros(shape))
 
@@ -267,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cols = zip(*((ids[r], names[r], index.items[k].item_id, a, b) for (r, k), (a, b) in sorted(best.items())))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-        out = out.unionByName(source.mapInArrow(search, "row_id long, " + FOUND))
+        out = out.unionByName(source.mapInArrow(common.tidy(search), "row_id long, " + FOUND))
     return out
 
 

@@ -103,7 +103,9 @@ class Pieces:
         return at
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids: list[list[int]] = []
+        for at in range(0, len(texts), 20_000):  # the library's results are many times larger than their ids
+            ids += [x.ids for x in self.model.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))))

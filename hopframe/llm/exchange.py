@@ -105,7 +105,7 @@ def answers(blobs: DataFrame) -> DataFrame:
             yield from work(now[1], held)
 
     dealt = blobs.repartition("part").sortWithinPartitions("part", "level")
-    return common.stage(dealt.mapInArrow(rows, REPLIES), "ngrams")
+    return common.stage(dealt.mapInArrow(common.tidy(rows), REPLIES), "ngrams")
 
 
 def load(side: pa.Table | None, level: int) -> tuple[np.ndarray, np.ndarray]:

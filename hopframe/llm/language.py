@@ -170,7 +170,7 @@ def learn(rows: DataFrame) -> Model:
     if not languages:
         return Model([], np.zeros((0, size), np.int64), np.zeros((0, len(NAMES)), np.int64))
     cut = len(languages) * size
-    all_counts = common.sum_dense(rows.mapInArrow(count, common.DENSE), cut + len(languages) * common.SLICE)
+    all_counts = common.sum_dense(rows.mapInArrow(common.tidy(count), common.DENSE), cut + len(languages) * common.SLICE)
     return Model(languages, all_counts[:cut].reshape(-1, size), all_counts[cut:].reshape(-1, common.SLICE)[:, : len(NAMES)])
 
 
@@ -219,7 +219,7 @@ def label(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     spans.append([{"first": int(a), "last": int(b), "lang": m.languages[labels[a]]} for a, b in zip(cut, last)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred), pa.array(score, pa.float64()), pa.array(spans, span)], names=[*part.schema.names[:-1], "lang_pred", "score", "spans"])
 
-    return docs.mapInArrow(rows, ", ".join([*names, LABELS]))
+    return docs.mapInArrow(common.tidy(rows), ", ".join([*names, LABELS]))
 
 
 def held_out(modulus: int):

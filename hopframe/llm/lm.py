@@ -97,7 +97,7 @@ def _counts(source: DataFrame, parts: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return source.mapInArrow(rows, exchange.BLOBS)
+    return source.mapInArrow(common.tidy(rows), exchange.BLOBS)
 
 
 class Automaton:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, train, weight: float = WEIGHT) -> DataFrame:
                     names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return source.mapInArrow(rows, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return source.mapInArrow(common.tidy(rows), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:

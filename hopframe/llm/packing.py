@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.stage(source.mapInArrow(cut, PIECES), "pieces")
+    return common.stage(source.mapInArrow(common.tidy(cut), PIECES), "pieces")
 
 
 class Plan:
@@ -213,7 +213,7 @@ def assign(lengths: DataFrame, capacity: int) -> DataFrame:
     joined = lengths.join(before, ["pid", "length"])
     out = [f for f in joined.schema.fields if f.name != "earlier"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", sequence_id long, offset long"
-    return joined.mapInArrow(place, schema)
+    return joined.mapInArrow(common.tidy(place), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = True) -> DataFrame:

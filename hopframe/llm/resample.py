@@ -68,7 +68,7 @@ def _count(rows: DataFrame) -> np.ndarray:
                 total[size:] += np.bincount(bucket[target], minlength=size)
         yield from common.dense_batches(total)
 
-    return common.sum_dense(rows.mapInArrow(count, common.DENSE), 2 * size)
+    return common.sum_dense(rows.mapInArrow(common.tidy(count), common.DENSE), 2 * size)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 good = np.empty(0, np.int64) if side is None else np.sort(side["row_id"].to_numpy()[side["target"].to_numpy()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.isin(batch.column(0).to_numpy(), good))], names=["text", "target"])
 
-    counts = _count(source.select("row_id", "text").mapInArrow(join, "text string, target boolean"))
+    counts = _count(source.select("row_id", "text").mapInArrow(common.tidy(join), "text string, target boolean"))
     raw, target = counts[: 1 << BITS].astype(np.float64), counts[1 << BITS :].astype(np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target))
 
@@ -111,7 +111,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out = np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out.astype(np.float64))], names=["row_id", "doc_id", "log_weight"])
 
-    rows = source.mapInArrow(weigh, "row_id long, doc_id long, log_weight double")
+    rows = source.mapInArrow(common.tidy(weigh), "row_id long, doc_id long, log_weight double")
     return rows.join(told.withColumnRenamed("target", "label"), "doc_id", "left")
 
 

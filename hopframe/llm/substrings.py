@@ -165,7 +165,7 @@ def _all_phrases(source: DataFrame, length: int) -> DataFrame:
                 for trigger, phrase, row, at, n, inside in phrases(*common.text_buffers(part.column(1)), length):
                     yield pa.RecordBatch.from_pydict({"trigger": common.signed(trigger), "phrase": common.signed(phrase), "row_id": ids[row], "at": at.astype(np.int64), "windows": n.astype(np.int32), "inside": pa.array(inside)})
 
-    return common.stage(source.mapInArrow(rows, "trigger long, phrase long, row_id long, at long, windows int, inside boolean"), "phrases")
+    return common.stage(source.mapInArrow(common.tidy(rows), "trigger long, phrase long, row_id long, at long, windows int, inside boolean"), "phrases")
 
 
 def _bytes_of(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _bytes_of(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(mine[c].combine_chunks().cast(schema.field(c).type) for c in schema.names[:-1]), held], schema=schema)
 
     out = "trigger long, row_id long, at long, windows int, known boolean, bytes binary"
-    return source.mapInArrow(rows, out)
+    return source.mapInArrow(common.tidy(rows), out)
 
 
 def _compare(rows: DataFrame, length: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
             yield work()
 
     dealt = rows.repartition("trigger").sortWithinPartitions("trigger")
-    return dealt.mapInArrow(compare, SPANS)
+    return dealt.mapInArrow(common.tidy(compare), SPANS)
 
 
 def _count_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _count_windows(rows: DataFrame, length: int) -> DataFrame:
             half = (c[place + length // 2] - c[place]) * down[place]
             yield pa.RecordBatch.from_pydict({"h1": common.signed(common.mix(h)), "h2": common.signed(common.mix(half ^ np.uint64(0x5BD1E995))), "row_id": row.to_numpy()[own], "at": at.to_numpy()[own] + x, "known": known.to_numpy(zero_copy_only=False)[own]})
 
-    windows = common.stage(rows.mapInArrow(hashes, "h1 long, h2 long, row_id long, at long, known boolean"), "windows")
+    windows = common.stage(rows.mapInArrow(common.tidy(hashes), "h1 long, h2 long, row_id long, at long, known boolean"), "windows")
     often = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     return windows.where("not known").join(often, ["h1", "h2"]).select("row_id", "at", F.lit(1).cast("long").alias("windows"))
 
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTE
                 )
 
     schema = ["row_id long, doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>", *kept_columns]
-    return source.mapInArrow(rows, ", ".join(schema))
+    return source.mapInArrow(common.tidy(rows), ", ".join(schema))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

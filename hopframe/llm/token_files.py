@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             yield done(writer, n)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.stage(ordered.mapInArrow(write, MANIFEST), "tokens-manifest")
+    return common.stage(ordered.mapInArrow(common.tidy(write), MANIFEST), "tokens-manifest")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     shards = shard_starts(manifest).select("path", "base")
     n = max(1, manifest.count())
-    return shards.repartition(min(n, 100_000)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(min(n, 100_000)).mapInArrow(common.tidy(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc32(ids) -> F.Column:
