@@ -383,12 +383,12 @@ def evaluate_conversations(spark, sf):
 
 
 @query("""
-select l_returnflag as grp, grouping(l_returnflag) = 1 as is_total, count(*) as n, round(avg(l_discount), 6) as macro, round(sum(l_discount) / sum(l_tax), 6) as micro, cast(count(*) filter (l_discount > l_tax) as bigint) as n_over
+select l_returnflag as grp, grouping(l_returnflag) = 1 as is_total, count(*) as n, round(avg(l_discount), 9) as macro, round(sum(l_discount) / sum(l_tax), 9) as micro, cast(count(*) filter (l_discount > l_tax) as bigint) as n_over
 from lineitem group by grouping sets ((l_returnflag), ())
 """)
 def macro_micro_rollup(spark, sf):
     """Groups and grand total in one pass, mean of values and ratio of sums (F)."""
-    out = aggregate.grouped_and_total(table(spark, sf, "lineitem"), "l_returnflag", F.count("*").alias("n"), r6(F.avg("l_discount")).alias("macro"), r6(aggregate.micro(F.col("l_discount"), F.col("l_tax"))).alias("micro"), F.count_if(F.col("l_discount") > F.col("l_tax")).alias("n_over"))
+    out = aggregate.grouped_and_total(table(spark, sf, "lineitem"), "l_returnflag", F.count("*").alias("n"), F.round(F.avg("l_discount"), 9).alias("macro"), F.round(aggregate.micro(F.col("l_discount"), F.col("l_tax")), 9).alias("micro"), F.count_if(F.col("l_discount") > F.col("l_tax")).alias("n_over"))
     return out.withColumnRenamed("l_returnflag", "grp")
 
 
