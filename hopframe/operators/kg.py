@@ -41,6 +41,7 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
     edges = triples.select("src", "rel", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     steps = plans.select("item_id", F.size("ops").alias("n_steps"), F.posexplode("ops").alias("pos", "o"))
     steps = steps.select("item_id", "n_steps", (F.col("pos") + 1).alias("step"), "o.op", "o.relation", "o.entity", "o.ref_step")
+    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
     last = max_steps or (steps.agg(F.max("step")).first()[0] or 0)
 
     names = edges.select(F.col("src").alias("entity")).union(edges.select("dst")).distinct().withColumn("known", F.lit(True))
