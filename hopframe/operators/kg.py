@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plans import FORWARD, PROJECT, REVERSE
+from ..functions.plans import REVERSE
 
 
 def parse_triples(lines: DataFrame, ordinal: str = "line_no") -> DataFrame:
@@ -38,13 +38,15 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
 
     Every round joins all plans' k-th steps to the edges at once. Steps' results are distinct; the last step's are the
     answers. An entity that isn't in the graph, or a reference to a step that isn't before, fails the plan."""
-    edges = triples.select("src", "rel", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    edges = triples.select("src", "rel", "dst").distinct()
+    ways = F.array(F.struct(F.lit(False).alias("back"), F.col("src").alias("value"), F.col("dst").alias("to")), F.struct(F.lit(True).alias("back"), F.col("dst").alias("value"), F.col("src").alias("to")))
+    hops = edges.select(F.col("rel").alias("relation"), F.explode(ways).alias("w")).select("relation", "w.*").persist(StorageLevel.MEMORY_AND_DISK)
     steps = plans.select("item_id", F.size("ops").alias("n_steps"), F.posexplode("ops").alias("pos", "o"))
     steps = steps.select("item_id", "n_steps", (F.col("pos") + 1).alias("step"), "o.op", "o.relation", "o.entity", "o.ref_step")
     steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
     last = max_steps or (steps.agg(F.max("step")).first()[0] or 0)
 
-    names = edges.select(F.col("src").alias("entity")).union(edges.select("dst")).distinct().withColumn("known", F.lit(True))
+    names = hops.select(F.col("value").alias("entity")).distinct().withColumn("known", F.lit(True))
     seen = steps.join(names, "entity", "left")
     unknown = seen.where(F.col("entity").isNotNull() & F.col("known").isNull()).select("item_id", "step", F.lit("entity_not_in_kb").alias("reason"))
     loose = seen.where(F.col("entity").isNull() & (F.col("ref_step").isNull() | (F.col("ref_step") < 1) | (F.col("ref_step") >= F.col("step")))).select("item_id", "step", F.lit("bad_reference_or_plan").alias("reason"))
@@ -61,9 +63,9 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
             earlier = reduce(DataFrame.unionByName, done).select("item_id", F.col("step").alias("ref_step"), "value")
             refs = now.where(F.col("entity").isNull()).select("item_id", "n_steps", "step", "op", "relation", "ref_step")
             frontier = given.unionByName(refs.join(earlier, ["item_id", "ref_step"]).drop("ref_step"))
-        ahead = frontier.where(F.col("op").isin(FORWARD, PROJECT)).join(edges, (F.col("value") == F.col("src")) & (F.col("relation") == F.col("rel"))).select("item_id", "n_steps", "step", F.col("dst").alias("value"))
-        back = frontier.where(F.col("op") == REVERSE).join(edges, (F.col("value") == F.col("dst")) & (F.col("relation") == F.col("rel"))).select("item_id", "n_steps", "step", F.col("src").alias("value"))
-        done.append(ahead.unionByName(back).distinct().persist(StorageLevel.MEMORY_AND_DISK))  # later steps and the answers read it again
+        frontier = frontier.withColumn("back", F.col("op") == REVERSE)
+        found = frontier.join(hops, ["value", "relation", "back"]).select("item_id", "n_steps", "step", F.col("to").alias("value"))
+        done.append(found.distinct().persist(StorageLevel.MEMORY_AND_DISK))  # later steps and the answers read it again
     if not done:
         answers = plans.select("item_id", F.lit("").alias("answer")).limit(0)
     else:
