@@ -33,6 +33,7 @@ PENALTY = 8.0
 FLOOR = -30.0  # of a word in a language that isn't written in its script
 SHARE = 0.005  # of a language's letters in a script, for that script to be its own
 CACHED_WORDS = 200_000
+SCORED = 8_000  # words at a time; each has some fifty n-grams
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges (fixed values of the Unicode standard); letters outside the named ranges are "other".
@@ -150,8 +151,8 @@ def learn(rows: DataFrame) -> Model:
 
         def flush():
             for k, words in seen.items():
-                for at in range(0, len(names := list(words)), 50_000):
-                    some = names[at : at + 50_000]
+                for at in range(0, len(names := list(words)), SCORED):
+                    some = names[at : at + SCORED]
                     times = np.array([words[w] for w in some], np.int64)
                     own, bucket = features(some)
                     total[k] += np.bincount(bucket, weights=times[own], minlength=size).astype(np.int64)
@@ -196,8 +197,8 @@ def label(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 if len(known) > CACHED_WORDS:
                     known, table, sizes = {}, table[:0], sizes[:0]
                 new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
-                for at in range(0, len(new), 50_000):
-                    some = new[at : at + 50_000]
+                for at in range(0, len(new), SCORED):
+                    some = new[at : at + SCORED]
                     known.update(zip(some, range(len(known), len(known) + len(some))))
                     table = np.vstack((table, m.scores(some)))
                     sizes = np.append(sizes, [len(w) for w in some])

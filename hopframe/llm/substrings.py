@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from . import common
 
 TRIGGER = 64
-HOT_BYTES = 3 << 20
-WINDOWS = 1 << 20  # worked on at a time; with what they span, places fit in PLACE_BITS
+HOT_BYTES = 3 << 19
+WINDOWS = 1 << 18  # worked on at a time; with what they span, places fit in PLACE_BITS
 PLACE_BITS = 21
 SHORT_TRIGGER, SHORT_MODULUS = 16, 32  # of the parse inside a task
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
