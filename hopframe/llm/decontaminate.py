@@ -3,7 +3,8 @@
 1. Word weights (inverse document frequencies) come from all documents, in 2**BITS hashed counters.
 2. Benchmark items are cut into passages of WINDOW words, STRIDE apart. The TF-IDF matrix of the passages is
    factored by a distributed randomised SVD: partitions of passages multiply their rows with a random (then with
-   the improved) basis and back; the driver sums the products, whose size is that of the block's vocabulary.
+   the improved) basis and back; the driver sums the products, whose size is that of the group's vocabulary. A group
+   has at most RANK passages and a rank of as many, so that every passage keeps its own direction.
 3. Documents are cut into windows the same way and folded into the latent space. A window is a candidate for
    the items of passages with a cosine of COSINE or more (a word counts once in a window's vector, and each time in
    its norm). Windows that can't reach it, since too little of their weight is on the words of any one passage, are
@@ -13,8 +14,8 @@
    rarest quarter of its words) must be there. Paraphrases with changed or moved words pass; texts on the
    same matters don't.
 
-Items are worked on in blocks of BLOCK, so what is broadcast doesn't grow with the benchmark; documents are read once
-for each block.
+Items are worked on in blocks of about BLOCK passages, so what is broadcast doesn't grow with the benchmark; documents
+are read once for each block. A block of more than RANK passages has several groups (an item's passages may be in two).
 
 Null and empty texts match nothing; items shorter than LEAST words are not searched for; repeated documents and
 items are all reported; a null doc_id or item_id is reported as null; empty tables give empty results; other columns
@@ -34,7 +35,7 @@ from . import common
 
 BITS = 18
 WINDOW, STRIDE = 32, 16
-RANK = 256
+RANK = 512
 ROUNDS = 2  # of power iteration
 COSINE = 0.35
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
@@ -146,22 +147,28 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = ROUNDS,
     return (basis @ vectors[:, keep][:, ::-1]).astype(np.float32)
 
 
+def groups(items: list[Item]) -> list[list[tuple[int, np.ndarray]]]:
+    """(number of the item, words) of all passages, in groups of at most RANK and about the same size."""
+    every = [(k, p) for k, item in enumerate(items) for p in item.passages()]
+    size = -(-len(every) // max(1, -(-len(every) // RANK)))
+    return [every[a : a + size] for a in range(0, len(every), size)]
+
+
 class Index:
-    """One block of items in latent space."""
+    """One group of passages in latent space."""
 
-    def __init__(self, spark, items: list[Item], idf: np.ndarray, partitions: int = 4):
-        self.items, self.idf = items, idf
-        self.vocabulary = np.unique(np.concatenate([x.words for x in items]))
+    def __init__(self, spark, passages: list[tuple[int, np.ndarray]], idf: np.ndarray, partitions: int = 4):
+        self.idf = idf
+        self.vocabulary = np.unique(np.concatenate([p for _, p in passages]))
         owners, ids, weights = [], [], []
-        for k, item in enumerate(items):
-            for p in item.passages():
-                words, n = np.unique(p, return_counts=True)
-                w = n * idf[bucket(words)]
-                owners.append(k)
-                ids.append(np.searchsorted(self.vocabulary, words))
-                weights.append(w / np.linalg.norm(w))
+        for k, p in passages:
+            words, n = np.unique(p, return_counts=True)
+            w = n * idf[bucket(words)]
+            owners.append(k)
+            ids.append(np.searchsorted(self.vocabulary, words))
+            weights.append(w / np.linalg.norm(w))
         table = spark.createDataFrame([([int(i) for i in a], [float(x) for x in w]) for a, w in zip(ids, weights)], "ids array<int>, weights array<double>")
-        basis = randomised_svd(table.repartition(partitions), len(self.vocabulary), min(RANK, len(ids)))
+        basis = randomised_svd(table.repartition(partitions), len(self.vocabulary), len(ids))
         self.owner = np.array(owners)
         latent = _rows(ids, weights, basis)
         self.passages = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -222,8 +229,9 @@ class Index:
             vectors = np.add.reduceat(self.words[flat], common.run_starts(owner), axis=0)  # each has a word
             near = vectors @ self.passages.T
             w, p = np.nonzero(near >= COSINE * np.sqrt(norm[some])[:, None])
-            for k in np.unique(w * len(self.items) + self.owner[p]):
-                i, item = divmod(int(k), len(self.items))
+            most_items = int(self.owner.max()) + 1
+            for k in np.unique(w * most_items + self.owner[p]):
+                i, item = divmod(int(k), most_items)
                 yield int(some[i]), int(text[some[i]]), int(start[some[i]]), int(end[some[i]]), item
 
 
@@ -239,24 +247,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
     out = spark.createDataFrame([], "row_id long, " + FOUND)
     items = common.stage(benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), "benchmark")
-    n_blocks = max(1, -(-items.count() // BLOCK))
+    n_words = F.size(F.split("text", r"[ \t\n\x0B\f\r]+"))
+    n_passages = items.select(F.sum(F.greatest(F.ceil((n_words - STRIDE) / STRIDE), F.lit(1)))).first()[0]
+    n_blocks = max(1, -(-(n_passages or 0) // BLOCK))
     for block in range(n_blocks):
-        # a block's size is BLOCK on average, whatever the benchmark's
+        # a block has BLOCK passages on average, whatever the benchmark's size
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
         held = [x for x in (Item(r.item_id, r.text, idf) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))) if len(x.words) >= LEAST]
         if not held:
             continue
-        shared = spark.sparkContext.broadcast(Index(spark, held, idf))
+        shared = spark.sparkContext.broadcast((held, [Index(spark, group, idf) for group in groups(held)]))
 
         def search(batches, shared=shared):
-            index = shared.value
+            items, indices = shared.value
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     h, text, _, _ = common.word_hashes(*common.text_buffers(part.column(2)))
                     offsets = np.searchsorted(text, np.arange(part.num_rows + 1))
                     best: dict[tuple[int, int], tuple[float, float]] = {}
-                    for _, row, start, end, k in index.candidates(h, offsets):
-                        item = index.items[k]
+                    for _, row, start, end, k in (c for index in indices for c in index.candidates(h, offsets)):
+                        item = items[k]
                         reach = len(item.words)
                         region = h[max(offsets[row], start - reach) : min(offsets[row + 1], end + reach)]
                         if (row, k) not in best or best[row, k][0] < 1:
@@ -264,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                                 best[row, k] = max(best.get((row, k), found), found)
                     if best:
                         ids, names = part.column(0).to_pylist(), part.column(1).to_pylist()
-                        cols = zip(*((ids[r], names[r], index.items[k].item_id, a, b) for (r, k), (a, b) in sorted(best.items())))
+                        cols = zip(*((ids[r], names[r], items[k].item_id, a, b) for (r, k), (a, b) in sorted(best.items())))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
         out = out.unionByName(source.mapInArrow(common.tidy(search), "row_id long, " + FOUND))

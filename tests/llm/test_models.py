@@ -182,6 +182,29 @@ def test_leaks_and_paraphrases(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_a_full_block(spark):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(3000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [say(rng.randint(15, 59)) for _ in range(400)] + [say(16 * 700)]
+    rows = [f"{say(40)} {t} {say(40)}" for t in items[:400]] + [say(100), items[400]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert sorted(got) == [(i, i) for i in range(400)] + [(401, 400)]
+
+
+def test_passages_keep_their_norm(spark):
+    rng = random.Random(10)
+    idf = np.ones(1 << decontaminate.BITS)
+    items = [decontaminate.Item(i, " ".join(f"t{rng.randint(0, 2000)}" for _ in range(40)), idf) for i in range(200)]
+    (group,) = decontaminate.groups(items)
+    index = decontaminate.Index(spark, group, idf)
+    ids = [np.unique(np.searchsorted(index.vocabulary, p), return_counts=True) for _, p in group]
+    own = np.stack([n @ index.words[i] / np.linalg.norm(n) for i, n in ids])
+    assert len(group) > 256 and np.linalg.norm(own, axis=1).min() > 0.999
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=(30, 4)) @ rng.normal(size=(4, 25))
