@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Word weights (inverse document frequencies) come from all documents, in 2**BITS hashed counters.
-2. Benchmark items are cut into passages of WINDOW words, STRIDE apart. The TF-IDF matrix of the passages is
+2. Benchmark items are cut into passages of WINDOW words, STRIDE apart; shorter items are in classes by length, the
+   smallest window of WINDOWS that holds them. The TF-IDF matrix of the passages is
    factored by a distributed randomised SVD: partitions of passages multiply their rows with a random (then with
    the improved) basis and back; the driver sums the products, whose size is that of the group's vocabulary. A group
    has at most RANK passages and a rank of as many, so that every passage keeps its own direction.
-3. Documents are cut into windows the same way and folded into the latent space. A window is a candidate for
+3. Documents are cut into windows of each class, and these are folded into the latent space. A window is a candidate for
    the items of passages with a cosine of COSINE or more (a word counts once in a window's vector, and each time in
    its norm). Windows that can't reach it, since too little of their weight is on the words of any one passage, are
-   left out first; that bound loses none.
+   left out first; that bound loses none. Exact copies of items are candidates whatever their cosine: each item is
+   also looked for as a sequence, from its rarest word.
 4. Candidates are verified on the words themselves: the longest common subsequence of item and the window's
    surroundings must cover LCS_SHARE of the item, and ANSWER_SHARE of its answer (what follows "answer:", else the
    rarest quarter of its words) must be there. Paraphrases with changed or moved words pass; texts on the
@@ -17,7 +19,7 @@
 Items are worked on in blocks of about BLOCK passages, so what is broadcast doesn't grow with the benchmark; documents
 are read once for each block. A block of more than RANK passages has several groups (an item's passages may be in two).
 
-Null and empty texts match nothing; items shorter than LEAST words are not searched for; repeated documents and
+Null and empty texts match nothing; items shorter than LEAST words match exact copies only; repeated documents and
 items are all reported; a null doc_id or item_id is reported as null; empty tables give empty results; other columns
 are not read.
 """
@@ -35,6 +37,7 @@ from . import common
 
 BITS = 18
 WINDOW, STRIDE = 32, 16
+WINDOWS = (8, 16, WINDOW)
 RANK = 512
 ROUNDS = 2  # of power iteration
 COSINE = 0.35
@@ -147,11 +150,57 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = ROUNDS,
     return (basis @ vectors[:, keep][:, ::-1]).astype(np.float32)
 
 
+def window_of(n: int) -> int:
+    """The window of the class of n words."""
+    return next((w for w in WINDOWS if n <= w), WINDOW)
+
+
 def groups(items: list[Item]) -> list[list[tuple[int, np.ndarray]]]:
-    """(number of the item, words) of all passages, in groups of at most RANK and about the same size."""
-    every = [(k, p) for k, item in enumerate(items) for p in item.passages()]
-    size = -(-len(every) // max(1, -(-len(every) // RANK)))
-    return [every[a : a + size] for a in range(0, len(every), size)]
+    """(number of the item, words) of all passages, in groups of one class, at most RANK and about the same size. Items
+    under LEAST words have none."""
+    classes: dict[int, list] = {}
+    for k, item in enumerate(items):
+        if len(item.words) >= LEAST:
+            classes.setdefault(window_of(len(item.words)), []).extend((k, p) for p in item.passages())
+    sizes = {w: -(-len(every) // -(-len(every) // RANK)) for w, every in classes.items()}
+    return [every[a : a + sizes[w]] for w, every in sorted(classes.items()) for a in range(0, len(every), sizes[w])]
+
+
+class Exact:
+    """Finds exact copies of items' words, from the rarest word of each."""
+
+    def __init__(self, items: list[Item], idf: np.ndarray):
+        self.length = np.array([len(x.words) for x in items])
+        self.flat = np.concatenate([x.words for x in items])
+        self.begin = np.cumsum(self.length) - self.length
+        self.place = np.array([int(idf[bucket(x.words)].argmax()) for x in items])
+        anchor = self.flat[self.begin + self.place]
+        self.order = np.argsort(anchor, kind="stable")
+        self.anchors, self.first, self.n = np.unique(anchor[self.order], return_index=True, return_counts=True)
+        self.mark = np.zeros(1 << BITS, bool)
+        self.mark[bucket(anchor)] = True
+
+    def copies(self, h: np.ndarray, offsets: np.ndarray):
+        """(text, item) of the copies among texts' words."""
+        place = np.flatnonzero(self.mark[bucket(h)])
+        at = np.minimum(np.searchsorted(self.anchors, h[place]), len(self.anchors) - 1)
+        same = self.anchors[at] == h[place]
+        place, at = place[same], at[same]
+        n = self.n[at]
+        item = self.order[np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        start = np.repeat(place, n) - self.place[item]
+        row = np.searchsorted(offsets, np.repeat(place, n), "right") - 1
+        keep = (start >= offsets[row]) & (start + self.length[item] <= offsets[row + 1])
+        for step in range(STRIDE):
+            item, start, row = item[keep], start[keep], row[keep]
+            last = self.length[item] - 1
+            keep = h[start + np.minimum(step, last)] == self.flat[self.begin[item] + np.minimum(step, last)]
+        found = set()
+        for r, k, a in zip(row[keep].tolist(), item[keep].tolist(), start[keep].tolist()):
+            n, b = self.length[k], self.begin[k]
+            if (r, k) not in found and (n <= STRIDE or np.array_equal(h[a : a + n], self.flat[b : b + n])):
+                found.add((r, k))
+        return found
 
 
 class Index:
@@ -159,6 +208,8 @@ class Index:
 
     def __init__(self, spark, passages: list[tuple[int, np.ndarray]], idf: np.ndarray, partitions: int = 4):
         self.idf = idf
+        self.window = window_of(max(len(p) for _, p in passages))
+        self.stride = self.window // 2
         self.vocabulary = np.unique(np.concatenate([p for _, p in passages]))
         owners, ids, weights = [], [], []
         for k, p in passages:
@@ -191,17 +242,17 @@ class Index:
         hit = self.vocabulary[at] == h
         square = self.idf[bucket(h)] ** 2
         sizes = np.diff(offsets)
-        steps = np.maximum(-(-(sizes - STRIDE) // STRIDE), 1) * (sizes > 0)
+        steps = np.maximum(-(-(sizes - self.stride) // self.stride), 1) * (sizes > 0)
         text = np.repeat(np.arange(len(sizes)), steps)
-        start = offsets[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps))
-        end = np.minimum(start + WINDOW, offsets[text + 1])
+        start = offsets[text] + self.stride * (np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps))
+        end = np.minimum(start + self.window, offsets[text + 1])
         all_ = np.concatenate(([0.0], np.cumsum(square)))
         own = np.concatenate(([0.0], np.cumsum(square * hit)))
         norm = all_[end] - all_[start]
         may = np.flatnonzero(own[end] - own[start] >= COSINE**2 * norm * (1 - 1e-6))
         for a in range(0, len(may), 1024):
             some = may[a : a + 1024]
-            places = start[some][:, None] + np.arange(WINDOW)
+            places = start[some][:, None] + np.arange(self.window)
             inside = places < end[some][:, None]
             places = np.minimum(places, n - 1)
             inside &= hit[places]
@@ -253,18 +304,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in range(n_blocks):
         # a block has BLOCK passages on average, whatever the benchmark's size
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        held = [x for x in (Item(r.item_id, r.text, idf) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))) if len(x.words) >= LEAST]
+        held = [x for x in (Item(r.item_id, r.text, idf) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))) if len(x.words)]
         if not held:
             continue
-        shared = spark.sparkContext.broadcast((held, [Index(spark, group, idf) for group in groups(held)]))
+        shared = spark.sparkContext.broadcast((held, Exact(held, idf), [Index(spark, group, idf) for group in groups(held)]))
 
         def search(batches, shared=shared):
-            items, indices = shared.value
+            items, exact, indices = shared.value
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     h, text, _, _ = common.word_hashes(*common.text_buffers(part.column(2)))
                     offsets = np.searchsorted(text, np.arange(part.num_rows + 1))
-                    best: dict[tuple[int, int], tuple[float, float]] = {}
+                    best: dict[tuple[int, int], tuple[float, float]] = dict.fromkeys(exact.copies(h, offsets), (1.0, 1.0))
                     for _, row, start, end, k in (c for index in indices for c in index.candidates(h, offsets)):
                         item = items[k]
                         reach = len(item.words)

@@ -194,6 +194,26 @@ def test_leaks_of_a_full_block(spark):
     assert sorted(got) == [(i, i) for i in range(400)] + [(401, 400)]
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(11)
+    common, rare = [f"c{i}" for i in range(200)], [f"r{i}" for i in range(5000)]
+    say = lambda n, share=0.5: " ".join(rng.choice(rare if rng.random() < share else common) for _ in range(n))
+    items = [say(rng.randint(3, 16), 0.3) for _ in range(120)] + ["r1 r2", "  ", "r3"]
+    soft = [t.split() for t in items[:120] if len(t.split()) >= 7]
+    for t in soft:
+        t[len(t) // 2] = "x"
+    rows = [f"{say(40)} {t.upper()} {say(40)}" for t in items[:120]] + ["c1 r1 r2", "r1 c1 r2", "", None]
+    rows += [f"{say(40)} {' '.join(t)} {say(40)}" for t in soft]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.lcs_share for r in decontaminate.contaminated(docs, bench).collect()}
+    plain = [f" {(t or '').lower()} " for t in rows]
+    want = {(d, i) for i, t in enumerate(items) if t.strip() for d, text in enumerate(plain) if f" {t} " in text}
+    assert {x for x, share in got.items() if share == 1} >= want and (120, 120) in want and (121, 120) not in got
+    kept = [i for i, t in enumerate(items[:120]) if len(t.split()) >= 7]
+    assert sum((124 + k, i) in got for k, i in enumerate(kept)) >= 0.9 * len(kept)
+
+
 def test_passages_keep_their_norm(spark):
     rng = random.Random(10)
     idf = np.ones(1 << decontaminate.BITS)
