@@ -7,11 +7,14 @@ norm of its reconstruction. A query scores all indexed vectors from a table of i
 
     |q - x|^2 ~ |q|^2 - 2 sum_m <q, word_m(x)> + |x|^2
 
-and the best `shortlist` are ranked again by their exact distance.
+and the best `shortlist` are ranked again by their exact distance. The k-th of these is proven: a vector's distance is
+at least that of its reconstruction less the reconstruction's error, which is indexed too, and every vector for which
+this isn't above the k-th is ranked exactly as well. So results are those of brute force, whatever the vectors; the
+codes only spare exact distances.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids, so a group of copies takes one place of a
-shortlist, however large it is. Queries and index are dealt out in blocks; a task scores one block of queries
-against one block of vectors and keeps the best `shortlist` of it.
+shortlist, however large it is. Queries and index are dealt out in blocks; a task answers one block of queries
+from one block of vectors and keeps the best k ids of it.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components take
 no part, as candidates or queries. Rows with a null id take no part. An id that occurs twice is a candidate
@@ -34,7 +37,8 @@ SAMPLE = 16_384
 BOOKS, WORDS = 16, 256
 BEAM = 8
 SHORTLIST = 1024
-INDEX_BLOCK, QUERY_BLOCK = 65_536, 512
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 4096
+SLACK = 1e-9  # of the lengths involved, for rounding in the bound
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -91,11 +95,11 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def build(vectors: DataFrame, copies: int, books: int = BOOKS, words: int = WORDS) -> tuple[DataFrame, Codebooks | None, int]:
-    """The index (key, ids, codes, norm, embedding: one row per distinct vector), its codebooks and dimension."""
+    """The index (key, ids, embedding, codes, norm, error: one row per distinct vector), its codebooks and dimension."""
     rows = _usable(vectors)
     d = rows.select(F.size("embedding").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
     if d is None:
-        return rows.sparkSession.createDataFrame([], "key long, ids array<long>, embedding array<double>, codes binary, norm double"), None, 0
+        return rows.sparkSession.createDataFrame([], "key long, ids array<long>, embedding array<double>, codes binary, norm double, error double"), None, 0
     d = d[0]
     rows = rows.where(F.size("embedding") == d)
     smallest = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, copies)
@@ -112,10 +116,13 @@ def build(vectors: DataFrame, copies: int, books: int = BOOKS, words: int = WORD
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes, norms = c.encode(_matrix(part.column(2), d))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["key", "ids", "embedding", "codes", "norm"])
+                x = _matrix(part.column(2), d)
+                codes, _ = c.encode(x)
+                rebuilt = sum(book[codes[:, j]].astype(np.float64) for j, book in enumerate(c.books))
+                norm, error = (rebuilt**2).sum(axis=1), np.sqrt(((x - rebuilt) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norm), pa.array(error)], names=["key", "ids", "embedding", "codes", "norm", "error"])
 
-    index = distinct.repartition(F.col("key")).mapInArrow(common.tidy(encode), "key long, ids array<long>, embedding array<double>, codes binary, norm double")
+    index = distinct.repartition(F.col("key")).mapInArrow(common.tidy(encode), "key long, ids array<long>, embedding array<double>, codes binary, norm double, error double")
     return common.stage(index, "index"), fitted, d
 
 
@@ -126,50 +133,65 @@ def search(index: DataFrame, books: Codebooks | None, d: int, queries: DataFrame
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = _usable(queries).where(F.size("embedding") == d).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     asked = common.stage(asked, "queries")
-    numbered = index.select(F.element_at("ids", 1).alias("rep"), "codes", "norm")
     n, q = index.count(), asked.count()
     n_blocks, q_blocks = max(1, math.ceil(n / INDEX_BLOCK)), max(1, math.ceil(q / QUERY_BLOCK))
-    blocks = numbered.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    numbered = index.select("ids", "embedding", "codes", "norm", "error", F.pmod(F.xxhash64("key", F.element_at("ids", 1)), F.lit(n_blocks)).cast("int").alias("block"))
+    blocks = numbered.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asks = asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     shared = spark.sparkContext.broadcast(books.books)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = shared.value
-        m, w, _ = words.shape
-        rep, norm = left["rep"].to_numpy(), left["norm"].to_numpy()
-        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(-1, m) if len(rep) else np.empty((0, m), np.uint8)
-        order = np.argsort(rep)
-        rep, norm, codes = rep[order], norm[order], codes[order]
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = shared.value.astype(np.float64)
+        m = len(words)
         out_q, out_v, out_s = [], [], []
-        if len(rep):
-            x = _matrix(right["embedding"].combine_chunks(), d).astype(np.float32)
-            for one, vector in zip(right["query_id"].to_pylist(), x):
+        if left.num_rows and right.num_rows:
+            x, norm, error = _matrix(left["embedding"].combine_chunks(), d), left["norm"].to_numpy(), left["error"].to_numpy()
+            codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(-1, m)
+            ids = left["ids"].combine_chunks()
+            flat, n_ids = ids.flatten().to_numpy(), np.asarray(ids.value_lengths())
+            first = np.cumsum(n_ids) - n_ids
+            length = np.sqrt((x**2).sum(axis=1))
+
+            def nearest(one: int, vector: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """The k nearest ids of these rows, and their distances."""
+                score = np.sqrt(((x[rows] - vector) ** 2).sum(axis=1))
+                if len(rows) > 2 * k + 2:  # each of the k nearest ids is in one of as many rows, unless an id has several
+                    near = np.flatnonzero(score <= np.partition(score, 2 * k + 1)[2 * k + 1])
+                    if len(np.setdiff1d(flat[first[rows[near]]], [one])) >= k:
+                        rows, score = rows[near], score[near]
+                n = n_ids[rows]
+                place = np.repeat(first[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                v, s = flat[place], np.repeat(score, n)
+                v, s = v[v != one], s[v != one]
+                order = np.lexsort((v, s))
+                _, where = np.unique(v[order], return_index=True)
+                order = order[np.sort(where)][:k]
+                return v[order], s[order]
+
+            for one, vector in zip(right["query_id"].to_pylist(), _matrix(right["embedding"].combine_chunks(), d)):
                 table = words @ vector
                 product = table[0][codes[:, 0]]
                 for j in range(1, m):
                     product += table[j][codes[:, j]]
+                square = float(vector @ vector)
                 near = norm - 2.0 * product
-                best = np.argpartition(near, shortlist - 1)[:shortlist] if len(near) > shortlist else np.arange(len(near))
-                out_q.append(one)
-                out_v.append(rep[best])
-                out_s.append(near[best])
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "reps": pa.array(out_v, pa.list_(pa.int64())), "near": pa.array(out_s, pa.list_(pa.float64()))})
-
-    found = blocks.groupBy("block", "deal").cogroup(asks.groupBy("block", "deal")).applyInArrow(score, "query_id long, reps array<long>, near array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("near", "reps")).alias("c")).select("query_id", "c.near", "c.reps")
-
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "reps"))
-    short = pairs.withColumn("place", place).where(F.col("place") <= shortlist).select("query_id", F.col("reps").alias("rep"))
-    whole = short.join(index.select(F.element_at("ids", 1).alias("rep"), "ids", F.col("embedding").alias("v")), "rep").join(asked, "query_id")
-
-    def rank(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            a, b = _matrix(t["embedding"].combine_chunks(), d), _matrix(t["v"].combine_chunks(), d)
-            yield from t.select(["query_id", "ids"]).append_column("score", pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))).to_batches()
-
-    exact = whole.select("query_id", "ids", "embedding", "v").mapInArrow(common.tidy(rank), "query_id long, ids array<long>, score double")
-    each = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                rows = np.argpartition(near, shortlist - 1)[:shortlist] if len(near) > shortlist else np.arange(len(near))
+                v, s = nearest(one, vector, rows)
+                if len(rows) < len(near):
+                    worst = s[-1] if len(s) == k else np.inf
+                    scale = SLACK * (square + norm + length**2)
+                    least = np.sqrt(np.maximum(near + square - scale, 0.0)) - error * (1 + SLACK)
+                    open_ = least <= worst * (1 + SLACK)
+                    open_[rows] = True
+                    v, s = nearest(one, vector, np.flatnonzero(open_))
+                out_q.append(np.full(len(v), one, np.int64))
+                out_v.append(v)
+                out_s.append(s)
+        whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"query_id": whole(out_q, pa.int64()), "vec_id": whole(out_v, pa.int64()), "score": whole(out_s, pa.float64())})
+
+    found = blocks.groupBy("block", "deal").cogroup(asks.groupBy("block", "deal")).applyInArrow(answer, "query_id long, vec_id long, score double")
+    each = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank_ = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return each.withColumn("rank", rank_).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

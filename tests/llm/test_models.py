@@ -115,6 +115,31 @@ def test_neighbours_with_few_or_none(spark):
     assert ann.search(index, books, d, df, 10).count() == 0
 
 
+def test_neighbours_in_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    x[:3000] = x[0] + rng.normal(size=(3000, 16)) * 0.01
+    x[7], x[5000] = x[8], x[5001]
+    ids = np.arange(6000)
+    ids[100:150] = 99  # one id, many vectors
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    index, books, d = ann.build(df, 11, books=4, words=32)
+    got = {}
+    for r in ann.search(index, books, d, df.where("vec_id % 100 in (0, 8, 99)"), 10, shortlist=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert len(got) == len({i for i in ids.tolist() if i % 100 in (0, 8, 99)})
+    for q, found in got.items():
+        v = x[ids == q]
+        v = v[np.lexsort(v.T[::-1])[0]]  # the smallest
+        near = np.sqrt(((x - v) ** 2).sum(axis=1))
+        least = {}
+        for i, s in zip(ids.tolist(), near.tolist()):
+            if i != q:
+                least[i] = min(s, least.get(i, s))
+        want = sorted(least, key=lambda i: (least[i], i))[:10]
+        assert [i for _, i in sorted(found)] == want, q
+
+
 def test_encoding_beats_greedy():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 16))
