@@ -9,7 +9,8 @@
 3. Documents are cut into windows of each class, and these are folded into the latent space. A window is a candidate for
    the items of passages with a cosine of COSINE or more (a word counts once in a window's vector, and each time in
    its norm). Windows that can't reach it, since too little of their weight is on the words of any one passage, are
-   left out first; that bound loses none. Exact copies of items are candidates whatever their cosine: each item is
+   left out first; that bound loses none while the rank is that of the passages (below it, a passage's image also has
+   words that aren't the passage's). Exact copies of items are candidates whatever their cosine: each item is
    also looked for as a sequence, from its rarest word.
 4. Candidates are verified on the words themselves: the longest common subsequence of item and the window's
    surroundings must cover LCS_SHARE of the item, and ANSWER_SHARE of its answer (what follows "answer:", else the

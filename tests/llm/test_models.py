@@ -250,6 +250,26 @@ def test_passages_keep_their_norm(spark):
     assert len(group) > 256 and np.linalg.norm(own, axis=1).min() > 0.999
 
 
+def test_the_bound_loses_no_window(spark):
+    rng = random.Random(12)
+    idf = np.random.default_rng(12).uniform(0.5, 6, 1 << decontaminate.BITS)
+    say = lambda n: " ".join(f"t{int(rng.paretovariate(0.4)) % 400}" for _ in range(n))
+    items = [decontaminate.Item(i, say(40), idf) for i in range(200)]
+    (group,) = decontaminate.groups(items)
+    index = decontaminate.Index(spark, group, idf)
+    h = np.concatenate([decontaminate.Item(0, say(3000), idf).words, *(np.concatenate([x.words[:9], x.words[20:]]) for x in items[:40])])
+    got = {(start, item) for _, _, start, _, item in index.candidates(h, np.array([0, len(h)]))}
+    want = {}
+    for start in range(0, len(h) - decontaminate.STRIDE, decontaminate.STRIDE):
+        x = h[start : start + decontaminate.WINDOW]
+        known = np.unique(x[np.isin(x, index.vocabulary)])
+        near = index.words[np.searchsorted(index.vocabulary, known)].sum(axis=0) @ index.passages.T / np.sqrt((idf[decontaminate.bucket(x)] ** 2).sum())
+        for p, c in enumerate(near):
+            want[start, int(index.owner[p])] = max(float(c), want.get((start, int(index.owner[p])), -1.0))
+    sure = {k for k, c in want.items() if c > decontaminate.COSINE + 1e-4}
+    assert len(group) > 256 and len(sure) > 100 and sure <= got <= {k for k, c in want.items() if c > decontaminate.COSINE - 1e-4}
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=(30, 4)) @ rng.normal(size=(4, 25))
