@@ -60,8 +60,13 @@ def positional_cost(a, b) -> float:
 
 
 def edit_distance(a, b, limit: int = SEARCH_LIMIT) -> float:
+    """Least cost of node and edge edits, or the least found within `limit` partial assignments."""
+    return search(a, b, limit)[0]
+
+
+def search(a, b, limit: int = SEARCH_LIMIT) -> tuple[float, bool]:
     """Least cost of node and edge edits: depth-first over assignments of a's nodes, cut by the cost so far plus the
-    least that the remaining nodes can cost."""
+    least that the remaining nodes can cost. False with it where the limit ended the search."""
     (la, ea), (lb, eb) = a, b
     cost = np.array([[label_distance(x, y) for y in lb] for x in la])
     best, looked = positional_cost(a, b), 0
@@ -88,11 +93,12 @@ def edit_distance(a, b, limit: int = SEARCH_LIMIT) -> float:
         walk(i + 1, [*to, None], free, so_far + 1 + len(out_a[i]))
 
     walk(0, [], list(range(len(lb))), 0.0)
-    return float(best)
+    return float(best), looked <= limit
 
 
 def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES) -> tuple[float, str | None]:
-    """(distance over the larger graph's nodes and edges, why it isn't searched for). Self-loops count as edges; see
+    """(distance over the larger graph's nodes and edges, why it may not be the least: "node_cap" where it isn't
+    searched for, "step_budget" where the search was ended). Self-loops count as edges; see
     README for where this differs from heuristic searches."""
     a, b = graph(pred), graph(gold)
     size = max(len(a[0]) + len(a[1]), len(b[0]) + len(b[1]))
@@ -102,7 +108,8 @@ def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES) -> tuple
         return 1.0, None
     if max(len(a[0]), len(b[0])) > most:
         return positional_cost(a, b) / size, "node_cap"
-    return edit_distance(a, b) / size, None
+    cost, whole = search(a, b)
+    return cost / size, None if whole else "step_budget"
 
 
 @F.pandas_udf(T.StructType([T.StructField("ged", T.DoubleType()), T.StructField("ged_fallback", T.StringType())]))

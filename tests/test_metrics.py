@@ -43,6 +43,12 @@ def test_node_cap(spark):
     assert r.ged == pytest.approx(18 / 17) and r.ged_fallback == "node_cap"
 
 
+def test_step_budget(spark):
+    gold = [f"find thing {i} of [#{max(i - 1, 1)}]" for i in range(1, 9)]
+    assert score(spark, gold[::-1], gold).ged_fallback == "step_budget"
+    assert score(spark, gold[:4][::-1], gold[:4]).ged_fallback is None
+
+
 def test_words_for_references(spark):
     r = score(spark, [THREE[0], "Which country contains it?", "What is the capital of that?"], THREE)
     assert (r.chain_validity, r.reference_validity) == (0, 1)
