@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import pickle
 import tempfile
 import uuid
 
@@ -91,13 +92,23 @@ def partition_of(row_id: str = "row_id"):
     return F.shiftright(F.col(row_id), 33).cast("int")
 
 
-def side_table(df: DataFrame, tag: str) -> str:
-    """Write df, which has row_id or pid, in one folder per scan partition; workers load only their own."""
+def scan_partitions(source: DataFrame) -> int:
+    return max(1, source.rdd.getNumPartitions())
+
+
+PIECES = 4  # tasks that share what one scan partition is told
+
+
+def side_table(df: DataFrame, tag: str, source: DataFrame) -> str:
+    """Write df, which has row_id or pid, in one folder per scan partition of source; workers load only their own. It
+    is written by as many tasks as source has partitions, whatever the session's default, so tasks don't grow with
+    the input."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
+    deal = F.pmod(F.xxhash64(*df.columns), F.lit(PIECES))
     if "pid" not in df.columns:
         df = df.withColumn("pid", partition_of())
-    df.repartition("pid").write.option("compression", "zstd").partitionBy("pid").parquet(path)
+    df.repartition(scan_partitions(source), "pid", deal).write.option("compression", "zstd").partitionBy("pid").parquet(path)
     return path
 
 
@@ -113,23 +124,78 @@ def load_side(path: str, pid: int) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f.path)).read() for f in sorted(files, key=lambda x: x.path)])
 
 
+_TOLD: dict[str, object] = {}
+
+
+def tell(spark: SparkSession, what: object, tag: str) -> str:
+    """Write an object of bounded size below the shared folder, for workers to read with `told`. Unlike a broadcast's
+    copies on every executor's disk, which stay until its garbage is collected, the one file goes with `remove`."""
+    from pyarrow import fs as pafs
+
+    path = new_dir(spark, tag)
+    fs, base = pafs.FileSystem.from_uri(path)
+    fs.create_dir(os.path.dirname(base), recursive=True)
+    with fs.open_output_stream(base) as f:
+        f.write(pickle.dumps(what, protocol=5))
+    return path
+
+
+def told(path: str):
+    """What `tell` has written, read once by a worker as long as it's the last one."""
+    from pyarrow import fs as pafs
+
+    if path not in _TOLD:
+        _TOLD.clear()
+        fs, base = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(base) as f:
+            _TOLD[path] = pickle.loads(f.read())
+    return _TOLD[path]
+
+
+_HELD: list[dict | list] = [_TOLD]  # what modules keep in a worker between tasks
+_LAST = [""]
+
+
+def held(store):
+    """Register a module's dict or list of things that a worker keeps between tasks; see `tidy`."""
+    _HELD.append(store)
+    return store
+
+
 def tidy(work):
-    """A mapInArrow function that gives freed memory back to the system at its end: workers live on between tasks and
-    stages, and an executor's limit counts what their allocators keep."""
+    """A mapInArrow function that gives freed memory back to the system at its end, and, where the worker's last task was
+    another module's, first drops what modules have kept: workers live on between tasks and stages, and an executor's
+    limit counts what their allocators keep."""
+    owner = work.__module__
 
     def run(batches):
-        import ctypes
-
+        forget_others(owner)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: nothing to trim
-            pass
+        give_back()
 
     return run
 
 
+def forget_others(owner: str) -> None:
+    if _LAST[0] != owner:
+        _LAST[0] = owner
+        for store in _HELD:
+            store.clear()
+        give_back()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def task_partition() -> int:
     from pyspark import TaskContext
 
@@ -170,7 +236,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+_POWERS: list[np.ndarray] = held([])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

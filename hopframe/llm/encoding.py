@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from . import common
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, object] = common.held({})
 
 
 def tokenizer(path: str):
@@ -148,7 +148,7 @@ class Pieces:
         return ids, np.bincount(of_text, weights=count, minlength=len(offsets) - 1).astype(np.int64)
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[str, Pieces] = common.held({})
 
 
 def encode(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from . import common
 
 BLOB = 1024  # keys in a row
+MOST_TASKS = 100_000
 BLOBS = "pid int, part int, level int, keys binary, counts binary, flags binary"
 REPLIES = "pid int, level int, keys binary, counts binary, tokens long, kinds long, once long, twice long"
 
 
 def ranges(source: DataFrame) -> int:
-    """So many that a range holds a sixteenth of a scan partition's keys."""
-    return max(256, 16 * source.rdd.getNumPartitions())
+    """So many that a range holds half of a scan partition's keys. A partition sends a row to every range, as it would
+    send a block to every reducer of a shuffle, so ranges are as large as a task's memory allows."""
+    return max(256, 2 * common.scan_partitions(source))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -65,8 +67,9 @@ def send(pid: int, level: int, keys: np.ndarray, counts: np.ndarray, flags: np.n
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
 
 
-def answers(blobs: DataFrame) -> DataFrame:
-    """What each scan partition needs to know of its n-grams, and each range's totals (rows with pid -1)."""
+def answers(blobs: DataFrame, parts: int) -> DataFrame:
+    """What each scan partition needs to know of its n-grams, and each range's totals (rows with pid -1). `parts` is
+    what `ranges` said; half as many tasks deal with them, so that none grows with the input."""
 
     schema = pa.schema([("pid", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), *((k, pa.int64()) for k in ("tokens", "kinds", "once", "twice"))])
 
@@ -104,7 +107,7 @@ def answers(blobs: DataFrame) -> DataFrame:
         if held:
             yield from work(now[1], held)
 
-    dealt = blobs.repartition("part").sortWithinPartitions("part", "level")
+    dealt = blobs.repartition(min(parts // 2, MOST_TASKS), "part").sortWithinPartitions("part", "level")
     return common.stage(dealt.mapInArrow(common.tidy(rows), REPLIES), "ngrams")
 
 

@@ -143,9 +143,9 @@ def score(docs: DataFrame, train, weight: float = WEIGHT) -> DataFrame:
     is the condition of the rows that the model learns from. base_score is that of add-one unigrams."""
     source = common.with_row_id(docs.withColumn("train", train), F.col("doc_id").cast("long").alias("doc_id"), "text", "train")
     parts = exchange.ranges(source)
-    replies = exchange.answers(_counts(source, parts))
+    replies = exchange.answers(_counts(source, parts), parts)
     totals = replies.where("pid = -1").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tokens", "kinds", "once", "twice"))).first()
-    path = common.side_table(replies.where("pid >= 0").select("pid", "level", "keys", "counts"), "arcs")
+    path = common.side_table(replies.where("pid >= 0").select("pid", "level", "keys", "counts"), "arcs", source)
     model = Automaton(*totals, weight)
 
     def rows(batches):

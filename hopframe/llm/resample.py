@@ -87,7 +87,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels has doc_id and target."""
     source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = labels.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.min("target").alias("target"))
-    path = common.side_table(source.select("row_id", "doc_id").join(told, "doc_id").select("row_id", "target"), "labels")
+    path = common.side_table(source.select("row_id", "doc_id").join(told, "doc_id").select("row_id", "target"), "labels", source)
 
     def join(batches):
         pid = None

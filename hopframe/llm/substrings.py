@@ -170,7 +170,7 @@ def _all_phrases(source: DataFrame, length: int) -> DataFrame:
 
 def _bytes_of(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted phrases (trigger, row_id, at, windows, known) with their bytes."""
-    path = common.side_table(wanted, "wanted")
+    path = common.side_table(wanted, "wanted", source)
 
     def rows(batches):
         schema = pa.schema([("trigger", pa.int64()), ("row_id", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("known", pa.bool_()), ("bytes", pa.binary())])
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTE
     The rows are those of docs, in its scan partitions."""
     source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     kept_columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[3:]]
-    path = common.side_table(repeated_spans(source.select("row_id", "text"), length, hot_bytes), "removed")
+    path = common.side_table(repeated_spans(source.select("row_id", "text"), length, hot_bytes), "removed", source)
 
     def rows(batches):
         span = pa.struct([("from", pa.int64()), ("to", pa.int64())])
