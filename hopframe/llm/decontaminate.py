@@ -17,7 +17,7 @@
    rarest quarter of its words) must be there. Paraphrases with changed or moved words pass; texts on the
    same matters don't.
 
-Items are worked on in blocks of about BLOCK passages, so what is broadcast doesn't grow with the benchmark; documents
+Items are worked on in blocks of about BLOCK passages, so what workers are told doesn't grow with the benchmark; documents
 are read once for each block. A block of more than RANK passages has several groups (an item's passages may be in two).
 
 Null and empty texts match nothing; items shorter than LEAST words match exact copies only; repeated documents and
@@ -122,10 +122,10 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = ROUNDS,
     rank = min(rank, terms)
 
     def product(basis: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(basis)
+        shared = common.tell(spark, basis, "basis")
 
         def multiply(batches):
-            q = shared.value
+            q = common.told(shared)
             out = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
@@ -141,7 +141,9 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = ROUNDS,
 
         parts = rows.mapInArrow(common.tidy(multiply), "part binary").toLocalIterator()
         shape = (basis.shape[1], basis.shape[1]) if gram else basis.shape
-        return sum((np.frombuffer(r[0], np.float32).reshape(shape).astype(np.float64) for r in parts), np.zeros(shape))
+        total = sum((np.frombuffer(r[0], np.float32).reshape(shape).astype(np.float64) for r in parts), np.zeros(shape))
+        common.remove(spark, shared)
+        return total
 
     basis = np.random.default_rng(seed).standard_normal((terms, rank))
     for _ in range(1 + rounds):
@@ -308,10 +310,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = [x for x in (Item(r.item_id, r.text, idf) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))) if len(x.words)]
         if not held:
             continue
-        shared = spark.sparkContext.broadcast((held, Exact(held, idf), [Index(spark, group, idf) for group in groups(held)]))
+        shared = common.tell(spark, (held, Exact(held, idf), [Index(spark, group, idf) for group in groups(held)]), "block")
 
         def search(batches, shared=shared):
-            items, exact, indices = shared.value
+            items, exact, indices = common.told(shared)
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     h, text, _, _ = common.word_hashes(*common.text_buffers(part.column(2)))
@@ -329,7 +331,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cols = zip(*((ids[r], names[r], items[k].item_id, a, b) for (r, k), (a, b) in sorted(best.items())))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-        out = out.unionByName(source.mapInArrow(common.tidy(search), "row_id long, " + FOUND))
+        found = common.stage(source.mapInArrow(common.tidy(search), "row_id long, " + FOUND), "leaks")
+        common.remove(spark, shared)
+        out = out.unionByName(found)
     return out
 
 

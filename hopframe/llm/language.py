@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters, lower-cased. A word's script (by its first letter) narrows the languages it may
+Words are runs of letters and their combining marks, lower-cased. A word's script (by its first letter) narrows the languages it may
 be in; each of them scores the word by its character n-grams (1 to 5 bytes, and the word as a whole) under
 hashed counts learned from labelled text; a Viterbi path with a penalty for each change of language labels
 the words. Most texts need no path search: cumulative sums show that no stretch gains enough in another
@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SHARE = 0.005  # of a language's letters in a script, for that script to be its
 CACHED_WORDS = 200_000
 SCORED = 8_000  # words at a time; each has some fifty n-grams
 WORD = re.compile(r"[^\W\d_]+")
+ABOVE = re.compile("[\u0300-\U0010ffff]")  # a first, fast look for combining marks
+MARK, MARKED = regex.compile(r"\p{M}"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 # First code points of script ranges (fixed values of the Unicode standard); letters outside the named ranges are "other".
 SCRIPTS = [
@@ -49,6 +52,12 @@ FIRSTS = [a for a, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words: a letter and the letters and combining marks after it."""
+    text = text.lower()
+    return (MARKED if ABOVE.search(text) and MARK.search(text) else WORD).findall(text)
+
+
 def script(word: str) -> int:
     return NAMES.index(SCRIPTS[max(bisect.bisect_right(FIRSTS, ord(word[0])) - 1, 0)][1])
 
@@ -162,7 +171,7 @@ def learn(rows: DataFrame) -> Model:
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(place[lang], Counter()).update(WORD.findall(text.lower()))
+                seen.setdefault(place[lang], Counter()).update(words_of(text))
             if sum(map(len, seen.values())) > CACHED_WORDS:
                 flush()
         flush()
@@ -193,7 +202,7 @@ def label(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for part in common.slices(batch, "text"):
-                words = [WORD.findall(t.lower()) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
+                words = [words_of(t) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
                 if len(known) > CACHED_WORDS:
                     known, table, sizes = {}, table[:0], sizes[:0]
                 new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
