@@ -154,12 +154,42 @@ def test_bootstrap_and_mcnemar(spark):
     assert math.isclose(m.p_value, 2 * 0.5**120)
 
 
-def test_masking():
-    ents = [{"start": 0, "end": 3, "entity_group": "B-ORG", "score": 0.9}, {"start": 5, "end": 24, "entity_group": "ORG", "score": 0.8}]
-    assert masking.mask("Torquay Lifeboat Station was built on May 5, 1890 for 3 million.", ents, True) == "[ORG] was built on [DATE] for [NUM]."
-    assert masking.mask("In 1990s, 12/3/1999", None, True) == "In [DATE]"
-    assert masking.mask("", None, True) == "" and masking.mask("He saw 12", None, False) == "He saw [MASK]"
-    assert masking.merge_intervals([(5, 7), (0, 2), (2, 4)]) == [(0, 4), (5, 7)]
+def test_masking(spark):
+    ents = [(0, 3, "B-ORG", 0.9), (5, 24, "ORG", 0.8)]
+    rows = [("Torquay Lifeboat Station was built on May 5, 1890 for 3 million.", ents), ("In 1990s, 12/3/1999", None), ("", None), (None, None), ("He saw 12", None), ("pi 3.1999 or 1999,5 or 3,1990s", None), ("a [NUM] b 7 , c", None)]
+    df = spark.createDataFrame(rows, f"text string, ents {masking.ENTITIES}")
+    got = [(r.m.typed, r.m.uniform) for r in df.select(masking.mask_both(F.col("text"), F.col("ents")).alias("m")).collect()]
+    assert got == [
+        ("[ORG] was built on [DATE] for [NUM].", "[MASK] was built on [MASK] for [MASK]."), ("In [DATE]", "In [MASK]"), ("", ""), ("", ""), ("He saw [NUM]", "He saw [MASK]"),
+        ("pi 3.[DATE] or [DATE],5 or 3,[DATE]", "pi 3.[MASK] or [MASK],5 or 3,[MASK]"), ("a [NUM] b [NUM], c", "a [MASK] b [MASK], c"),
+    ]
+
+
+def test_recognizer_spans(spark):
+    text = "Ann Lee met the senate in New-York, x"
+    spans = [(0, 7, "PER", 0.5), (4, 7, "ORG", 0.99), (16, 22, "ORG", 0.9), (26, 29, "LOC", 0.4), (30, 34, "ORG", 0.9), (36, 37, "ORG", 0.9), (30, 99, "ORG", 1.0)]
+    df = spark.createDataFrame([(text, spans)], f"text string, ents {masking.ENTITIES}")
+    got = df.select(masking.settled(F.col("text"), F.col("ents"), masking.Rules()).alias("s")).first().s
+    assert [(x.s, x.e, x.tag) for x in got] == [(0, 7, "[PERSON]"), (26, 34, "[ORG]")]  # longer wins; generic, lower-case, out of range go; inside a word
+
+
+def test_recognizer_hook(spark):
+    find = lambda texts: [[{"start": 0, "end": 3, "entity_group": "PER", "score": "0.5"}] if t.startswith("Bob") else [] for t in texts]
+    df = spark.createDataFrame([("Bob ran 5 miles",), (None,), ("nobody",)], "text string")
+    assert [r.m for r in df.select(masking.mask(F.col("text"), True, masking.recognize(find)("text")).alias("m")).collect()] == ["[PERSON] ran [NUM] miles", "", "nobody"]
+
+
+def test_rules_from_json():
+    assert masking.load_rules('{"gap": 2, "keep": ["x"]}').gap == 2
+    for bad in ('{"nope": 1}', '{"uniform": "[WHAT]"}'):
+        with pytest.raises(ValueError):
+            masking.load_rules(bad)
+
+
+def test_names_in_corpus(spark):
+    names = spark.createDataFrame([("art",), ("???",), ("Glass House of Kings",), ("zebra",), ("",)], "name string")
+    corpus = spark.createDataFrame([("The party ??? was",), ("glass house of kings",), (None,)], "text string")
+    assert {r[0] for r in masking.names_in_corpus(names, corpus).collect()} == {"art", "???", "Glass House of Kings"}
 
 
 def test_names_boundary_after_longest():
