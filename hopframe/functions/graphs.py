@@ -123,21 +123,26 @@ def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 - label_distance(x, y) for x, y in zip(a, b)])
 
 
+NONSENSE = "qux frob the wug"
 SHAPES = ("chain", "repeat_text", "gold_repeat", "all_pairs", "nonsense", "nonsense_refs", "gold_no_refs", "gold_refs")
 
 
 def shape(name: str, n: int, gold: list[str]) -> list[str]:
-    """Deterministic step lists for timing the distance."""
-    text = gold[-1] if gold else "step"
-    bare = re.sub(r"@@\d+@@", "it", text)
+    """Deterministic lists of n steps for timing the distance: "gold_no_refs" repeats the gold's first step, "gold_refs" its
+    first step with a reference, "nonsense_refs" one text that refers to step 1."""
+    if not gold:
+        raise ValueError("shapes are made from a gold decomposition")
+    referring = next((x for x in gold if re.search(r"#\d+|@@\d+@@", x)), None)
+    if name == "gold_refs" and referring is None:
+        raise ValueError("no gold step has a reference")
     makers = {
         "chain": lambda i: f"do @@{i - 1}@@" if i > 1 else "do it",
         "repeat_text": lambda i: "the same step",
-        "gold_repeat": lambda i: gold[(i - 1) % len(gold)] if gold else "step",
+        "gold_repeat": lambda i: gold[(i - 1) % len(gold)],
         "all_pairs": lambda i: " ".join(["join", *(f"@@{k}@@" for k in range(1, i))]),
-        "nonsense": lambda i: "zzz",
-        "nonsense_refs": lambda i: f"zzz @@{max(i - 1, 1)}@@",
-        "gold_no_refs": lambda i: bare,
-        "gold_refs": lambda i: text,
+        "nonsense": lambda i: NONSENSE,
+        "nonsense_refs": lambda i: f"{NONSENSE} @@1@@",
+        "gold_no_refs": lambda i: gold[0],
+        "gold_refs": lambda i: referring,
     }
     return [makers[name](i) for i in range(1, n + 1)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from . import text as T
+from .binding import let
 
 
 def indexes(n: Column) -> Column:
@@ -27,44 +28,86 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def set_prf(pred: Column, gold: Column) -> Column:
     """struct(precision, recall, f1) of distinct items; both empty: 1."""
-    p, g = F.array_distinct(pred), F.array_distinct(gold)
-    both = F.size(F.array_intersect(p, g))
-    empty = (F.size(p) == 0) & (F.size(g) == 0)
-    pr, rc = safe_div(both, F.size(p)), safe_div(both, F.size(g))
-    one = lambda c: F.when(empty, F.lit(1.0)).otherwise(c)
-    return F.struct(one(pr).alias("precision"), one(rc).alias("recall"), one(safe_div(2 * pr * rc, pr + rc)).alias("f1"))
+
+    def of(s: Column) -> Column:
+        both, n, m = F.size(F.array_intersect(s["p"], s["g"])), F.size(s["p"]), F.size(s["g"])
+        return let(F.struct(both.alias("both"), n.alias("n"), m.alias("m")), rates)
+
+    def rates(c: Column) -> Column:
+        empty = (c["n"] == 0) & (c["m"] == 0)
+        one = lambda x: F.when(empty, F.lit(1.0)).otherwise(x)
+        pr, rc = safe_div(c["both"], c["n"]), safe_div(c["both"], c["m"])
+        return F.struct(one(pr).alias("precision"), one(rc).alias("recall"), one(safe_div(2 * pr * rc, pr + rc)).alias("f1"))
+
+    return let(F.struct(F.array_distinct(pred).alias("p"), F.array_distinct(gold).alias("g")), of)
+
+
+def _real(steps: Column) -> Column:
+    return F.filter(steps, lambda x: F.trim(x) != "")
+
+
+def _in_order(p: Column, g: Column) -> Column:
+    same = F.aggregate(F.zip_with(p, g, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
+    longer = F.greatest(F.size(p), F.size(g))
+    return F.when(longer == 0, F.lit(1.0)).otherwise(same / longer)
+
+
+def _normalized(pred: Column, gold: Column, body):
+    return let(F.struct(F.transform(pred, T.normalize_step).alias("p"), F.transform(gold, T.normalize_step).alias("g")), body)
+
+
+def step_scores(pred: Column, gold: Column) -> Column:
+    """struct(precision, recall, f1, ordered_accuracy, exact_match), the steps normalized once."""
+
+    def of(s: Column) -> Column:
+        every = F.struct(set_prf(_real(s["p"]), _real(s["g"])).alias("prf"), _in_order(s["p"], s["g"]).alias("ordered_accuracy"), (s["p"] == s["g"]).cast("double").alias("exact_match"))
+        return let(every, lambda c: F.struct(*(c["prf"][k].alias(k) for k in ("precision", "recall", "f1")), c["ordered_accuracy"], c["exact_match"]))
+
+    return _normalized(pred, gold, of)
 
 
 def step_prf(pred: Column, gold: Column) -> Column:
-    return set_prf(F.transform(pred, T.normalize_step), F.transform(gold, T.normalize_step))
+    """set_prf of normalized steps, blank ones left out."""
+    return _normalized(pred, gold, lambda s: set_prf(_real(s["p"]), _real(s["g"])))
 
 
 def ordered_accuracy(pred: Column, gold: Column) -> Column:
     """Places with equal normalized steps, over the longer length; both empty: 1."""
-    p, g = F.transform(pred, T.normalize_step), F.transform(gold, T.normalize_step)
-    same = F.aggregate(F.zip_with(p, g, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
-    longer = F.greatest(F.size(p), F.size(g))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(same / longer)
+    return _normalized(pred, gold, lambda s: _in_order(s["p"], s["g"]))
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
-    return (F.transform(pred, T.normalize_step) == F.transform(gold, T.normalize_step)).cast("double")
+    return _normalized(pred, gold, lambda s: (s["p"] == s["g"]).cast("double"))
 
 
 def answer_exact(gold: Column, pred: Column) -> Column:
     return (T.normalize_answer(gold) == T.normalize_answer(pred)).cast("double")
 
 
+def numbered(tokens: Column) -> Column:
+    """The tokens, sorted, each with its number among its equals as a 64-bit hash: multisets as sets."""
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        begins = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.flatten(F.transform(b, lambda at, k: F.transform(indexes(F.coalesce(F.get(b, k + 1), n) - at), lambda j: F.xxhash64(F.get(t, at), j)))))
+
+    return let(F.array_sort(tokens), of)
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two token lists; with an empty one 1 if both are, else 0."""
-    same = multiset_overlap(a, b)
-    p, r = safe_div(same, F.size(b)), safe_div(same, F.size(a))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(safe_div(2 * p * r, p + r))
+
+    def of(c: Column) -> Column:
+        p, r = safe_div(c["same"], c["m"]), safe_div(c["same"], c["n"])
+        return F.when((c["n"] == 0) | (c["m"] == 0), (c["n"] == c["m"]).cast("double")).otherwise(safe_div(2 * p * r, p + r))
+
+    counts = lambda s: F.struct(F.size(s["a"]).alias("n"), F.size(s["b"]).alias("m"), multiset_overlap(s["a"], s["b"]).alias("same"))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(counts(s), of))
 
 
 def answer_f1(gold: Column, pred: Column) -> Column:
@@ -143,8 +186,8 @@ def break_exact(pred: Column, gold: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct n-grams, as arrays."""
-    return F.array_distinct(F.transform(indexes(F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n)))
+    """Distinct n-grams, as 64-bit hashes."""
+    return F.array_distinct(F.transform(indexes(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
 
 
 def f_beta(hits: Column, selected: Column, relevant: Column, beta: float = 1.0) -> Column:
@@ -159,20 +202,22 @@ def f_beta(hits: Column, selected: Column, relevant: Column, beta: float = 1.0)
 
 def sari(question: Column, pred: Column, gold: Column) -> Column:
     """Keep F1, add F1 and delete precision over 1- to 4-grams of strings split at single spaces."""
-    s, p, t = (F.split(c, " ") for c in (question, pred, gold))
-    parts = []
-    for n in (1, 2, 3, 4):
-        a, b, c = ngrams(s, n), ngrams(p, n), ngrams(t, n)
-        sb, sc = F.array_intersect(a, b), F.array_intersect(a, c)
-        parts.append(f_beta(F.size(F.array_intersect(sb, sc)), F.size(sb), F.size(sc)))
-        nb, nc = F.array_except(a, b), F.array_except(a, c)
-        parts.append(f_beta(F.size(F.array_intersect(nb, nc)), F.size(nb), F.size(nc), 0.0))
-        added = F.array_except(b, a)
-        parts.append(f_beta(F.size(F.array_intersect(added, c)), F.size(added), F.size(F.array_except(c, a))))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    return total / 12.0
+
+    def parts(g: Column) -> Column:
+        a, b, c = g["a"], g["b"], g["c"]
+        sets = {"kept": F.array_intersect(a, b), "keep": F.array_intersect(a, c), "cut": F.array_except(a, b), "lose": F.array_except(a, c), "added": F.array_except(b, a), "add": F.array_except(c, a)}
+        return let(F.struct(*(v.alias(k) for k, v in sets.items()), c.alias("gold")), sizes)
+
+    def sizes(s: Column) -> Column:
+        n = {k: F.size(s[k]) for k in ("kept", "keep", "cut", "lose", "added", "add")}
+        n |= {"both": F.size(F.array_intersect(s["kept"], s["keep"])), "gone": F.size(F.array_intersect(s["cut"], s["lose"])), "right": F.size(F.array_intersect(s["added"], s["gold"]))}
+        return let(F.struct(*(v.alias(k) for k, v in n.items())), lambda c: f_beta(c["both"], c["kept"], c["keep"]) + f_beta(c["gone"], c["cut"], c["lose"], 0.0) + f_beta(c["right"], c["added"], c["add"]))
+
+    def total(w: Column) -> Column:
+        by_n = [let(F.struct(ngrams(w["s"], n).alias("a"), ngrams(w["p"], n).alias("b"), ngrams(w["t"], n).alias("c")), parts) for n in (1, 2, 3, 4)]
+        return sum(by_n[1:], by_n[0]) / 12.0
+
+    return let(F.struct(*(F.split(c, " ").alias(k) for c, k in ((question, "s"), (pred, "p"), (gold, "t")))), total)
 
 
 def score_ladder(hop: Column, neighbour_hops: Column, windows: list[tuple[int, int]]) -> Column:

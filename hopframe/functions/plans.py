@@ -7,6 +7,8 @@ them forward otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,19 +191,49 @@ def render_context(paragraphs: Column, form: str = "[{idx}] {title}\n{text}", se
     return F.array_join(F.transform(paragraphs, lambda p, i: fill(form, idx=F.coalesce(p["idx"].cast("long"), (i + 1).cast("long")), title=F.coalesce(p["title"], F.lit("")), text=F.coalesce(p["paragraph_text"], F.lit("")))), separator)
 
 
-HOP_LINE = r"(?i)\{hop_count\}|\bhop"
+# What makes a template line speak of the hop count, where a line's clauses end, what makes a clause say
+# something.
+HOP_LINE = r"(?i)\{hop_count\}|hop[\s_-]*count"
+CLAUSE_END = r"(?i)[.;:,]|\band\b|\bbut\b"
+SAYING = r"[A-Za-z]{2,}"
 
 
 def hop_lines(template: str) -> list[str]:
-    import re
-
+    """The lines that speak of the hop count."""
     return [x for x in template.splitlines() if re.search(HOP_LINE, x)]
 
 
+def mixed_hop_lines(template: str) -> list[str]:
+    """Those of them that have a clause with a word and without the hop count."""
+    other = lambda clause: re.search(SAYING, clause) and not re.search(HOP_LINE, clause)
+    return [x for x in hop_lines(template) if any(map(other, re.split(CLAUSE_END, x)))]
+
+
 def unguided(template: str) -> str:
-    """The template without the lines that speak of hops; refuses lines that say something else too."""
-    mixed = [x for x in hop_lines(template) if len([c for c in x.replace(";", ".").split(".") if c.strip()]) > 1]
-    if mixed:
+    """The template without the lines that speak of the hop count, every other byte as it is; refuses templates in which
+    such a line says something else too."""
+    if mixed := mixed_hop_lines(template):
         raise ValueError(f"lines with other clauses: {mixed[:3]}")
-    drop = set(hop_lines(template))
-    return "\n".join(x for x in template.splitlines() if x not in drop)
+    return "".join(x for x in template.splitlines(keepends=True) if not re.search(HOP_LINE, x))
+
+
+def check_unguided(guided: str, given: str) -> None:
+    """`given` must be the guided template less its lines on the hop count, to the byte."""
+    if unguided(guided) != given:
+        raise ValueError("the unguided template isn't the guided one without its lines on the hop count")
+
+
+def hop_line_column(template: Column) -> Column:
+    """hop_lines of a column of templates."""
+    return F.filter(F.split(template, T.LINE_END), lambda x: x.rlike(HOP_LINE))
+
+
+def mixed_hop_line_column(template: Column) -> Column:
+    other = lambda clause: clause.rlike(SAYING) & ~clause.rlike(HOP_LINE)
+    return F.filter(hop_line_column(template), lambda x: F.exists(F.split(x, CLAUSE_END), other))
+
+
+def unguided_column(template: Column) -> Column:
+    """The template without those lines and their ends; null where a line is mixed."""
+    out = F.regexp_replace(template, r"(?im)^[^\r\n]*(?:\{hop_count\}|hop[\s_-]*count)[^\r\n]*(?:\r\n|\n|\r|\z)", "")
+    return F.when(F.size(mixed_hop_line_column(template)) == 0, out)

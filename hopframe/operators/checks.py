@@ -19,7 +19,20 @@ def usable_number(value: Column) -> Column:
 
 
 def hop_depth(value: Column) -> Column:
-    return F.coalesce(value.cast("int") >= 1, F.lit(False))
+    """Whether a value is a positive whole number by its type: booleans, fractions and text never are."""
+    whole = F.typeof(value).isin("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(whole & (value.try_cast("long") >= 1), F.lit(False))
+
+
+def require_domain(df: DataFrame, column: str, domain: list, label: Column) -> None:
+    """All values are of a parser's domain; null isn't."""
+    require(df, {f"{column} in {domain}": F.col(column).isin(domain)}, label)
+
+
+def require_agreement(df: DataFrame, label: Column, **columns: Column) -> None:
+    """All of the given depths that a row has are equal."""
+    given = F.filter(F.array(*(c.cast("int") for c in columns.values())), lambda x: x.isNotNull())
+    require(df, {f"{' = '.join(columns)}": F.size(F.array_distinct(given)) <= 1}, label)
 
 
 def require(df: DataFrame, conditions: dict[str, Column], label: Column) -> None:

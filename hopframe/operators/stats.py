@@ -16,15 +16,13 @@ def binomial_two_sided(b: int, c: int) -> float:
     n, k = b + c, min(b, c)
     if n == 0:
         return 1.0
-    term = total = math.exp(-n * math.log(2)) if n < 1000 else 0.0
-    if term:
+    if n < 1000:
+        term = total = math.exp(-n * math.log(2))
         for i in range(1, k + 1):
             term *= (n - i + 1) / i
             total += term
-    else:  # far tails: sums of logarithms
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-        top = max(logs)
-        total = math.exp(top) * sum(math.exp(x - top) for x in logs)
+    else:  # P(X <= k) of a fair coin as a beta integral: no list of k terms
+        total = 1.0 if 2 * k >= n else incomplete_beta(n - k, k + 1, 0.5)
     return min(1.0, 2.0 * total)
 
 

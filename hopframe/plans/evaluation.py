@@ -22,15 +22,15 @@ def score(rows: DataFrame, with_ged: bool = True) -> DataFrame:
     """All row-level scores of rows with steps, gold_steps and question, each computed once."""
     p, g = F.col("steps"), F.col("gold_steps")
     line = lambda s: text.tokenize(text.join_steps(s))
-    prf, rouge = metrics.step_prf(p, g), metrics.rouge_l(line(p), line(g))
+    steps, rouge = metrics.step_scores(p, g), metrics.rouge_l(line(p), line(g))
     ref, chain = metrics.reference_validity(p), metrics.chain_validity(p, g)
-    out = rows.withColumns({"\x00prf": prf, "\x00rouge": rouge, "\x00ref": ref, "\x00chain": chain})
+    out = rows.withColumns({"\x00steps": steps, "\x00rouge": rouge, "\x00ref": ref, "\x00chain": chain})
     out = out.withColumns({
-        "exact_match": metrics.exact_match(p, g), "ordered_accuracy": metrics.ordered_accuracy(p, g),
-        **{f"step_{k}": F.col("\x00prf")[k] for k in ("precision", "recall", "f1")}, **{f"rouge_l_{k}": F.col("\x00rouge")[k] for k in ("precision", "recall", "f1")},
+        "exact_match": F.col("\x00steps")["exact_match"], "ordered_accuracy": F.col("\x00steps")["ordered_accuracy"],
+        **{f"step_{k}": F.col("\x00steps")[k] for k in ("precision", "recall", "f1")}, **{f"rouge_l_{k}": F.col("\x00rouge")[k] for k in ("precision", "recall", "f1")},
         "reference_validity": F.col("\x00ref")["score"], "references_valid": F.col("\x00ref")["valid"], "references_total": F.col("\x00ref")["total"],
         "chain_validity": F.col("\x00chain")["score"], "break_exact": metrics.break_exact(p, g), "sari": metrics.sari(F.col("question"), text.break_string(p), text.break_string(g)),
-        "count_error": F.size(p) - F.size(g), "gold_hops": F.size(g), "predicted_hops": F.size(p),
+        "count_error": F.size(p) - F.size(g), "hop_count_error": F.coalesce(*(F.col(c) for c in ("predicted_hop_count",) if c in rows.columns), F.size(p)) - F.coalesce(*(F.col(c) for c in ("gold_hop_count",) if c in rows.columns), F.size(g)), "gold_hops": F.size(g), "predicted_hops": F.size(p),
     })
     if with_ged:
         out = out.withColumn("\x00ged", graphs.ged(text.break_steps(p), text.break_steps(g))).withColumns({"ged": F.col("\x00ged")["ged"], "ged_fallback": F.col("\x00ged")["ged_fallback"]})
@@ -44,6 +44,8 @@ def aggregates(with_ged: bool = True) -> list[Column]:
     out += [aggregate.micro(F.col("references_valid"), F.col("references_total")).alias("reference_validity_micro"), zero(F.avg(F.abs("count_error"))).alias("count_mae"), zero(F.avg("count_error")).alias("count_signed_error")]
     rate = lambda c: zero(F.avg(c.cast("double")))
     e = F.col("count_error")
+    h = F.col("hop_count_error")
+    out += [rate(h == 0).alias("hop_count_exact_rate"), zero(F.avg(F.abs(h))).alias("hop_count_mae")]
     return [*out, rate(e > 0).alias("over_rate"), rate(e < 0).alias("under_rate"), rate(e == 0).alias("count_exact_rate")]
 
 
@@ -54,6 +56,26 @@ def summarize(scored: DataFrame, with_ged: bool = True) -> DataFrame:
     return out.withColumn("composite", comp)
 
 
+def distribution(scored: DataFrame, column: str) -> DataFrame:
+    """(gold_hops, is_total, value, n): how often each value of a column (predicted_hops, ged_fallback) occurs, per gold
+    hop and in all, nulls left out."""
+    some = scored.where(F.col(column).isNotNull())
+    return some.groupBy("gold_hops", column).agg(F.count("*").alias("n")).rollup(column, "gold_hops").agg(
+        F.grouping("gold_hops").cast("boolean").alias("is_total"), F.grouping(column).alias("\x00all"), F.sum("n").alias("n")
+    ).where(F.col("\x00all") == 0).select("gold_hops", "is_total", F.col(column).alias("value"), "n")
+
+
+def compare_arms(arms: dict[str, DataFrame], baseline: str, key: str, names: list[str], resamples: int = 1000) -> dict[str, DataFrame]:
+    """`compare` of every other arm with the baseline, as tables with a column `arm`; all have the baseline's items."""
+    out: dict[str, DataFrame] = {}
+    for arm, scored in arms.items():
+        if arm != baseline:
+            for kind, rows in compare(scored, arms[baseline], key, names, resamples).items():
+                rows = rows.withColumn("arm", F.lit(arm))
+                out[kind] = rows if kind not in out else out[kind].unionByName(rows)
+    return out
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, names: list[str], resamples: int = 1000) -> dict[str, DataFrame]:
     """t-tests, McNemar tests and bootstrap intervals of two scored tables of the same items."""
     cols = [n for n in names if n in a.columns and n in b.columns]

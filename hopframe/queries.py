@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import ids, masking, metrics, plans, text
 from .operators import aggregate, joins, kg, models, sampling, stats, topk
 from .plans import evaluation, sweep
+from .runtime import dealt, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -268,9 +269,9 @@ def clean_answers(spark, sf):
 def turns(spark, sf, n: int = 1) -> DataFrame:
     """Each turn with the n turns before it, by equi-joins on the turn's number."""
     one = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    out = one
+    out = dealt(one, "conv_id", "turn")
     for i in range(1, n + 1):
-        out = out.join(one.select("conv_id", (F.col("turn") + i).alias("turn"), F.col("text").alias(f"before{i}")), ["conv_id", "turn"])
+        out = out.join(dealt(one.select("conv_id", (F.col("turn") + i).alias("turn"), F.col("text").alias(f"before{i}")), "conv_id", "turn"), ["conv_id", "turn"])
     return out
 
 
@@ -293,7 +294,7 @@ PAIRS = "(select a.doc_id, a.text, b.text as other from documents a join documen
 
 def neighbours(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    return dealt(d, "doc_id").join(dealt(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id"), "doc_id")
 
 
 NSTEP = "list_transform({0}, lambda x: regexp_replace(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s#]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -309,8 +310,8 @@ def step_scores(spark, sf):
     """Set F1 of steps, positional accuracy, exact match (N, J)."""
     p, g = F.col("p"), F.col("g")
     rows = neighbours(spark, sf).select("doc_id", text.split_steps(F.col("text")).alias("p"), text.split_steps(F.col("other")).alias("g"))
-    prf = metrics.step_prf(p, g)
-    return rows.select("doc_id", *(r6(prf[k]).alias(f"step_{k}") for k in ("precision", "recall", "f1")), r6(metrics.ordered_accuracy(p, g)).alias("ordered_accuracy"), metrics.exact_match(p, g).alias("exact_match"))
+    rows = rows.select("doc_id", metrics.step_scores(p, g).alias("s"))
+    return rows.select("doc_id", *(r6(F.col(f"s.{k}")).alias(f"step_{k}") for k in ("precision", "recall", "f1")), r6(F.col("s.ordered_accuracy")).alias("ordered_accuracy"), "s.exact_match")
 
 
 @query(f"""
@@ -717,8 +718,8 @@ def context_render(spark, sf):
 
 @query()
 def mask_documents(spark, sf):
-    """Dates, numbers and hinted names of whole texts, typed and uniform (O; pandas UDF)."""
-    return table(spark, sf, "documents").select("doc_id", masking.mask_udf(True)("text").alias("typed"), masking.mask_udf(False)("text").alias("uniform"))
+    """Dates, numbers and hinted names of whole texts, typed and uniform (O)."""
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", masking.mask_both(F.col("text")).alias("m")).select("doc_id", "m.typed", "m.uniform")
 
 
 @query()

@@ -25,3 +25,15 @@ def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
         return query(spark, sf_dir)
 
     return run
+
+
+def dealt(df, *keys: str):
+    """Rows dealt by keys to as many tasks as the session shuffles to, which adaptive execution doesn't merge: for costly
+    expressions over few bytes. A join or aggregate on the same keys needs no shuffle of its own after it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread(df, *keys: str):
+    """The same only where a scan has fewer tasks than there are cores (files of one row group); large scans stay as
+    they are."""
+    return dealt(df, *keys) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df

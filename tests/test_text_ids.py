@@ -110,6 +110,14 @@ def test_parse_hop(spark, said, expected):
 
 
 def test_templates(spark):
+    for ok in ("- The number of steps MUST equal the hop count.", "Hop count: {hop_count}", "Hop count: 3", "Use 2-hop style"):
+        assert plans.mixed_hop_lines(ok) == []
+    for bad in ("- The number of steps MUST equal the hop count. Output ONLY the steps.", "- Use the hop count and output ONLY the steps.", "Hop count: {hop_count}, and do NOT explain", "MUST equal the hop count, and output ONLY the steps"):
+        assert plans.mixed_hop_lines(bad) == [bad]
+    assert plans.unguided("a\r\nHop count: {hop_count}\r\nUse 2-hop style\r\n") == "a\r\nUse 2-hop style\r\n"
+    plans.check_unguided("a\nhop-count: 3\nb\n", "a\nb\n")
+    with pytest.raises(ValueError):
+        plans.check_unguided("a\nhop-count: 3\nb\n", "a\nb\nc\n")
     assert plans.unguided("Use {question}\nIt has {hop_count} hops\nEnd") == "Use {question}\nEnd"
     with pytest.raises(ValueError):
         plans.unguided("Answer shortly. Use {hop_count} steps.")
