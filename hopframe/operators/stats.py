@@ -58,10 +58,10 @@ p_mcnemar = F.udf(lambda b, c: None if b is None or c is None else binomial_two_
 p_paired_t = F.udf(lambda t, dof: None if t is None or dof is None else t_two_sided(float(t), int(dof)), DoubleType())
 
 
-def mcnemar(df: DataFrame, a: Column, b: Column, alpha: float = 0.05) -> DataFrame:
-    """One row: only_a, only_b, both, neither, p_value, min_p (the least that these many could give), significant."""
+def mcnemar(df: DataFrame, a: Column, b: Column, alpha: float = 0.05, by: str | None = None) -> DataFrame:
+    """One row (by: one per group): only_a, only_b, both, neither, p_value, min_p (the least that these many could give), significant."""
     won = lambda c: F.coalesce(c >= 1.0, F.lit(False))
-    counts = df.agg(
+    counts = df.groupBy(*([by] if by else [])).agg(
         F.count_if(won(a) & ~won(b)).alias("only_a"), F.count_if(~won(a) & won(b)).alias("only_b"), F.count_if(won(a) & won(b)).alias("both"), F.count_if(~won(a) & ~won(b)).alias("neither")
     )
     out = counts.withColumn("p_value", p_mcnemar("only_a", "only_b")).withColumn("min_p", p_mcnemar(F.lit(0), F.col("only_a") + F.col("only_b")))

@@ -355,23 +355,24 @@ def sari(spark, sf):
     return turns(spark, sf, 2).select("conv_id", "turn", r6(metrics.sari(F.col("text"), F.col("before1"), F.col("before2"))).alias("sari"))
 
 
-FIXTURE = [
-    ("d001", "Who leads the union that organised the Marlow Bay strike?", ["Which union organised the Marlow Bay strike?", "Who leads [#1]?"], ["Which union organised the Marlow Bay strike?", "Who leads [#1]?"]),
-    ("d002", "What is the capital of the country where the River Anwen rises?", ["Where does the River Anwen rise?", "Which country contains [#1]?", "What is the capital of that country?"], ["Where does the River Anwen rise?", "Which country contains [#1]?", "What is the capital of [#2]?"]),
-    ("d003", "In what year did the college attended by the founder of the publisher of Quiet Ledger open?", ["Who published Quiet Ledger?", "Who founded [#1]?", "Which college did [#2] attend?", "In what year did [#3] open?"], ["Who published Quiet Ledger?", "Who founded [#1]?", "Which college did [#2] attend?", "In what year did [#3] open?"]),
-    ("d004", "Who chairs the board that approved the Rill Valley permit?", ["Which board approved the Rill Valley permit.", "Who chairs [#1]"], ["Which board approved the Rill Valley permit?", "Who chairs [#1]?"]),
+ITEMS = [
+    ("m1", "Who painted the mural in the harbour hall of the guild?", ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"], ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"]),
+    ("m2", "Who governs the state that holds the poet's birthplace?", ["Where was the poet born?", "Which state holds [#1]?", "Who governs that place?"], ["Where was the poet born?", "Which state holds [#1]?", "Who governs [#2]?"]),
+    ("m3", "When did the school of the founder of the press of Low Tide open?", ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"], ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"]),
+    ("m4", "Who led the guild that built the mill?", ["Which guild built the mill.", "Who led [#1]"], ["Which guild built the mill?", "Who led [#1]?"]),
 ]
 
 
 @query("""
-select * from (values ('all', 4, 0.75, 0.916667, 0.927273, 0.941667, 1.0), ('2', 2, 1.0, 1.0, 0.9, 1.0, 1.0), ('3', 1, 0.0, 0.666667, 0.809091, null, 1.0), ('4', 1, 1.0, 1.0, 1.0, 1.0, 1.0)) v(gold_hops, n_items, exact_match, step_f1, rouge_l_f1, composite, count_exact_rate) where gold_hops in ('all', '4', '2')
-""".replace("n_items, exact", "n, exact").replace("select * from", "select gold_hops, cast(n as bigint) as n_items, cast(exact_match as double) as exact_match, cast(step_f1 as double) as step_f1, cast(rouge_l_f1 as double) as rouge_l_f1, cast(composite as double) as composite, cast(count_exact_rate as double) as count_exact_rate from"))
+select gold_hops, cast(n as bigint) as n_items, cast(exact_match as double) as exact_match, cast(step_f1 as double) as step_f1, cast(rouge_l_f1 as double) as rouge_l_f1, cast(composite as double) as composite, cast(count_exact_rate as double) as count_exact_rate
+from (values ('all', 4, 0.75, 0.916667, 0.9075, 0.941667, 1.0), ('2', 2, 1.0, 1.0, 0.875, 1.0, 1.0), ('3', 1, 0.0, 0.666667, 0.88, 0.766667, 1.0), ('4', 1, 1.0, 1.0, 1.0, 1.0, 1.0)) v(gold_hops, n, exact_match, step_f1, rouge_l_f1, composite, count_exact_rate)
+""")
 def evaluate_fixture(spark, sf):
-    """The evaluation of four hand-written items (N, F), total and groups of 2 and 4 hops, against values worked out by
-    hand; the group of 3 hops is held against such values in tests/test_metrics.py."""
-    rows = spark.createDataFrame(FIXTURE, "item_id string, question string, steps array<string>, gold_steps array<string>")
+    """The evaluation of four items (N, F), in all and per gold hop, against values worked out by hand: m2 has two of three
+    steps (11 of its 13 tokens in order of 12), m4 other punctuation (6 of 8 tokens)."""
+    rows = spark.createDataFrame(ITEMS, "item_id string, question string, steps array<string>, gold_steps array<string>")
     out = evaluation.summarize(evaluation.score(rows)).withColumn("gold_hops", F.when(F.col("is_total"), "all").otherwise(F.col("gold_hops").cast("string")))
-    return out.where("gold_hops <> '3'").select("gold_hops", "n_items", *(r6(F.col(c)).alias(c) for c in ("exact_match", "step_f1", "rouge_l_f1", "composite", "count_exact_rate")))
+    return out.select("gold_hops", "n_items", *(r6(F.col(c)).alias(c) for c in ("exact_match", "step_f1", "rouge_l_f1", "composite", "count_exact_rate")))
 
 
 @query()
@@ -446,22 +447,18 @@ def set_fingerprint(spark, sf):
 # ---- statistics --------------------------------------------------------------------------------
 
 
-@query("""
-select cast(count(*) filter (quality = 1 and toxic = 0) as bigint) as only_a, cast(count(*) filter (quality = 0 and toxic = 1) as bigint) as only_b, cast(count(*) filter (quality = 1 and toxic = 1) as bigint) as "both", cast(count(*) filter (quality = 0 and toxic = 0) as bigint) as neither,
-case when count(*) filter (quality = 1 and toxic = 0) > 3 * count(*) filter (quality = 0 and toxic = 1) + 60 then true else null end as significant from labels
-""")
+@query()
 def mcnemar_exact(spark, sf):
-    """Discordant pairs and the exact test (G)."""
-    return stats.mcnemar(table(spark, sf, "labels"), F.col("quality"), F.col("toxic")).select("only_a", "only_b", "both", "neither", "significant")
+    """Discordant pairs and the exact test (G); SQL in row_queries."""
+    out = stats.mcnemar(table(spark, sf, "labels"), F.col("quality"), F.col("toxic"))
+    return out.withColumn("p_value", r6(F.col("p_value"))).withColumn("min_p", r6(F.col("min_p")))
 
 
-@query("""
-with d as (select l_quantity - l_extendedprice / 1000 as d from lineitem) select 'quantity' as statistic, count(d) as n, round(avg(d), 6) as mean_diff, round(stddev_samp(d), 6) as sd, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 4) as t, count(d) - 1 as dof from d
-union all select 'rates', count(*), round(avg(l_discount - l_tax), 6), round(stddev_samp(l_discount - l_tax), 6), round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4), count(*) - 1 from lineitem
-""")
+@query()
 def paired_t(spark, sf):
+    """Paired t-tests of several statistics at once (G); SQL in row_queries, its p by Simpson's rule."""
     out = stats.paired_t(table(spark, sf, "lineitem"), {"quantity": (F.col("l_quantity"), F.col("l_extendedprice") / 1000), "rates": (F.col("l_discount"), F.col("l_tax"))})
-    return out.select("statistic", "n", r6(F.col("mean_diff")).alias("mean_diff"), r6(F.col("sd")).alias("sd"), F.round("t", 4).alias("t"), "dof")
+    return out.select("statistic", "n", r6(F.col("mean_diff")).alias("mean_diff"), r6(F.col("sd")).alias("sd"), F.round("t", 4).alias("t"), "dof", (F.round("p_value", 5) + F.lit(0.0)).alias("p_value"))
 
 
 @query()
@@ -598,7 +595,7 @@ def sample_per_group(spark, sf):
 
 @query()
 def sample_waterfill(spark, sf):
-    """A cap filled up evenly, small groups whole (I)."""
+    """A cap filled up evenly, small groups whole (I); SQL in row_queries."""
     return sampling.capped(table(spark, sf, "labels").withColumn("g", F.col("quality") * 2 + F.col("toxic")), "g", "doc_id", 200).select("doc_id", "g")
 
 

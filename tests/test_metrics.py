@@ -62,16 +62,16 @@ def test_punctuation_only(spark):
 
 
 def test_all_groups_of_the_fixture(spark):
-    """d002: steps and order 2/3, its one reference valid, no count error, so 0.4 * 2/3 + 0.3 * 2/3 + 0.2 + 0.1;
-    15 of its 17 tokens in order against 16."""
+    """m2: steps and order 2/3, its one reference valid, no count error, so 0.4 * 2/3 + 0.3 * 2/3 + 0.2 + 0.1;
+    11 of its 13 tokens in order against 12."""
     from hopframe import queries
 
-    rows = spark.createDataFrame(queries.FIXTURE, "item_id string, question string, steps array<string>, gold_steps array<string>")
+    rows = spark.createDataFrame(queries.ITEMS, "item_id string, question string, steps array<string>, gold_steps array<string>")
     got = {r.gold_hops: r for r in evaluation.summarize(evaluation.score(rows)).collect()}
     assert set(got) == {None, 2, 3, 4}
     r = got[3]
-    assert (r.n_items, r.exact_match, r.count_exact_rate) == (1, 0, 1)
-    assert (r.step_f1, r.rouge_l_f1, r.composite) == pytest.approx((2 / 3, 30 / 33, 23 / 30))
+    assert (r.n_items, r.exact_match, r.count_exact_rate, r.hop_count_exact_rate, r.hop_count_mae) == (1, 0, 1, 1, 0)
+    assert (r.step_f1, r.rouge_l_f1, r.composite) == pytest.approx((2 / 3, 22 / 25, 23 / 30))
 
 
 @pytest.mark.parametrize(
