@@ -1,20 +1,22 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed n-grams (words, word pairs and pairs of word shapes; 2**BITS counters) are
-counted: one of the target texts, one of all texts. A text's weight is the log ratio of its probabilities,
+Two generative models over hashed n-grams (words and word pairs; 2**BITS counters) are counted: one of the target texts,
+one of all texts. A text's weight is the log ratio of its probabilities under the two,
 
-    sum over its n-grams g of log((t(g) + PRIOR) / (e(g) + PRIOR)),    e(g) = r(g) * SHARE
+    sum over its n-grams g of log(p_target(g) / p_raw(g)) = log((t(g) + PRIOR) / (e(g) + PRIOR)),    e(g) = r(g) * T / R
 
-with t and r the counts in target and in all texts, and SHARE the median of t / r over all occurrences: n-grams that
-are as common in target text as text at large weigh nothing, whatever a text's length. Nor do those whose t is
-within DEVIATIONS standard deviations of e, which chance explains. A sample
-without replacement, with chances in proportion to the weights, is the top k of weight + Gumbel noise; the noise
-is made from a hash of the row, so that the sample can be repeated.
+with t and r the counts of g in target and in all texts, T and R those of all n-grams: e is what the target would have if
+it were drawn from all texts, and both models are smoothed by the same number of such draws. An n-gram whose t is within
+DEVIATIONS standard deviations of e, which chance explains, weighs nothing; without that, a text's own rare n-grams
+weigh the more the longer it is, and copies of labelled texts are favoured (README has figures). A sample without
+replacement, with chances in proportion to the weights, is the top k of weight + Gumbel noise; the noise is made from a
+hash of doc_id and text, so the sample is the same however the rows are stored.
 
 All rows count towards both models, the counters are of fixed size and broadcast. The k-th key is found by counts in
 ever finer ranges; no row is sorted, and at most LAST rows reach the driver.
 
-Null or empty text has weight 0; repeated rows are weighed alike, and drawn by noise of their own; rows without a
+Null or empty text has weight 0; repeated rows (doc_id and text) have equal weights and noise, ties at the end of the
+sample go to the first row; very long texts are counted whole, one at a time; rows without a
 label count as raw text only; labels without a row don't matter; of several labels of a doc_id, one that is
 not target wins. Without target texts all weights are 0. Empty tables give empty results; other columns are not read.
 """
@@ -30,28 +32,16 @@ from . import common
 
 BITS = 18
 PRIOR = 0.5
-DEVIATIONS = 6.0
+DEVIATIONS = 2.0
 LAST = 1024
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every n-gram."""
-    h, rows, starts, ends = common.word_hashes(data, offsets)
-    if not len(h):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    first, last, size = data[starts], data[ends - 1], ends - starts
-    upper = lambda b: (b >= 65) & (b <= 90)
-    second = data[np.minimum(starts + 1, ends - 1)]
-    letter = (first | 32 >= 97) & (first | 32 <= 122) | (first >= 128)
-    shape = letter.astype(np.int64) + 2 * (upper(first) & upper(second)) + 4 * np.isin(last, list(b".,;:!?")) + 8 * ((last == 33) & (size > 1)) + 16 * (size > 20)
-    again = np.zeros(len(h), np.int64)
-    follows = rows[1:] == rows[:-1]
-    again[1:] = follows & (h[1:] == h[:-1])
-    shape += 32 * again
-    pair = np.flatnonzero(follows)
-    shapes = (shape[pair] * 64 + shape[pair + 1]).astype(np.uint64)
-    keys = [h, common.mix(h[pair] * np.uint64(0x9FB21C651E98DF25) + h[pair + 1]), common.mix(shapes + np.uint64(0x51ED27))]
-    return np.concatenate((rows, rows[pair], rows[pair])), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+    h, rows, _, _ = common.word_hashes(data, offsets)
+    pair = np.flatnonzero(rows[1:] == rows[:-1])
+    keys = [h, common.mix(h[pair] * np.uint64(0x9FB21C651E98DF25) + h[pair + 1])]
+    return np.concatenate((rows, rows[pair])), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _count(rows: DataFrame) -> np.ndarray:
@@ -74,18 +64,15 @@ def _count(rows: DataFrame) -> np.ndarray:
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not target.any():
         return np.zeros(len(raw))
-    share = target / np.maximum(raw, 1)
-    order = np.argsort(share, kind="stable")
-    half = np.searchsorted(np.cumsum(raw[order]), raw.sum() / 2)
-    expected = raw * share[order][min(half, len(order) - 1)]
+    expected = raw * (target.sum() / raw.sum())
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
     return np.where(np.abs(target - expected) >= DEVIATIONS * np.sqrt(expected + 1), ratio, 0.0)
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """row_id, doc_id, log_weight and label (true: target, false: not, null: none) of every row of docs (doc_id, text);
+    """row_id, doc_id, identity (a hash of doc_id and text), log_weight and label (true: target, false: not, null: none) of every row of docs (doc_id, text);
     labels has doc_id and target."""
-    source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = common.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("identity"))
     told = labels.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.min("target").alias("target"))
     path = common.side_table(source.select("row_id", "doc_id").join(told, "doc_id").select("row_id", "target"), "labels", source)
 
@@ -109,9 +96,9 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in common.slices(batch, "text"):
                 own, bucket = features(*common.text_buffers(part.column(2)))
                 out = np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out.astype(np.float64))], names=["row_id", "doc_id", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(out.astype(np.float64))], names=["row_id", "doc_id", "identity", "log_weight"])
 
-    rows = source.mapInArrow(common.tidy(weigh), "row_id long, doc_id long, log_weight double")
+    rows = source.mapInArrow(common.tidy(weigh), "row_id long, doc_id long, identity long, log_weight double")
     return rows.join(told.withColumnRenamed("target", "label"), "doc_id", "left")
 
 
@@ -152,7 +139,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     """row_id, doc_id, log_weight, key of a sample of k rows of docs; k None: as many as the share of target among the
     labelled rows says."""
     rows = weights(docs, labels)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "identity"), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
     rows = common.stage(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "weights")
     if k is None:
         n, good, told = rows.agg(F.count("*"), F.count_if("label"), F.count("label")).first()

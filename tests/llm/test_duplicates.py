@@ -46,10 +46,10 @@ def brute_components(rows, words, percent):
 
 
 @pytest.mark.parametrize(("seed", "words", "percent"), [(1, 4, 85), (2, 5, 80), (3, 1, 50)])
-def test_components_against_brute_force(spark, seed, words, percent):
+def test_components_against_brute_force(spark, tmp_path, seed, words, percent):
     rows = [*texts(seed), None, "", " \t", "Same Words", "same words", "same words"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, component string").repartition(3)
-    df.write.mode("overwrite").parquet(path := f"/tmp/hopframe-test-{seed}")
+    df.write.parquet(path := f"{tmp_path}/docs")
     got = jaccard.similar(spark.read.parquet(path), words, percent).collect()
     want, sizes = brute_components(rows, words, percent)
     names = {}
@@ -58,6 +58,33 @@ def test_components_against_brute_force(spark, seed, words, percent):
     assert {r.doc_id: (r.n_shingles, names[r.component]) for r in got} == {i: (sizes[i], want[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("size", [120, 240])
+def test_large_group_of_near_copies_without_its_original(spark, tmp_path, monkeypatch, size):
+    """Copies with one to three words changed, so that many share rare shingles without a link: exact all the same, and
+    the last join makes a few pairs, not the square of the group."""
+    rng = random.Random(size)
+    original = [f"w{i}" for i in range(150)]
+
+    def changed(k):
+        out = list(original)
+        for i in range(k):
+            out[rng.randrange(150)] = f"x{rng.random()}"
+        return " ".join(out)
+
+    rows = [changed(1 + i % 3) for i in range(size)] + [" ".join(f"{w}{i}" for w in original) for i in range(5)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3).write.parquet(path := f"{tmp_path}/docs")
+    made = []
+    real = jaccard.common.stage
+    monkeypatch.setattr(jaccard.common, "stage", lambda df, tag, *more: made.append((tag, real(df, tag, *more))) or made[-1][1])
+    got = jaccard.similar(spark.read.parquet(path), 4, 85).collect()
+    want, _ = brute_components(rows, 4, 85)
+    names = {}
+    for r in got:
+        names[r.component] = min(names.get(r.component, r.doc_id), r.doc_id)
+    assert {r.doc_id: names[r.component] for r in got} == dict(enumerate(want))
+    assert sum(df.count() for tag, df in made if tag == "rest") < 4 * size
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f")], "doc_id long, text string").coalesce(1)
     assert len({r.component for r in jaccard.similar(df).collect()}) == 1

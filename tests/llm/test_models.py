@@ -42,13 +42,13 @@ def test_mixed_languages_and_scripts(spark):
     assert language.label(docs.limit(0), model, "doc_id").count() == 0
 
 
-def test_scores_against_brute_force(spark):
+def test_scores_against_brute_force(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("a b c dd ee Ff g".split()) for _ in range(rng.randint(0, 20)))) for i in range(60)] + [(60, None), (61, ""), (62, "unseen words only"), (3, "a b"), (None, "a b c")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").coalesce(3)
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 2
-    df.write.mode("overwrite").parquet("/tmp/hopframe-test-lm")
-    got = lm.score(spark.read.parquet("/tmp/hopframe-test-lm"), train).collect()
+    df.write.parquet(path := f"{tmp_path}/docs")
+    got = lm.score(spark.read.parquet(path), train).collect()
     token = lambda t: [*WORD.findall((t or "").encode().lower()), b""]
     used = [token(t) for i, t in rows if (i or 0) % 5 != 2]
     one = Counter(w for ws in used for w in ws)
@@ -176,6 +176,53 @@ def test_resampling_drops_what_targets_lack(spark):
     assert resample.resample(docs.limit(0), labels).count() == 0
 
 
+def test_weights_against_counting(spark):
+    """Log ratios of the two models, n-gram by n-gram, without hashing."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(words[: 5 + i % 21]) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(200, None), (3, "w1 W2"), (None, "w1")]
+    targets = {i for i in range(200) if i % 21 > 8 and i % 2}
+    docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, log_weight double").coalesce(2)
+    labels = spark.createDataFrame([(i, i in targets) for i in range(200)], "doc_id long, target boolean")
+    got = resample.weights(docs, labels).collect()
+
+    def grams(t):
+        w = [x.lower() for x in (t or "").split()]
+        return w + list(zip(w, w[1:]))
+
+    raw = Counter(g for _, t in rows for g in grams(t))
+    target = Counter(g for i, t in rows if i in targets for g in grams(t))
+    share = sum(target.values()) / sum(raw.values())
+
+    def ratio(g):
+        t, e = target[g], raw[g] * share
+        return math.log((t + resample.PRIOR) / (e + resample.PRIOR)) if abs(t - e) >= resample.DEVIATIONS * math.sqrt(e + 1) else 0.0
+
+    want = sorted(round(sum(map(ratio, grams(t))), 6) for _, t in rows)
+    assert sorted(round(r.log_weight, 6) + 0.0 for r in got) == pytest.approx(want, abs=1e-5) and any(want)
+
+
+def test_sample_does_not_depend_on_layout(spark):
+    rows = [(i % 90, f"a b c{i % 90}") for i in range(180)] + [(None, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, True), (2, False)], "doc_id long, target boolean")
+    one, two = (sorted(map(str, ((r.doc_id, round(r.key, 9)) for r in resample.resample(df.repartition(n), labels, 50).collect()))) for n in (1, 5))
+    assert one == two
+
+
+def test_words_have_their_marks():
+    assert language.words_of("\u0928\u092e\u0938\u094d\u0924\u0947 Caf\u0065\u0301 x_y 12") == ["\u0928\u092e\u0938\u094d\u0924\u0947", "cafe\u0301", "x", "y"]
+
+
+def test_closures_carry_no_worker_state():
+    from pyspark import cloudpickle
+
+    from hopframe.llm import common
+
+    common.powers(10)
+    assert len(cloudpickle.dumps(common.tidy(lambda b: b))) < 5000
+
+
 def test_lcs_bits():
     rng = random.Random(1)
     for _ in range(200):
