@@ -12,8 +12,13 @@ from .operators import checks, joins, results, stats, topk, training
 from .plans import evaluation
 from .queries import ALL_SQL, NSTEP, SAME_SQL, SQL, STEPS, TURNS, labelled, query, r6, ranked, table, turns
 
-K = F.col("o_orderkey")
-S = K.cast("string")
+
+def key():
+    return F.col("o_orderkey")
+
+
+def key_text():
+    return key().cast("string")
 
 
 def orders(spark, sf, **columns):
@@ -24,7 +29,7 @@ def pick(*values):
     """values[o_orderkey % n]; strings and Columns."""
     out = values[-1] if not isinstance(values[-1], str) else F.lit(values[-1])
     for i, v in reversed(list(enumerate(values[:-1]))):
-        out = F.when(K % len(values) == i, v if not isinstance(v, str) else F.lit(v)).otherwise(out)
+        out = F.when(key() % len(values) == i, v if not isinstance(v, str) else F.lit(v)).otherwise(out)
     return out
 
 
@@ -52,13 +57,13 @@ regexp_replace(f, '[^A-Za-z0-9_]', '_', 'g') as slug, substr(replace(last, '.',
 from b join (select o_orderkey as k, o_orderstatus from orders) on k = o_orderkey
 """)
 def names_and_keys(spark, sf):
-    """Hops, chunks and slugs of file and model names, keys of cells and runs (K)."""
+    """Hops, chunks and slugs of file and model names, keys of cells and runs (key())."""
     f, m = pick(*NAMES), pick(*MODELS)
     stem = F.regexp_replace(f, r"\.[^.]*$", "")
-    size, balance, trial = (K % 7).cast("int"), F.when(K % 2 == 0, "balanced").otherwise("imbalanced"), (K % 3).cast("int")
+    size, balance, trial = (key() % 7).cast("int"), F.when(key() % 2 == 0, "balanced").otherwise("imbalanced"), (key() % 3).cast("int")
     return table(spark, sf, "orders").select(
         "o_orderkey", ids.hop_of_file(f).cast("long").alias("hop"), ids.chunk_of_file(f).alias("chunk"), ids.strip_clean(stem).alias("unclean"), ids.sanitize(f).alias("slug"), ids.model_slug(m).alias("model"),
-        ids.model_short_name(m, ["-4bit", "-instruct"]).alias("short_name"), ids.cell_key(size, balance, trial).alias("cell"), ids.run_key(size, balance, trial, F.concat(F.lit("v"), (K % 2).cast("string")), F.col("o_orderstatus")).alias("run_key"),
+        ids.model_short_name(m, ["-4bit", "-instruct"]).alias("short_name"), ids.cell_key(size, balance, trial).alias("cell"), ids.run_key(size, balance, trial, F.concat(F.lit("v"), (key() % 2).cast("string")), F.col("o_orderstatus")).alias("run_key"),
     )
 
 
@@ -67,12 +72,12 @@ select o_orderkey, cast(case when o_orderkey % 3 = 0 then o_custkey % 5 - 1 end
 case when o_orderkey % 4 = 0 then 'q' || o_orderkey when o_orderkey % 4 = 1 then 'i' || o_orderkey else 'what is ' || o_orderkey end as first_id from orders
 """)
 def first_of_several(spark, sf):
-    """A hop count or the id's digit; the first id that isn't blank, else the normalized question (C, K)."""
-    given = F.when(K % 3 == 0, F.col("o_custkey") % 5 - 1)
-    rid = F.when(K % 2 == 0, F.concat((K % 9).cast("string"), F.lit("hop__x"))).otherwise("none")
+    """A hop count or the id's digit; the first id that isn't blank, else the normalized question (C, key())."""
+    given = F.when(key() % 3 == 0, F.col("o_custkey") % 5 - 1)
+    rid = F.when(key() % 2 == 0, F.concat((key() % 9).cast("string"), F.lit("hop__x"))).otherwise("none")
     blank = F.lit("  ")
-    qid, own = F.when(K % 4 == 0, F.concat(F.lit(" q"), S)).otherwise(blank), F.when(K % 4 <= 1, F.concat(F.lit("i"), S)).when(K % 4 == 2, blank)
-    return table(spark, sf, "orders").select("o_orderkey", given.cast("long").alias("given"), ids.coarse_hop_of(given, rid).cast("long").alias("hop"), ids.first_id(qid, own, F.concat(F.lit(" What  IS "), S)).alias("first_id"))
+    qid, own = F.when(key() % 4 == 0, F.concat(F.lit(" q"), key_text())).otherwise(blank), F.when(key() % 4 <= 1, F.concat(F.lit("i"), key_text())).when(key() % 4 == 2, blank)
+    return table(spark, sf, "orders").select("o_orderkey", given.cast("long").alias("given"), ids.coarse_hop_of(given, rid).cast("long").alias("hop"), ids.first_id(qid, own, F.concat(F.lit(" What  IS "), key_text())).alias("first_id"))
 
 
 # ---- text ----
@@ -101,7 +106,7 @@ CUT = "list_filter(list_transform({0}, lambda x: regexp_replace(x, '^\\s+|\\s+$'
 
 
 def step_list():
-    return F.array(F.lit(" Who is #1? "), F.lit(""), F.concat(F.lit("Where  is [#"), (K % 3).cast("string"), F.lit("] near #2")), F.lit("7. x"))
+    return F.array(F.lit(" Who is #1? "), F.lit(""), F.concat(F.lit("Where  is [#"), (key() % 3).cast("string"), F.lit("] near #2")), F.lit("7. x"))
 
 
 @query(f"""
@@ -114,7 +119,7 @@ def step_lists(spark, sf):
     """Lists to steps, joined, as break strings, as completions; the first filled of several (L)."""
     steps = text.steps_of_list(step_list())
     structs = F.transform(step_list(), lambda x: F.struct(x.alias("question")))
-    maybe = F.when(K % 2 == 0, text.steps_of_structs(structs)).otherwise(F.array().cast("array<string>"))
+    maybe = F.when(key() % 2 == 0, text.steps_of_structs(structs)).otherwise(F.array().cast("array<string>"))
     return table(spark, sf, "orders").select(
         "o_orderkey", F.array_join(steps, "|").alias("items"), text.join_steps(step_list()).alias("joined"), text.break_string(step_list()).alias("break_string"), text.format_completion(steps).alias("completion"),
         F.array_join(text.first_filled(maybe, F.array(F.lit("other"))), "|").alias("filled"), text.is_filled(maybe, "array").alias("is_filled"),
@@ -158,11 +163,11 @@ GOLD_SQL = "['Who is it?', case when o_orderkey % 2 = 0 then 'Where is [#1]?' el
 
 
 def predicted():
-    return F.array(F.lit("Who is it?"), F.concat(F.lit("Where is [#1] near [#"), (K % 4).cast("string"), F.lit("]?")), F.concat(F.lit("Is [#"), (K % 5).cast("string"), F.lit("] by #1?")))
+    return F.array(F.lit("Who is it?"), F.concat(F.lit("Where is [#1] near [#"), (key() % 4).cast("string"), F.lit("]?")), F.concat(F.lit("Is [#"), (key() % 5).cast("string"), F.lit("] by #1?")))
 
 
 def golden():
-    return F.array(F.lit("Who is it?"), F.when(K % 2 == 0, "Where is [#1]?").otherwise("WHERE is it?"))
+    return F.array(F.lit("Who is it?"), F.when(key() % 2 == 0, "Where is [#1]?").otherwise("WHERE is it?"))
 
 
 def _valid(steps: str, pattern: str) -> str:
@@ -242,9 +247,9 @@ TRAIN_SQL = "(select o_orderkey as k, case when o_orderkey % 7 = 0 then '  ' els
 
 
 def training_rows(spark, sf):
-    rid = F.when(K % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), (K % 3 + 1).cast("string"), F.lit("hop__"), S))
-    steps = F.when(K % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Who is #1?"), F.lit("x")))
-    rows = table(spark, sf, "orders").select(rid.alias("id"), F.when(K % 5 != 0, F.concat(F.lit(" Q"), S, F.lit("? "))).alias("question"), F.when(K % 2 == 0, K % 4).alias("hop_count"), steps.alias("s"))
+    rid = F.when(key() % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), (key() % 3 + 1).cast("string"), F.lit("hop__"), key_text()))
+    steps = F.when(key() % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Who is #1?"), F.lit("x")))
+    rows = table(spark, sf, "orders").select(rid.alias("id"), F.when(key() % 5 != 0, F.concat(F.lit(" Q"), key_text(), F.lit("? "))).alias("question"), F.when(key() % 2 == 0, key() % 4).alias("hop_count"), steps.alias("s"))
     return training.examine(rows, F.col("s"))
 
 
@@ -271,7 +276,7 @@ def training_examples(spark, sf):
 @query("select trim('r' || o_orderkey) as query_id, cast(o_orderkey % 3 + 1 as bigint) as predicted_hop, cast(o_custkey % 3 + 1 as bigint) as expected_hop, o_orderkey % 3 = o_custkey % 3 as correct, o_orderkey % 10 = 0 as parse_fallback from orders")
 def prediction_rows(spark, sf):
     """A router's predictions as they are written (C)."""
-    out = results.predictions(table(spark, sf, "orders"), F.concat(F.lit(" r"), S), K % 3 + 1, K % 10 != 0, F.col("o_custkey") % 3 + 1)
+    out = results.predictions(table(spark, sf, "orders"), F.concat(F.lit(" r"), key_text()), key() % 3 + 1, key() % 10 != 0, F.col("o_custkey") % 3 + 1)
     return out.withColumn("predicted_hop", F.col("predicted_hop").cast("long")).withColumn("expected_hop", F.col("expected_hop").cast("long"))
 
 
@@ -282,7 +287,7 @@ select 'q' || o_orderkey as question, regexp_replace(regexp_replace(t, '(?s)<thi
 def detailed_results(spark, sf):
     """Responses with expected and predicted hops (C)."""
     c = F.col("o_custkey") % 4
-    return results.detailed(table(spark, sf, "orders"), F.concat(F.lit("q"), S), pick(*RESPONSES), K % 3, F.when(c < 3, c))
+    return results.detailed(table(spark, sf, "orders"), F.concat(F.lit("q"), key_text()), pick(*RESPONSES), key() % 3, F.when(c < 3, c))
 
 
 @query("select 'd' || doc_id as id, trim(text) as question, row_number() over (order by doc_id) - 1 as \"index\" from documents where text is not null and length(trim(text)) > 0")
@@ -316,8 +321,8 @@ select count(*) filter (ran) as n_executed, count(*) as n_items, round(avg(case
 """)
 def both_denominators(spark, sf):
     """Rates over what ran, and over all (F)."""
-    ran = K % 5 != 0
-    j = F.when(ran, (K % 3) / 2.0).otherwise(0.0)
+    ran = key() % 5 != 0
+    j = F.when(ran, (key() % 3) / 2.0).otherwise(0.0)
     out = results.over_both(table(spark, sf, "orders"), ran, j == 1, j)
     return out.select("n_executed", "n_items", *(r6(F.col(c)).alias(c) for c in ("exact_rate_executed", "exact_rate", "mean_jaccard_executed", "mean_jaccard")))
 
