@@ -181,8 +181,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if writer:
             yield done(writer, n)
 
-    order = "doc_id", F.xxhash64("text"), "text"  # rows without or with the same doc_id are dealt by text
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = "doc_id", F.xxhash64("text"), "text"  # rows without or with the same doc_id are dealt by hash; bounds are sampled to the driver, so texts are no part of them
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return common.stage(ordered.mapInArrow(common.tidy(write), MANIFEST), "tokens-manifest")
 
 
