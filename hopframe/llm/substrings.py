@@ -84,39 +84,51 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, windows: int = W
         yield trigger[x1], phrase, row, x1 + p - offsets[row], x2 - x1, first_least[x1] != first_least[x2 - 1]
 
 
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of the keys among the distinct ones, from 1, and how many those are."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    steps = np.ones(len(keys), np.int32)
+    steps[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    np.cumsum(steps, out=steps)
+    out = np.empty(len(keys), np.int32)
+    out[order] = steps
+    return out, int(steps[-1]) if len(steps) else 0
+
+
 def _ranks(symbols: np.ndarray, group_end: np.ndarray, reach: int) -> np.ndarray:
     """Ranks of all suffixes of sequences laid end to end (group_end: where each place's sequence ends), compared
     over `reach` symbols at least; equal suffixes get equal ranks. Prefix doubling."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    place = np.arange(len(symbols))
+    n = len(symbols)
+    rank, kinds = _dense(symbols)
     step = 1
-    while step < reach:
-        nxt = place + step
-        inside = nxt < group_end
-        second = np.where(inside, rank[np.minimum(nxt, len(rank) - 1)], 0)
-        kinds, new = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)
-        rank = new.astype(np.int64) + 1
-        if len(kinds) == len(rank):
-            break
+    while step < reach and kinds < n:
+        key = rank.astype(np.int64)
+        key *= kinds + 1
+        if step < n:
+            key[: n - step] += np.where(np.arange(step, n, dtype=np.int32) < group_end[: n - step], rank[step:], np.int32(0))
+        rank, kinds = _dense(key)
         step *= 2
     return rank
 
 
 def repeated_windows(data: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
-    """For each byte of texts laid end to end: whether a window starts there that starts elsewhere too."""
+    """For each byte of texts laid end to end: whether a window starts there that starts elsewhere too. Places are 32
+    bits wide and what is done with is dropped, since several of these lie side by side in an executor."""
     n = len(data)
     out = np.zeros(n, bool)
     c = common.prefix_hash(data)
     _, down = common.powers(n + 1)
-    text_end = np.repeat(bounds[1:], np.diff(bounds))
+    text_end = np.repeat(bounds[1:].astype(np.int32), np.diff(bounds))
     # triggers: text starts, and places whose next SHORT_TRIGGER bytes hash to 0 modulo SHORT_MODULUS
     cut = np.zeros(n, bool)
     cut[bounds[:-1][np.diff(bounds) > 0]] = True
     m = n - SHORT_TRIGGER + 1
     if m > 0:
         h = common.mix((c[SHORT_TRIGGER:] - c[:m]) * down[:m])
-        cut[:m] |= (h % np.uint64(SHORT_MODULUS) == 0) & (np.arange(m) + SHORT_TRIGGER <= text_end[:m])
+        cut[:m] |= (h % np.uint64(SHORT_MODULUS) == 0) & (np.arange(SHORT_TRIGGER, n + 1, dtype=np.int32) <= text_end[:m])
+        del h
     starts = np.flatnonzero(cut)
     following = np.append(starts[1:], n)
     final = following >= text_end[starts]  # the text's last phrase ends with the text, others with the next trigger
@@ -128,19 +140,27 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, length: int) -> np.nd
     d_end = np.cumsum(sizes)
     d_start = d_end - sizes
     total = int(d_end[-1])
-    source = np.repeat(starts[pick] - d_start, sizes) + np.arange(total)
-    d_rank = _ranks(data[source], np.repeat(d_end, sizes), int(sizes.max()))
+    source = np.repeat((starts[pick] - d_start).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)
+    symbols = data[source]
+    del source
+    d_rank = _ranks(symbols, np.repeat(d_end.astype(np.int32), sizes), int(sizes.max()))
     # the parse's suffixes; `length` bytes span at most as many phrases
-    number = np.searchsorted(starts, np.arange(n), "right") - 1
+    number = np.cumsum(cut, dtype=np.int32) - np.int32(1)
     last_of_text = np.searchsorted(starts, text_end[starts], "left")
     p_rank = _ranks(d_rank[d_start[parse]], last_of_text, length)
     # order of all suffixes: by the phrase's rest, then by what follows in the parse
-    where = np.flatnonzero(np.arange(n) + length <= text_end)
+    where = np.flatnonzero(np.arange(length, n + length, dtype=np.int32) <= text_end).astype(np.int32)
     own = number[where]
-    rest = d_rank[d_start[parse[own]] + where - starts[own]]
-    after = np.where(own + 1 < last_of_text[own], p_rank[np.minimum(own + 1, len(p_rank) - 1)], 0)
+    del number, text_end
+    rest = d_rank[(d_start[parse] - starts).astype(np.int32)[own] + where]
+    own += np.int32(1)
+    after = np.where(own < last_of_text[own - 1], p_rank[np.minimum(own, len(p_rank) - 1)], np.int32(0))
+    del own, d_rank
     order = where[np.lexsort((after, rest))]
-    window = (c[order + length] - c[order]) * down[order]
+    del where, rest, after
+    window = c[order + length]
+    window -= c[order]
+    window *= down[order]
     same = window[1:] == window[:-1]
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
