@@ -93,3 +93,13 @@ def fingerprint(df: DataFrame, line: Column) -> DataFrame:
 def sorted_fingerprint(df: DataFrame, line: Column) -> DataFrame:
     """sha256 of the sorted lines joined by line feeds, for pinned evaluation sets (their size is declared and small)."""
     return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
+
+
+def same_definition(df: DataFrame, name: str, definition: str) -> DataFrame:
+    """(definition, names): rows grouped by equal definitions, a map or a JSON object in any order of keys; null and empty
+    ones are left out."""
+    kind = df.schema[definition].dataType.typeName()
+    given = F.col(definition) if kind == "map" else F.from_json(definition, "map<string,string>")
+    entries = F.array_sort(F.map_entries(given))
+    rows = df.select(F.col(name).alias("name"), F.to_json(F.map_from_entries(entries)).alias("definition"), F.size(entries).alias("n"))
+    return rows.where("n > 0").groupBy("definition").agg(F.array_sort(F.collect_list("name")).alias("names"))

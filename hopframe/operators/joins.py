@@ -111,3 +111,12 @@ def merge_intervals(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
     begins = F.coalesce((F.col(start) > seen).cast("int"), F.lit(1))
     islands = df.withColumn("\x00b", begins).withColumn("\x00g", F.sum("\x00b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(by, "\x00g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("\x00g")
+
+
+def gold_for(rows: DataFrame, gold: DataFrame, hop: str = "hop_count", question: str = "question") -> DataFrame:
+    """rows with the gold columns of their hop count and trimmed question; null where there is none or no hop count.
+    gold has one row for each."""
+    keys = {hop: "\x00hop", question: "\x00question"}
+    g = gold.withColumn(question, F.trim(question)).withColumnsRenamed(keys)
+    same = (F.col(hop) == F.col("\x00hop")) & (F.trim(F.coalesce(question, F.lit(""))) == F.col("\x00question"))
+    return rows.join(g, same, "left").drop(*keys.values())

@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def _blocks(df: DataFrame, name: str, key: str, vector: str, extra: list[str], n: int) -> DataFrame:
-    cols = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *(F.col(c).alias(c) for c in extra)]
-    return df.select(*cols).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+def _blocks(df: DataFrame, key: str, vector: str, bucket: str | None) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(bucket) if bucket else F.lit(0)).alias("bucket"))
 
 
 def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, bucket: str | None = None, exclude_self: bool = True) -> DataFrame:
     """(query_id, rank, pool_id, score): the k pool rows of each query with the largest dot product, ties to the smaller id.
 
-    bucket restricts candidates to rows of the query's bucket before the cut. Queries and pool are dealt out in blocks;
-    a task multiplies one block by another and keeps k of each query, so neither side is broadcast or gathered."""
-    extra = [bucket] if bucket else []
-    q_blocks = max(1, -(-queries.count() // BLOCK))
-    p_blocks = max(1, -(-pool.count() // (4 * BLOCK)))
-    q = _blocks(queries, "qb", key, vector, extra, q_blocks).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
-    p = _blocks(pool, "pb", key, vector, extra, p_blocks).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    bucket restricts candidates to rows of the query's bucket (null is one too) before the cut. Each bucket's queries and
+    pool are dealt out in blocks by its sizes; a task multiplies one block by another and keeps k of each query, so
+    neither side is gathered, and rows of different buckets never meet."""
+    q, p = _blocks(queries, key, vector, bucket), _blocks(pool, key, vector, bucket)
+    count = lambda df, most, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    q_size, p_size = count(q, BLOCK, "q_blocks").alias("l"), count(p, 4 * BLOCK, "p_blocks").alias("r")
+    sizes = q_size.join(p_size, F.col("l.bucket").eqNullSafe(F.col("r.bucket"))).select(F.col("l.bucket").alias("of"), "q_blocks", "p_blocks")
+    dealt = lambda df, own, n: df.join(sizes, F.col("bucket").eqNullSafe(F.col("of"))).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = dealt(q, "qb", "q_blocks").select("bucket", "id", "v", "qb", each("p_blocks").alias("pb"))
+    p = dealt(p, "pb", "p_blocks").select("bucket", "id", "v", "pb", each("q_blocks").alias("qb"))
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [], [], []
@@ -34,15 +37,10 @@ def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int,
             rid = rid[order]
             a = np.stack(left["v"].to_numpy(zero_copy_only=False))
             b = np.stack(right["v"].to_numpy(zero_copy_only=False))[order]
-            lb = left[bucket].to_pylist() if bucket else None
-            rb = np.array(right[bucket].to_pylist(), object)[order] if bucket else None
             for at in range(0, len(a), 256):
                 scores = a[at : at + 256] @ b.T
                 for i, row in enumerate(scores, at):
-                    may = np.ones(len(rid), bool) if not bucket else rb == lb[i]
-                    if exclude_self:
-                        may &= rid != lid[i]
-                    where = np.flatnonzero(may)
+                    where = np.flatnonzero(rid != lid[i]) if exclude_self else np.arange(len(rid))
                     if len(where) > k:
                         cut = np.partition(row[where], len(where) - k)[len(where) - k]
                         above = where[row[where] > cut]
@@ -53,7 +51,7 @@ def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int,
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), t)
         return pa.table({"query_id": flat(out[0], pa.int64()), "pool_id": flat(out[1], pa.int64()), "score": flat(out[2], pa.float64())})
 
-    found = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(multiply, "query_id long, pool_id long, score double")
+    found = q.groupBy("bucket", "qb", "pb").cogroup(p.groupBy("bucket", "qb", "pb")).applyInArrow(multiply, "query_id long, pool_id long, score double")
     return top(found, "query_id", [F.desc("score"), F.asc("pool_id")], k).select("query_id", "rank", "pool_id", "score")
 
 

@@ -66,6 +66,52 @@ def per_hop(spark: SparkSession, template: str, hops: list[int]) -> DataFrame:
     return out
 
 
+def questions(spark: SparkSession, path: str, form: str, id_field: str = "id", question_field: str = "question") -> DataFrame:
+    """(line_no, query_id, question) of "lines" (no ids) or "jsonl". A row without a question that is a text is an error,
+    as are a missing file of rows and one without any; a missing file of lines is empty."""
+    if form == "lines":
+        return text_questions(spark, path).select("line_no", F.lit(None).cast("string").alias("query_id"), "question")
+    if form != "jsonl":
+        raise ConfigError(f"questions are lines or jsonl, not {form}")
+    raw = lines(spark, path).where(F.trim("value") != "").select("line_no", F.try_parse_json("value").alias("row"))
+    if raw.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    field = lambda name: F.try_variant_get("row", f"$['{name}']", "string")
+    text = F.schema_of_variant(F.try_variant_get("row", f"$['{question_field}']", "variant")) == "STRING"
+    usable = F.when(text & (F.trim(field(question_field)) != ""), F.trim(field(question_field)))
+    bad = F.raise_error(F.concat(F.lit(f"{path}: no usable {question_field} in line "), F.col("line_no"))).cast("string")
+    return raw.select("line_no", field(id_field).alias("query_id"), F.coalesce(usable, bad).alias("question"))
+
+
+def retrieval(spark: SparkSession, path: str, id_field: str = "query_id") -> DataFrame:
+    """`questions` with expected_hop, which the id begins with; ids without one are an error."""
+    rows = questions(spark, path, "jsonl", id_field)
+    hop = F.regexp_extract(F.coalesce("query_id", F.lit("")), r"^(\d+)hop", 1).try_cast("int")
+    bad = F.raise_error(F.concat(F.lit(f"{path}: no hop in the id of line "), F.col("line_no"))).cast("int")
+    return rows.withColumn("expected_hop", F.coalesce(hop, bad))
+
+
+def files(spark: SparkSession, root: str, pattern: str, but: str | None = None) -> list[str]:
+    """Sorted paths that match a pattern below root (absolute patterns as they are); ** is any depth. With `but`, files
+    whose names end so are left out, and none left is an error."""
+    whole = pattern if pattern.startswith("/") or "://" in pattern else f"{root.rstrip('/')}/{pattern}"
+    head, deep, name = whole.partition("/**/")
+    try:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", bool(deep))
+        df = df.option("pathGlobFilter", name).load(head) if deep else df.load(whole)
+        found = sorted(r[0] for r in df.select("path").collect())
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = []
+    if but is None:
+        return found
+    found = [f for f in found if not f.endswith(but)]
+    if not found:
+        raise ConfigError(f"no files match {whole}")
+    return found
+
+
 def zipped(spark: SparkSession, questions: str, answers: str, separator: str = "|") -> DataFrame:
     """Questions and answer sets, line by line after blank lines are dropped; different lengths are refused."""
     from ..operators.joins import reindex

@@ -43,6 +43,13 @@ def append_guarded(df: DataFrame, path: str, key: str, identity: list[str]) -> i
     return n
 
 
+def joined_csv(results: DataFrame, gold: DataFrame, path: str, key: str, steps: str) -> None:
+    """All results, with their gold steps in one column (empty without gold), as CSV with a header."""
+    own = gold.groupBy(key).agg(F.any_value(F.array_join(steps, " | ")).alias("gold_decomposition"))
+    rows = results.join(own, key, "left").select(*results.columns, F.coalesce("gold_decomposition", F.lit("")).alias("gold_decomposition"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+
+
 def cache_key(*parts: str) -> str:
     import hashlib
 
@@ -60,6 +67,16 @@ def cached(spark: SparkSession, root: str, key: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def probe(spark: SparkSession, path: str, vector: str, rows: int, dimension: int) -> DataFrame | None:
+    """A stored table of vectors, or None where it can't be read, isn't complete or holds other sizes."""
+    try:
+        df = spark.read.parquet(path)
+        seen = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size(vector) != dimension, F.lit(True))).alias("bad")).first()
+    except Exception:  # whatever is wrong with a cache, it's a miss
+        return None
+    return df if seen["n"] == rows and not seen["bad"] else None
+
+
 def artifacts(folder: str, config: dict, metrics: dict, title: str, notes: list[str], prefix: str = "") -> dict[str, str]:
     """config.json, metrics.json and notes.md of a run (driver side; they are small)."""
     base = Path(folder)

@@ -134,6 +134,62 @@ def test_topk(spark):
     assert [x.pool_id for x in spark.range(1).select(topk.without_self(n, F.lit("1"), F.lit("q"), 2)).first()[0]] == ["3"]
 
 
+def test_topk_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rows = [(i, [float(i * 7 % 11), 1.0], None if i % 5 == 0 else "hot" if i % 3 else "cold") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, b string")
+    queries = df.where("id % 2 = 0").union(spark.createDataFrame([(99, [1.0, 1.0], "alone")], df.schema))
+    got = {}
+    for r in topk.similar(queries, df, "id", "v", 4, "b").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.pool_id, r.score))
+    for i, v, b in rows[::2]:
+        want = sorted((-(v[0] * w[0] + 1), j) for j, w, c in rows if j != i and c == b)[:4]
+        assert [(x[1], x[2]) for x in sorted(got.pop(i))] == [(j, -s) for s, j in want]
+    assert not got
+    assert topk.similar(df.limit(0), df, "id", "v", 4).count() == 0
+
+
+def test_question_files(spark, tmp_path):
+    d = tmp_path / "in" / "deep"
+    d.mkdir(parents=True)
+    a, b = d / "x_questions_1.jsonl", d / "x_questions_all.jsonl"
+    a.write_text('{"id": "2hop__a", "question": " Who? ", "n": 1}\n\n{"id": "3hop__b", "question": "Where?"}\n')
+    b.write_text('{"id": "nohop", "question": 5}\n')
+    (d / "q.txt").write_text("One?\n\n Two? \n")
+    got = readers.retrieval(spark, str(a), "id").orderBy("line_no").collect()
+    assert [(r.query_id, r.question, r.expected_hop) for r in got] == [("2hop__a", "Who?", 2), ("3hop__b", "Where?", 3)]
+    assert [r.question for r in readers.questions(spark, str(d / "q.txt"), "lines").orderBy("line_no").collect()] == ["One?", "Two?"]
+    with pytest.raises(Exception, match="no usable question"):
+        readers.questions(spark, str(b), "jsonl").collect()
+    with pytest.raises(readers.ConfigError):
+        readers.questions(spark, str(a), "csv")
+    (d / "bad.jsonl").write_text('{"id": "x", "question": "Q"}\n')
+    with pytest.raises(Exception, match="no hop"):
+        readers.retrieval(spark, str(d / "bad.jsonl"), "id").collect()
+    names = lambda x: [p.rsplit("/", 1)[1] for p in x]
+    assert names(readers.files(spark, str(tmp_path), "**/x_questions_*.jsonl", "_questions_all.jsonl")) == ["x_questions_1.jsonl"]
+    assert names(readers.files(spark, str(tmp_path), "in/deep/x_*.jsonl")) == ["x_questions_1.jsonl", "x_questions_all.jsonl"]
+    assert readers.files(spark, str(tmp_path), "in/none_*") == []
+    with pytest.raises(readers.ConfigError):
+        readers.files(spark, str(tmp_path), "**/none_*", "_all.jsonl")
+
+
+def test_joined_sink_probe_and_groups(spark, tmp_path):
+    results = spark.createDataFrame([("a", 'say "x", y'), ("b", "q")], "query_id string, question string")
+    gold = spark.createDataFrame([("a", ["s1", "s2"])], "query_id string, steps array<string>")
+    sinks.joined_csv(results, gold, str(tmp_path / "csv"), "query_id", "steps")
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).orderBy("query_id").collect()
+    assert [tuple(r) for r in back] == [("a", 'say "x", y', "s1 | s2"), ("b", "q", None)]
+    spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>").write.parquet(str(tmp_path / "v"))
+    assert sinks.probe(spark, str(tmp_path / "v"), "v", 2, 2).count() == 2
+    assert [sinks.probe(spark, str(tmp_path / p), "v", n, d) for p, n, d in (("v", 3, 2), ("v", 2, 3), ("none", 2, 2))] == [None] * 3
+    arms = spark.createDataFrame([("r", '{"a": 1, "b": "x"}'), ("p", '{"b": "x", "a": 1}'), ("o", '{"a": 2}'), ("n", None), ("e", "{}")], "name string, d string")
+    assert sorted(r.names for r in aggregate.same_definition(arms, "name", "d").collect()) == [["o"], ["p", "r"]]
+    rows = spark.createDataFrame([(1, " Q "), (2, "Q"), (None, "Q"), (1, None)], "hop_count int, question string")
+    g = spark.createDataFrame([(1, "Q", ["x"])], "hop_count int, question string, answers array<string>")
+    assert sorted(str(r.answers) for r in joins.gold_for(rows, g).collect()) == ["None", "None", "None", "['x']"]
+
+
 def test_step_execution(spark):
     items = spark.createDataFrame([(1, ["Who runs it?", "Where is [#1]?", "What of [#9]"])], "item_id int, steps array<string>")
     rows = models.run_steps(items).orderBy("step").collect()
