@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import ann, common, decontaminate, heavy, jaccard, language, lm, packing, periodic, resample, shards, substrings, token_files
+from . import ann, common, decontaminate, heavy, jaccard, language, lm, nearsets, packing, periodic, resample, shards, substrings, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_resample": resample.op9_resample,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_near_sets": nearsets.op12_near_sets,
     "op13_heavy_hitters": heavy.op13_heavy_hitters,
 }
 
