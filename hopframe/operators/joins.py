@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions.text import normalize_question
 from . import checks
 
@@ -93,14 +94,21 @@ def concat_keep_all(parts: list[DataFrame], ordinal: str) -> DataFrame:
 
 
 def reindex(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """A 0-based index in the given order, without bringing all rows to one task: sort by ranges, count each range, add
-    the counts of the ranges before. Rows should be stored or cheap, since they are read twice."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("\x00p", F.spark_partition_id()).withColumn("\x00i", F.monotonically_increasing_id())
-    counts = ordered.groupBy("\x00p").agg(F.count("*").alias("n"), F.min("\x00i").alias("lo"))
-    before = F.sum("n").over(Window.orderBy("\x00p").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
-    starts = counts.select("\x00p", "lo", F.coalesce(before, F.lit(0)).alias("\x00s"))
-    out = ordered.join(starts, "\x00p").withColumn(name, F.col("\x00s") + F.col("\x00i") - F.col("lo"))
-    return out.drop("\x00p", "\x00i", "\x00s", "lo")
+    """A 0-based index in the given order, without bringing all rows to one task.
+
+    Rows are dealt into ranges, sorted and stored, each with its range's number and its place; the ranges' counts come
+    from what is stored, so they fit it whatever is read later and however adaptive execution deals tasks. Only one
+    count for each range reaches the driver. Rows that are equal in `order` are numbered in any, but one, order."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(runtime.tasks(df), *order).sortWithinPartitions(*order)
+    placed = runtime.stored(ranges.withColumn("\x00p", F.spark_partition_id()).withColumn("\x00i", F.monotonically_increasing_id()), "ordinals")
+    starts, at = [], 0
+    for p, lo, n in placed.groupBy("\x00p").agg(F.min("\x00i"), F.count("*")).orderBy("\x00p").collect():
+        starts.append((p, at - lo))
+        at += n
+    shift = spark.createDataFrame(starts, "`\x00p` int, `\x00s` long")
+    out = placed.join(F.broadcast(shift), "\x00p").withColumn(name, F.col("\x00s") + F.col("\x00i"))  # one row for each range
+    return out.drop("\x00p", "\x00i", "\x00s")
 
 
 def merge_intervals(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
