@@ -14,7 +14,9 @@ codes only spare exact distances.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids, so a group of copies takes one place of a
 shortlist, however large it is. Queries and index are dealt out in blocks; a task answers one block of queries
-from one block of vectors and keeps the best k ids of it.
+from one block of vectors and keeps the best k ids of it. Magnitudes don't matter: codes are in units of the sample's
+median, distances are scaled where their squares would leave the doubles' range, and a vector without a finite bound is
+ranked exactly.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components take
 no part, as candidates or queries. Rows with a null id take no part. An id that occurs twice is a candidate
@@ -39,6 +41,7 @@ BEAM = 8
 SHORTLIST = 1024
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4096
 SLACK = 1e-9  # of the lengths involved, for rounding in the bound
+CLIP = 1e15
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -56,20 +59,46 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; squares that would leave the doubles' range are taken of scaled differences."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        apart = x - y
+        plain = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~((plain > 1e-140) & (plain < np.inf)))
+        if len(odd):
+            half = x[odd] / 2 - np.broadcast_to(y, x.shape)[odd] / 2  # the difference itself may leave it
+            most = np.abs(half).max(axis=1, initial=0.0)
+            scaled = half / np.where(most > 0, most, 1.0)[:, None]
+            plain[odd] = np.sqrt((scaled**2).sum(axis=1)) * most * 2
+    return plain
+
+
 class Codebooks:
+    """Books of words in units of `unit`, a power of two near the sample's median magnitude; what is far larger is
+    encoded as if it were CLIP units large, which costs precision of the code and nothing of the result."""
+
     def __init__(self, sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
-        rest, found = sample.astype(np.float32).copy(), []
+        self.unit = 2.0 ** np.clip(np.round(np.log2(np.median(np.abs(sample).max(axis=1)))), -1000, 1000)
+        rest, found = self.small(sample).copy(), []
         for _ in range(books):
             book = _kmeans(rest, min(words, max(1, len(rest))), rounds, rng)
             found.append(book)
             rest -= book[(rest @ book.T * -2 + (book**2).sum(axis=1)).argmin(axis=1)]
         self.books = np.stack(found).astype(np.float32)  # books x words x dimension
 
+    def small(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(x / self.unit, -CLIP, CLIP).astype(np.float32)
+
+    def words(self) -> np.ndarray:
+        """The books in the vectors' own units."""
+        return self.books.astype(np.float64) * self.unit
+
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes and squared norms of the reconstructions; each book extends the best `beam` sums so far."""
         m, k, d = self.books.shape
-        rest = x.astype(np.float32)[:, None, :]
+        rest = self.small(x)[:, None, :]
         codes = np.zeros((len(x), 1, 0), np.uint8)
         for book in self.books:
             error = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)
@@ -80,8 +109,9 @@ class Codebooks:
             parent, word = best // k, best % k
             rest = np.take_along_axis(rest, parent[:, :, None], 1) - book[word]
             codes = np.concatenate((np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)), axis=2)
-        rebuilt = x.astype(np.float32) - rest[:, 0]
-        return codes[:, 0], (rebuilt.astype(np.float64) ** 2).sum(axis=1)
+        rebuilt = (self.small(x) - rest[:, 0]).astype(np.float64) * self.unit
+        with np.errstate(over="ignore"):
+            return codes[:, 0], (rebuilt**2).sum(axis=1)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -118,8 +148,9 @@ def build(vectors: DataFrame, copies: int, books: int = BOOKS, words: int = WORD
                 part = batch.slice(at, 1024)
                 x = _matrix(part.column(2), d)
                 codes, _ = c.encode(x)
-                rebuilt = sum(book[codes[:, j]].astype(np.float64) for j, book in enumerate(c.books))
-                norm, error = (rebuilt**2).sum(axis=1), np.sqrt(((x - rebuilt) ** 2).sum(axis=1))
+                rebuilt = sum(book[codes[:, j]] for j, book in enumerate(c.words()))
+                with np.errstate(over="ignore"):
+                    norm, error = (rebuilt**2).sum(axis=1), distances(x, rebuilt)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norm), pa.array(error)], names=["key", "ids", "embedding", "codes", "norm", "error"])
 
     index = distinct.repartition(F.col("key")).mapInArrow(common.tidy(encode), "key long, ids array<long>, embedding array<double>, codes binary, norm double, error double")
@@ -138,10 +169,14 @@ def search(index: DataFrame, books: Codebooks | None, d: int, queries: DataFrame
     numbered = index.select("ids", "embedding", "codes", "norm", "error", F.pmod(F.xxhash64("key", F.element_at("ids", 1)), F.lit(n_blocks)).cast("int").alias("block"))
     blocks = numbered.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asks = asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    shared = spark.sparkContext.broadcast(books.books)
+    shared = spark.sparkContext.broadcast(books.words())
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = shared.value.astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return ranked(left, right)
+
+    def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = shared.value
         m = len(words)
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
@@ -150,11 +185,11 @@ def search(index: DataFrame, books: Codebooks | None, d: int, queries: DataFrame
             ids = left["ids"].combine_chunks()
             flat, n_ids = ids.flatten().to_numpy(), np.asarray(ids.value_lengths())
             first = np.cumsum(n_ids) - n_ids
-            length = np.sqrt((x**2).sum(axis=1))
+            length = distances(x, np.zeros(d))
 
             def nearest(one: int, vector: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """The k nearest ids of these rows, and their distances."""
-                score = np.sqrt(((x[rows] - vector) ** 2).sum(axis=1))
+                score = distances(x[rows], vector)
                 if len(rows) > 2 * k + 2:  # each of the k nearest ids is in one of as many rows, unless an id has several
                     near = np.flatnonzero(score <= np.partition(score, 2 * k + 1)[2 * k + 1])
                     if len(np.setdiff1d(flat[first[rows[near]]], [one])) >= k:
@@ -181,7 +216,7 @@ def search(index: DataFrame, books: Codebooks | None, d: int, queries: DataFrame
                     worst = s[-1] if len(s) == k else np.inf
                     scale = SLACK * (square + norm + length**2)
                     least = np.sqrt(np.maximum(near + square - scale, 0.0)) - error * (1 + SLACK)
-                    open_ = least <= worst * (1 + SLACK)
+                    open_ = ~(least > worst * (1 + SLACK))  # what has no bound, in numbers beyond the doubles' range, is ranked too
                     open_[rows] = True
                     v, s = nearest(one, vector, np.flatnonzero(open_))
                 out_q.append(np.full(len(v), one, np.int64))

@@ -323,3 +323,54 @@ def test_randomised_svd(spark):
     rows = spark.createDataFrame([(list(range(25)), [float(x) for x in r]) for r in a], "ids array<int>, weights array<double>").repartition(3)
     v = decontaminate.randomised_svd(rows, 25, 4).astype(np.float64)
     assert np.abs(a - a @ v @ v.T).max() < 1e-4
+
+
+def test_letters_are_those_of_unicode():
+    """Numerals, marks and symbols are no words, whatever else is in the text; lower-casing may change a character."""
+    import unicodedata
+
+    for c in map(chr, range(0x3000)):
+        kind = unicodedata.category(c)
+        if kind == "Cn":
+            continue
+        low = c.lower()
+        assert bool(language.words_of(c)) == any(unicodedata.category(x)[0] == "L" for x in low), hex(ord(c))
+    assert language.words_of("½ ² Ⅷ ① x² áb 12 _c") == ["x", "áb", "c"]
+    assert language.words_of("½ ²") == language.words_of("́") == []
+
+
+def test_more_languages_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    words = {"aa": "zeta zola", "bb": "mimo memo", "cc": "pulu pilu", "dd": "kraka kroko"}
+    rows = [(w, k) for k, w in words.items() for _ in range(1 if k == "bb" else 5)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["aa", "cc", "dd"]
+    got = language.label(spark.createDataFrame([("x", "pulu pilu"), ("y", "½"), ("z", None)], "lang_pred string, text string").select("text", "lang_pred"), model, "text").collect()
+    assert sorted(str(r["lang_pred"]) for r in got) == ["cc", "und", "und"]
+
+
+@pytest.mark.parametrize("kind", ["great", "small", "mixed", "wide"])
+def test_nearest_whatever_the_norms(spark, kind, monkeypatch):
+    """Against brute force in exact scales, beside vectors of 1e200 and 1e-200."""
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 8))
+    if kind == "great":
+        x[0] *= 1e200
+    elif kind == "small":
+        x *= 1e-200
+    elif kind == "mixed":
+        x *= 10.0 ** rng.integers(-200, 200, (700, 1))
+    else:
+        x[:40] *= 3e306
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index, books, d = ann.build(rows, 11)
+    got = {}
+    for r in ann.search(index, books, d, rows.where("vec_id % 20 = 0"), 10, shortlist=30).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    exact = x.astype(np.longdouble)  # of a wider range
+    for q in range(0, 700, 20):
+        apart = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
+        near = np.delete(apart, q)
+        assert np.allclose([got[q][k + 1][1] for k in range(10)], np.sort(near)[:10].astype(float), rtol=1e-12, atol=0)
+        assert np.allclose(apart[[got[q][k + 1][0] for k in range(10)]].astype(float), [got[q][k + 1][1] for k in range(10)], rtol=1e-12, atol=0)
