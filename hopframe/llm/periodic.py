@@ -23,6 +23,8 @@ start, then period. Empty tables give empty results.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ from pyspark.sql import types as T
 
 from . import common
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAST = 12  # words
 PROBES = 8
 LONG_BYTES = 4 << 20
@@ -73,9 +76,16 @@ class _Known:
         self.start, self.end = np.concatenate((self.start, start)), np.concatenate((self.end, end))
         self.period = np.concatenate((self.period, np.full(len(start), period, np.int64)))
 
-    def inside(self, first: int, last: int, lag: int) -> bool:
-        """Whether words first .. last lie in a known run whose period divides the lag."""
-        return bool(((self.start <= first) & (self.end > last) & (lag % self.period == 0)).any()) if len(self.start) else False
+    def inside(self, first: np.ndarray, last: np.ndarray, lag: int) -> np.ndarray:
+        """Whether words first .. last lie in a known run whose period divides the lag. Of runs of such periods those that
+        begin before a place are nested or apart but for less than two periods, so the one that ends last decides."""
+        some = np.flatnonzero(lag % self.period == 0)
+        if len(some) == 0:
+            return np.zeros(len(first), bool)
+        some = some[np.argsort(self.start[some], kind="stable")]
+        furthest = np.maximum.accumulate(self.end[some])
+        at = np.searchsorted(self.start[some], first, "right")
+        return (at > 0) & (furthest[at - 1] > last)
 
 
 def _smallest_period(ids: np.ndarray, start: int, end: int, lag: int) -> int:
@@ -125,9 +135,9 @@ def scan(ids: np.ndarray, counts: np.ndarray, low: int = 1, high: int | None = N
             cuts = np.flatnonzero(np.diff(grid) > 1)
             a, b = grid[np.concatenate(([0], cuts + 1))], grid[np.concatenate((cuts, [len(grid) - 1]))]
             found = []
-            for i, j in zip(*(x[b - a + 1 >= PROBES] * step for x in (a, b))):
-                if known.inside(i, j + lag, lag):
-                    continue
+            a, b = (x[b - a + 1 >= PROBES] * step for x in (a, b))
+            fresh = ~known.inside(a, b + lag, lag)
+            for i, j in zip(a[fresh].tolist(), b[fresh].tolist()):
                 left, right = max(0, i - step + 1), min(stop - lag, j + step)
                 s, e = _stretches(line[left:right] == line[left + lag : right + lag])
                 keep = e - s >= wanted
@@ -251,12 +261,26 @@ def _by_lags(rows: DataFrame, schema, columns, least: int, lags: int) -> DataFra
 
 
 def planted(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Key and text; every tenth key's words, numbered from 0, repeat the p from place a on till the end."""
-    hashed = docs.select(key, text, F.crc32(F.col(key).cast("string").cast("binary")).alias("h"))
-    listed = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
-    placed = listed.withColumn("a", F.expr("case when size(w) > 0 then h div 10 % size(w) end")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + h div 10 % 8)"))
-    repeated = F.expr("array_join(transform(w, (x, i) -> if(i >= a, element_at(w, cast(1 + a + (i - a) % p as int)), x)), ' ')")
-    return placed.select(key, F.when(F.col("a").isNotNull(), repeated).otherwise(F.col(text)).alias(text))
+    """Key and text; every tenth key's words, numbered from 0, repeat the p from place a on till the end. Rows of other
+    keys don't pass through Python here."""
+    hashed = docs.select(key, F.col(text).alias("text"), F.crc32(F.col(key).cast("string").cast("binary")).alias("h"))
+    chosen = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for body, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                w, g = WORD.findall((body or "").encode()), h // 10
+                if w:
+                    a = g % len(w)
+                    unit = w[a : a + 1 + (len(w) - a) // (3 + g % 8)]
+                    w[a:] = (unit * (len(w) // len(unit) + 1))[: len(w) - a]
+                    body = b" ".join(w).decode()
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
+
+    rest = hashed.where(~chosen).select(key, "text")
+    return rest.union(hashed.where(chosen).mapInArrow(common.tidy(rows), rest.schema))
 
 
 def digests(rows: DataFrame, *columns: str) -> DataFrame:
