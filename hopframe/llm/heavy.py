@@ -36,10 +36,14 @@ FAN = 64  # shards that are merged in a round
 KEYS = ["stream", "grp"]
 
 
-def sums(entries: DataFrame) -> DataFrame:
-    """Weights and numbers of entries (stream, grp, item, weight, deal) by group, key and deal; stored."""
-    kept = entries.where("stream is not null and grp is not null and item is not null and weight >= 0")
-    added = kept.groupBy(*KEYS, "item", "deal").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+def sums(streams: list[DataFrame]) -> DataFrame:
+    """Weights and numbers of entries (stream, grp, item, weight, deal) by group, key and deal; stored. Each stream is added
+    up by its own kind of key, which becomes text afterwards."""
+    added = None
+    for entries in streams:
+        kept = entries.where("stream is not null and grp is not null and item is not null and weight >= 0")
+        one = kept.groupBy(*KEYS, "item", "deal").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).withColumn("item", F.col("item").cast("string"))
+        added = one if added is None else added.union(one)
     return common.stage(added, "sums", "lz4")
 
 
@@ -49,8 +53,9 @@ def _tasks(df: DataFrame) -> int:
 
 def _cut(rows: DataFrame, counters: int) -> DataFrame:
     """Rank (stream, grp, shard, item, low, cut) in each shard, subtract, drop. The row at the place of the subtracted
-    weight stays without its key and carries what the shard has lost."""
-    shard = Window.partitionBy(*KEYS, "shard").orderBy(F.col("item").isNull(), F.desc("low"), "item")
+    weight stays without its key and carries what the shard has lost; the order of equal weights doesn't matter, since
+    equals of the subtracted weight all go."""
+    shard = Window.partitionBy(*KEYS, "shard").orderBy(F.desc("low"))
     whole = shard.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = rows.withColumn("place", F.row_number().over(shard)).withColumn("less", F.coalesce(F.nth_value("low", counters + 1).over(whole), F.lit(0)))
     left = F.col("low") - F.col("less")
@@ -77,13 +82,13 @@ def summaries(added: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return rows.withColumn("lost", lost).where("item is not null").select(*KEYS, "item", "low", (F.col("low") + F.col("lost")).alias("high"))
 
 
-def heavy_hitters(entries: DataFrame, share: int, counters: int = COUNTERS) -> DataFrame:
+def heavy_hitters(entries: DataFrame | list[DataFrame], share: int, counters: int = COUNTERS) -> DataFrame:
     """The keys that weigh more than 1/share of their group: stream, grp, item, n_entries, total, w and the summary's
-    low, estimate, high. entries: (stream, grp, item, weight, deal); deal is any number from 0 to DEALS - 1 that deals
-    a key's entries out. counters must be at least `share`."""
+    low, estimate, high. entries: (stream, grp, item, weight, deal), or several such tables of different streams; deal is
+    any number from 0 to DEALS - 1 that deals a key's entries out. counters must be at least `share`."""
     if counters < share:
         raise ValueError("a summary needs at least as many counters as the share asks for")
-    added = sums(entries)
+    added = sums(entries if isinstance(entries, list) else [entries])
     totals = added.groupBy(*KEYS).agg(F.sum("n").alias("n_entries"), F.sum("w").alias("total"))
     near = summaries(added, counters).hint("merge").join(totals, KEYS).where(F.lit(share) * F.col("high") > F.col("total"))
     exact = added.groupBy(*KEYS, "item").agg(F.sum("w").alias("w"))
@@ -106,11 +111,11 @@ def json_keys(rows: DataFrame, text: str, *columns: str) -> DataFrame:
     """The columns and a row for each `key` in a column of JSON texts: `os=`, `tag=` and `sku=`. None for texts that aren't
     valid JSON from end to end, or repeat a key of an object. The parser stops after the first value, so the text is
     parsed inside a list, which must then have one member, and inside an object: what follows a value ends one of the
-    two too early."""
-    parsed = rows.where(F.col(text).isNotNull()).select(
-        *columns, F.expr(f"try_parse_json(concat('[', {text}, ']'))").alias("inside"), F.expr(f"try_parse_json(concat('{{\"v\":', {text}, '}}'))").alias("whole")
-    )
-    sound = parsed.where("inside is not null and whole is not null and size(cast(inside as array<variant>)) = 1")
+    two too early. Only an object has such keys."""
+    named = rows.where(F.col(text).rlike(r"device|tags|items|\\"))  # no other text has these names, plain or escaped
+    whole = F.when(F.col(text).rlike(r"\}\s*\]"), F.expr(f"try_parse_json(concat('{{\"v\":', {text}, '}}')) is not null")).otherwise(True)  # a list can end early there alone
+    parsed = named.select(*columns, F.expr(f"try_parse_json(concat('[', {text}, ']'))").alias("inside"), whole.alias("whole"))
+    sound = parsed.where("inside is not null and whole and size(cast(inside as array<variant>)) = 1")
     empty = "cast(array() as array<string>)"
     keys = sound.select(
         *columns,
@@ -118,21 +123,21 @@ def json_keys(rows: DataFrame, text: str, *columns: str) -> DataFrame:
         F.expr(f"coalesce(try_variant_get(inside, '$[0].tags', 'array<string>'), {empty})").alias("tags"),
         F.expr("coalesce(try_variant_get(inside, '$[0].items', 'array<variant>'), cast(array() as array<variant>))").alias("items"),
     )
-    named = F.expr("concat(array('os=' || os), transform(tags, t -> 'tag=' || t), transform(items, i -> 'sku=' || try_variant_get(i, '$.sku', 'string')))")
-    return keys.select(*columns, F.explode(named).alias("key"))
+    listed = F.expr("concat(array('os=' || os), transform(tags, t -> 'tag=' || t), transform(items, i -> 'sku=' || try_variant_get(i, '$.sku', 'string')))")
+    return keys.select(*columns, F.explode(listed).alias("key"))
 
 
-def shop_entries(spark, sf_dir: str) -> DataFrame:
+def shop_entries(spark, sf_dir: str) -> list[DataFrame]:
     """Clients per quarter of a day, items per vendor by quantity, and properties per client."""
     clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
     lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet")
-    entry = lambda df, stream, grp, item, weight, deal: df.select(F.lit(stream).alias("stream"), grp.cast("long").alias("grp"), item.cast("string").alias("item"), weight.cast("long").alias("weight"), _dealt(deal).alias("deal"))
+    entry = lambda df, stream, grp, item, weight, deal: df.select(F.lit(stream).alias("stream"), grp.cast("long").alias("grp"), item.alias("item"), weight.cast("long").alias("weight"), _dealt(deal).alias("deal"))
     one = F.lit(1)
     user = entry(clicks, "user", _quarter_day(clicks, "ts"), F.col("client_id"), one, F.col("click_id"))
     part = entry(lines, "part", F.col("vendor_id"), F.col("item_id"), F.col("quantity"), F.col("sale_id") + F.col("line_no"))
     keyed = json_keys(clicks.where("client_id is not null"), "props", "client_id", "click_id")
     prop = entry(keyed, "prop", F.col("client_id"), F.col("key"), one, F.col("click_id"))
-    return user.union(part).union(prop)
+    return [user, part, prop]
 
 
 def op13_heavy_hitters(spark, sf_dir: str) -> DataFrame:
