@@ -1,7 +1,15 @@
-"""Graph edit distance between decompositions, for pandas UDFs. Deterministic: bounded by node count, never by time."""
+"""Graph edit distance between decompositions, for pandas UDFs. Deterministic: bounded by node count, never by time.
+
+The least cost is found best-first over assignments of the smaller graph's nodes. A partial assignment is bounded by a
+linear assignment of the nodes that are left, whose entries hold what a pair costs for certain: its labels, its edges to
+nodes that are assigned already, and half of what its other edges differ by (the other half stands at their other
+ends). The assignment that attains a bound is itself tried, so a search usually ends at its root. Nodes that can be
+exchanged without changing a graph are tried once.
+"""
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -46,60 +54,194 @@ def graph(steps: list[str]) -> tuple[list[str], set[tuple[int, int]]]:
     return [steps[n - 1] if 1 <= n <= len(steps) else "" for n in nodes], {(place[i], place[k]) for i, k in refs}
 
 
-def _edge_cost(edges_a: set, edges_b: set, to: list[int | None]) -> int:
-    kept = sum(1 for u, v in edges_a if to[u] is not None and to[v] is not None and (to[u], to[v]) in edges_b)
-    return len(edges_a) + len(edges_b) - 2 * kept
+def absorbed(loops: list[int], edges: list[tuple[int, int]]) -> int:
+    """The most edges that can each be paired with a loop at one of their ends, a loop with one edge at most."""
+    taken: dict[int, int] = {}
+
+    def place(e: int, seen: set[int]) -> bool:
+        for node in edges[e]:
+            if node in loops and node not in seen:
+                seen.add(node)
+                if node not in taken or place(taken[node], seen):
+                    taken[node] = e
+                    return True
+        return False
+
+    return sum(place(e, set()) for e in range(len(edges))) if loops else 0
+
+
+def mapping_cost(a, b, to: list[int | None], loose: bool = False, cost: np.ndarray | None = None) -> float:
+    """What it costs to turn graph a into b where a's node i becomes b's node to[i] (None: it goes). loose: a loop at a
+    node may become any edge at that node's counterpart, or the other way round, at no cost."""
+    (la, ea), (lb, eb) = a, b
+    labels = sum(cost[i, j] if cost is not None else label_distance(la[i], lb[j]) for i, j in enumerate(to) if j is not None)
+    pairs = sum(j is not None for j in to)
+    moved = {(to[u], to[v]): (u, v) for u, v in ea if to[u] is not None and to[v] is not None}
+    kept = moved.keys() & eb
+    total = labels + len(la) - pairs + len(lb) - pairs + len(ea) + len(eb) - 2 * len(kept)
+    if loose:
+        gone, come = [e for e in moved if e not in kept], [e for e in eb if e not in kept and e[0] in to and e[1] in to]
+        loops = lambda es: [u for u, v in es if u == v]
+        plain = lambda es: [e for e in es if e[0] != e[1]]
+        total -= 2 * (absorbed(loops(gone), plain(come)) + absorbed(loops(come), plain(gone)))
+    return float(total)
 
 
 def positional_cost(a, b) -> float:
     """Nodes paired in order: a bound from above."""
-    (la, ea), (lb, eb) = a, b
-    n = min(len(la), len(lb))
-    to: list[int | None] = [i if i < n else None for i in range(len(la))]
-    return sum(label_distance(la[i], lb[i]) for i in range(n)) + abs(len(la) - len(lb)) + _edge_cost(ea, eb, to)
+    n = len(b[0])
+    return mapping_cost(a, b, [i if i < n else None for i in range(len(a[0]))])
+
+
+def least_assignment(cost: np.ndarray) -> tuple[float, list[int]]:
+    """Least sum of one entry for each row, no column twice (at least as many columns as rows), by shortest augmenting
+    paths; and each row's column."""
+    n, m = cost.shape
+    up, down = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for row in range(n):
+        short, come, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        i, last, far = row, -1, 0.0
+        while True:
+            reach = far + cost[i] - up[i] - down
+            better = ~done & (reach < short - 1e-15)
+            short[better], come[better] = reach[better], i
+            last = int(np.where(done, np.inf, short).argmin())
+            far = short[last]
+            done[last] = True
+            if owner[last] < 0:
+                break
+            i = int(owner[last])
+        seen = np.flatnonzero(done)
+        up[row] += far
+        for j in seen:
+            if owner[j] >= 0:
+                up[owner[j]] += far - short[j]
+            down[j] += short[j] - far
+        j = last
+        while True:
+            i = int(come[j])
+            back = np.flatnonzero(owner == i)
+            owner[j] = i
+            if i == row:
+                break
+            j = int(back[0])
+    to = [-1] * n
+    for j in np.flatnonzero(owner >= 0):
+        to[owner[j]] = int(j)
+    return float(cost[np.arange(n), to].sum()), to
+
+
+class _Pair:
+    """Two graphs, the one with fewer nodes as rows, as matrices."""
+
+    def __init__(self, a, b, loose: bool):
+        self.flip = len(a[0]) > len(b[0])
+        self.a, self.b = (b, a) if self.flip else (a, b)
+        self.loose = loose
+        (la, ea), (lb, eb) = self.a, self.b
+        self.cost = np.array([[label_distance(*((y, x) if self.flip else (x, y))) for y in lb] for x in la]).reshape(len(la), len(lb))
+        self.edges = []
+        for names, es in (self.a, self.b):
+            m = np.zeros((len(names), len(names)), np.int64)
+            for u, v in es:
+                m[u, v] = 1
+            self.edges.append(m)
+        self.twins = self._twins()
+
+    def _twins(self) -> list[list[int]]:
+        """For each column node the earlier ones that it can be exchanged with."""
+        e, out = self.edges[1], []
+        for j in range(len(e)):
+            same = []
+            for i in range(j):
+                rest = [k for k in range(len(e)) if k not in (i, j)]
+                if (self.cost[:, i] == self.cost[:, j]).all() and (e[i, rest] == e[j, rest]).all() and (e[rest, i] == e[rest, j]).all() and e[i, j] == e[j, i] and e[i, i] == e[j, j]:
+                    same.append(i)
+            out.append(same)
+        return out
+
+    def bound(self, to: list[int | None]) -> tuple[float, list[int | None]]:
+        """A bound from below on all assignments that begin with `to`, and one of them."""
+        x, y = self.edges
+        n, m, k = len(x), len(y), len(to)
+        used = [j for j in to if j is not None]
+        rows, free = np.arange(k, n), np.array([j for j in range(m) if j not in used], np.int64)
+        fixed = [i for i in range(k) if to[i] is not None]
+        kept = [to[i] for i in fixed]
+        gone = [i for i in range(k) if to[i] is None]
+        total = sum(self.cost[i, j] for i, j in zip(fixed, kept)) + len(gone)
+        loops_x, loops_y = x.diagonal(), y.diagonal()
+        apart = x[np.ix_(fixed, fixed)] != y[np.ix_(kept, kept)] if fixed else np.zeros((0, 0), bool)
+        total += apart.sum() + x[gone].sum() + x[np.ix_(fixed, gone)].sum()
+        if self.loose and fixed:
+            total -= 2 * (loops_x[fixed] != loops_y[kept]).sum()
+        if len(rows) == 0:
+            if len(free):
+                total += len(free) + y[free].sum() + y[np.ix_(kept, free)].sum()
+            return float(total), list(to)
+        out_x, in_x = x[np.ix_(rows, rows)].sum(1) - loops_x[rows], x[np.ix_(rows, rows)].sum(0) - loops_x[rows]
+        to_x, from_x = x[np.ix_(rows, fixed)], x[np.ix_(fixed, rows)].T
+        total += x[np.ix_(rows, gone)].sum()  # edges to what goes, or from it, go too; the latter are counted above
+        remove = 1.0 + loops_x[rows] + to_x.sum(1) + from_x.sum(1) + 0.5 * (out_x + in_x)
+        if len(free):
+            out_y, in_y = y[np.ix_(free, free)].sum(1) - loops_y[free], y[np.ix_(free, free)].sum(0) - loops_y[free]
+            to_y, from_y = y[np.ix_(free, kept)], y[np.ix_(kept, free)].T
+            insert = 1.0 + loops_y[free] + to_y.sum(1) + from_y.sum(1) + 0.5 * (out_y + in_y)
+            pair = self.cost[np.ix_(rows, free)] + 0.5 * (np.abs(out_x[:, None] - out_y) + np.abs(in_x[:, None] - in_y))
+            pair += (to_x[:, None, :] != to_y[None]).sum(2) + (from_x[:, None, :] != from_y[None]).sum(2)
+            differ = loops_x[rows][:, None] != loops_y[free]
+            pair += np.where(differ, -1.0 if self.loose else 1.0, 0.0)
+            total += insert.sum()
+            pair = pair - insert
+        else:
+            pair = np.zeros((len(rows), 0))
+        goes = np.full((len(rows), len(rows)), 1e9)
+        np.fill_diagonal(goes, remove)
+        least, columns = least_assignment(np.hstack((pair, goes)))
+        return float(total + least), [*to, *(int(free[c]) if c < len(free) else None for c in columns)]
+
+    def whole(self, to: list[int | None]) -> float:
+        """What an assignment costs, in the direction that was asked for."""
+        return mapping_cost(self.a, self.b, to, self.loose, self.cost)
 
 
-def edit_distance(a, b, limit: int = SEARCH_LIMIT) -> float:
+def edit_distance(a, b, limit: int = SEARCH_LIMIT, loose: bool = False) -> float:
     """Least cost of node and edge edits, or the least found within `limit` partial assignments."""
-    return search(a, b, limit)[0]
+    return search(a, b, limit, loose)[0]
 
 
-def search(a, b, limit: int = SEARCH_LIMIT) -> tuple[float, bool]:
-    """Least cost of node and edge edits: depth-first over assignments of a's nodes, cut by the cost so far plus the
-    least that the remaining nodes can cost. False with it where the limit ended the search."""
-    (la, ea), (lb, eb) = a, b
-    cost = np.array([[label_distance(x, y) for y in lb] for x in la])
-    best, looked = positional_cost(a, b), 0
-    out_a = [[(u, v) for u, v in ea if max(u, v) == i] for i in range(len(la))]
-
-    def bound(i: int, free: list[int]) -> float:
-        rest = len(la) - i
-        least = sum(sorted(min((cost[k][j] for j in free), default=1.0) for k in range(i, len(la)))[: min(rest, len(free))])
-        return min(least, rest) + max(0, len(free) - rest)
-
-    def walk(i: int, to: list[int | None], free: list[int], so_far: float) -> None:
-        nonlocal best, looked
-        looked += 1
-        if looked > limit or so_far + bound(i, free) >= best - 1e-12:
-            return
-        if i == len(la):
-            used = {(to[u], to[v]) for u, v in ea if to[u] is not None and to[v] is not None} & eb
-            best = min(best, so_far + len(free) + len(eb - used))
-            return
-        for j in sorted(free, key=lambda j: (cost[i][j], j)):
-            nxt = [*to, j]
-            lost = sum(1 for u, v in out_a[i] if nxt[u] is None or nxt[v] is None or (nxt[u], nxt[v]) not in eb)
-            walk(i + 1, nxt, [x for x in free if x != j], so_far + cost[i][j] + lost)
-        walk(i + 1, [*to, None], free, so_far + 1 + len(out_a[i]))
-
-    walk(0, [], list(range(len(lb))), 0.0)
-    return float(best), looked <= limit
-
-
-def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES) -> tuple[float, str | None]:
+def search(a, b, limit: int = SEARCH_LIMIT, loose: bool = False) -> tuple[float, bool]:
+    """Least cost of node and edge edits, and whether that is proven: False where the limit ended the search."""
+    if not a[0] or not b[0]:
+        return float(len(a[0]) + len(a[1]) + len(b[0]) + len(b[1])), True
+    pair = _Pair(a, b, loose)
+    low, some = pair.bound([])
+    best = min(pair.whole(some), pair.whole(list(range(len(pair.a[0])))))
+    heap, looked = [(low, 0, 0, [])], 0
+    while heap:
+        low, _, _, to = heapq.heappop(heap)
+        if low >= best - 1e-9:
+            return best, True
+        if len(to) == len(pair.a[0]):
+            continue
+        for j in [*range(len(pair.b[0])), None]:
+            if j is not None and (j in to or any(i not in to for i in pair.twins[j])):
+                continue
+            looked += 1
+            if looked > limit:
+                return best, False
+            bound, some = pair.bound([*to, j])
+            if bound < best - 1e-9:
+                best = min(best, pair.whole(some))
+                heapq.heappush(heap, (bound, -len(to), looked, [*to, j]))
+    return best, True
+
+
+def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES, loose: bool = True) -> tuple[float, str | None]:
     """(distance over the larger graph's nodes and edges, why it may not be the least: "node_cap" where it isn't
-    searched for, "step_budget" where the search was ended). Self-loops count as edges; see
-    README for where this differs from heuristic searches."""
+    searched for, "step_budget" where the search was ended). Self-loops count as edges; loose: they may be paired with
+    other edges at their node at no cost, as heuristic searches do."""
     a, b = graph(pred), graph(gold)
     size = max(len(a[0]) + len(a[1]), len(b[0]) + len(b[1]))
     if size == 0:
@@ -108,16 +250,45 @@ def normalized(pred: list[str], gold: list[str], most: int = MAX_NODES) -> tuple
         return 1.0, None
     if max(len(a[0]), len(b[0])) > most:
         return positional_cost(a, b) / size, "node_cap"
-    cost, whole = search(a, b)
-    return cost / size, None if whole else "step_budget"
+    cost, proven = search(a, b, loose=loose)
+    return cost / size, None if proven else "step_budget"
+
+
+def policy(config: dict) -> dict:
+    """The distance's settings, all there and sound: max_nodes (a positive whole number) and loose_loops (a truth value)."""
+    unknown, most, loose = set(config) - {"max_nodes", "loose_loops"}, config.get("max_nodes"), config.get("loose_loops")
+    if unknown or not isinstance(most, int) or isinstance(most, bool) or most < 1 or not isinstance(loose, bool):
+        raise ValueError(f"a distance policy has max_nodes and loose_loops, not {config}")
+    return {"most": most, "loose": loose}
+
 
+GED = T.StructType([T.StructField("ged", T.DoubleType()), T.StructField("ged_fallback", T.StringType())])
 
-@F.pandas_udf(T.StructType([T.StructField("ged", T.DoubleType()), T.StructField("ged_fallback", T.StringType())]))
+
+def ged_by(config: dict):
+    """A pandas UDF of two columns of break_steps arrays under a policy."""
+    settings = policy(config)
+
+    @F.pandas_udf(GED)
+    def run(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([normalized(list(p), list(g), **settings) for p, g in zip(pred, gold)], columns=["ged", "ged_fallback"])
+
+    return run
+
+
+@F.pandas_udf(GED)
 def ged(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Of two columns of break_steps arrays."""
     return pd.DataFrame([normalized(list(p), list(g)) for p, g in zip(pred, gold)], columns=["ged", "ged_fallback"])
 
 
+@F.pandas_udf(T.StructType([T.StructField("bound", T.DoubleType()), T.StructField("exact", T.DoubleType()), T.StructField("proven", T.BooleanType())]))
+def bound_gap(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """Costs of the pairing by position and of the best one, before they are normalized."""
+    graphs = [(graph(list(p)), graph(list(g))) for p, g in zip(pred, gold)]
+    return pd.DataFrame([(positional_cost(a, b), *search(a, b)) for a, b in graphs], columns=["bound", "exact", "proven"])
+
+
 @F.pandas_udf(T.DoubleType())
 def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 - label_distance(x, y) for x, y in zip(a, b)])

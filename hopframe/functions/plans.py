@@ -7,7 +7,6 @@ them forward otherwise.
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -174,11 +173,32 @@ def split_chat(template: str, marker: str) -> tuple[str, str]:
     return a.strip(), b.strip()
 
 
+def message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
 def chat(template: str, marker: str, **slots: Column) -> Column:
-    """array<struct<role, content>> of the two halves of a template."""
+    """array<struct<role, content>> of the two halves of a template, both filled in."""
     system, user = split_chat(template, marker)
-    message = lambda role, t: F.struct(F.lit(role).alias("role"), fill(t, **slots).alias("content"))
-    return F.array(message("system", system), message("user", user))
+    return F.array(message("system", fill(system, **slots)), message("user", fill(user, **slots)))
+
+
+def reader_prompt(template: str, style: str, marker: str, **slots: Column) -> Column:
+    """A reader's messages, whose slots must all stand where they are filled in. "chat": the half above the marker is the
+    system's and stays as it is, the user's half is filled in. "plain": one user message, both halves with a blank line
+    between them (a template without the marker as it is), filled in as a whole."""
+    if style not in ("chat", "plain"):
+        raise ValueError(f"prompts are chat or plain, not {style}")
+    halves = split_chat(template, marker) if style == "chat" or marker in template else (template,)
+    filled = halves[1] if style == "chat" else "\n\n".join(halves)
+    require_slots(filled, *slots)
+    return F.array(*([message("system", F.lit(halves[0]))] if style == "chat" else []), message("user", fill(filled, **slots)))
+
+
+def require_slots(template: str, *slots: str) -> None:
+    """Every slot is in the template."""
+    if lacking := [s for s in slots if "{" + s + "}" not in template]:
+        raise ValueError(f"the template lacks {lacking}")
 
 
 def render_examples(examples: Column, form: str = "Question: {question}\nDecomposition:\n{decomposition}") -> Column:
@@ -198,37 +218,13 @@ CLAUSE_END = r"(?i)[.;:,]|\band\b|\bbut\b"
 SAYING = r"[A-Za-z]{2,}"
 
 
-def hop_lines(template: str) -> list[str]:
-    """The lines that speak of the hop count."""
-    return [x for x in template.splitlines() if re.search(HOP_LINE, x)]
-
-
-def mixed_hop_lines(template: str) -> list[str]:
-    """Those of them that have a clause with a word and without the hop count."""
-    other = lambda clause: re.search(SAYING, clause) and not re.search(HOP_LINE, clause)
-    return [x for x in hop_lines(template) if any(map(other, re.split(CLAUSE_END, x)))]
-
-
-def unguided(template: str) -> str:
-    """The template without the lines that speak of the hop count, every other byte as it is; refuses templates in which
-    such a line says something else too."""
-    if mixed := mixed_hop_lines(template):
-        raise ValueError(f"lines with other clauses: {mixed[:3]}")
-    return "".join(x for x in template.splitlines(keepends=True) if not re.search(HOP_LINE, x))
-
-
-def check_unguided(guided: str, given: str) -> None:
-    """`given` must be the guided template less its lines on the hop count, to the byte."""
-    if unguided(guided) != given:
-        raise ValueError("the unguided template isn't the guided one without its lines on the hop count")
-
-
 def hop_line_column(template: Column) -> Column:
-    """hop_lines of a column of templates."""
+    """The lines that speak of the hop count."""
     return F.filter(F.split(template, T.LINE_END), lambda x: x.rlike(HOP_LINE))
 
 
 def mixed_hop_line_column(template: Column) -> Column:
+    """Those of them that have a clause with a word and without the hop count."""
     other = lambda clause: clause.rlike(SAYING) & ~clause.rlike(HOP_LINE)
     return F.filter(hop_line_column(template), lambda x: F.exists(F.split(x, CLAUSE_END), other))
 
@@ -237,3 +233,10 @@ def unguided_column(template: Column) -> Column:
     """The template without those lines and their ends; null where a line is mixed."""
     out = F.regexp_replace(template, r"(?im)^[^\r\n]*(?:\{hop_count\}|hop[\s_-]*count)[^\r\n]*(?:\r\n|\n|\r|\z)", "")
     return F.when(F.size(mixed_hop_line_column(template)) == 0, out)
+
+
+def unguided_status(guided: Column, given: Column) -> Column:
+    """What there is to say of a pair of templates, of which the second should be the first without its lines on the hop
+    count, to the byte: "same", "mixed" (such a line says something else too), "different" or "missing"."""
+    plain = unguided_column(guided)
+    return F.when(guided.isNull() | given.isNull(), "missing").when(plain.isNull(), "mixed").when(plain == given, "same").otherwise("different")

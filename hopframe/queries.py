@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids, masking, metrics, plans, text
+from . import runtime
+from .functions import graphs, ids, masking, metrics, plans, text
 from .operators import aggregate, joins, kg, models, sampling, stats, topk
 from .plans import evaluation, sweep
 from .runtime import dealt, spread
@@ -355,26 +356,6 @@ def sari(spark, sf):
     return turns(spark, sf, 2).select("conv_id", "turn", r6(metrics.sari(F.col("text"), F.col("before1"), F.col("before2"))).alias("sari"))
 
 
-ITEMS = [
-    ("m1", "Who painted the mural in the harbour hall of the guild?", ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"], ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"]),
-    ("m2", "Who governs the state that holds the poet's birthplace?", ["Where was the poet born?", "Which state holds [#1]?", "Who governs that place?"], ["Where was the poet born?", "Which state holds [#1]?", "Who governs [#2]?"]),
-    ("m3", "When did the school of the founder of the press of Low Tide open?", ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"], ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"]),
-    ("m4", "Who led the guild that built the mill?", ["Which guild built the mill.", "Who led [#1]"], ["Which guild built the mill?", "Who led [#1]?"]),
-]
-
-
-@query("""
-select gold_hops, cast(n as bigint) as n_items, cast(exact_match as double) as exact_match, cast(step_f1 as double) as step_f1, cast(rouge_l_f1 as double) as rouge_l_f1, cast(composite as double) as composite, cast(count_exact_rate as double) as count_exact_rate
-from (values ('all', 4, 0.75, 0.916667, 0.9075, 0.941667, 1.0), ('2', 2, 1.0, 1.0, 0.875, 1.0, 1.0), ('3', 1, 0.0, 0.666667, 0.88, 0.766667, 1.0), ('4', 1, 1.0, 1.0, 1.0, 1.0, 1.0)) v(gold_hops, n, exact_match, step_f1, rouge_l_f1, composite, count_exact_rate)
-""")
-def evaluate_fixture(spark, sf):
-    """The evaluation of four items (N, F), in all and per gold hop, against values worked out by hand: m2 has two of three
-    steps (11 of its 13 tokens in order of 12), m4 other punctuation (6 of 8 tokens)."""
-    rows = spark.createDataFrame(ITEMS, "item_id string, question string, steps array<string>, gold_steps array<string>")
-    out = evaluation.summarize(evaluation.score(rows)).withColumn("gold_hops", F.when(F.col("is_total"), "all").otherwise(F.col("gold_hops").cast("string")))
-    return out.select("gold_hops", "n_items", *(r6(F.col(c)).alias(c) for c in ("exact_match", "step_f1", "rouge_l_f1", "composite", "count_exact_rate")))
-
-
 @query()
 def evaluate_conversations(spark, sf):
     """Every score of every turn against the turn before it, steps being lines (N; the graph distance by pandas UDF)."""
@@ -382,6 +363,25 @@ def evaluate_conversations(spark, sf):
     return evaluation.score(rows).drop("steps", "gold_steps", "question")
 
 
+@query()
+def ged_bound_gap(spark, sf):
+    """How far the distance of steps paired in order is from the least one, by made shape and size, each shape made of every
+    turn's sentences (N)."""
+    sentences = F.slice(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"[.?!]\s*"), lambda x: F.trim(x)), lambda x: x != ""), 1, 4)
+    gold = table(spark, sf, "conversations").select("conv_id", "turn", sentences.alias("s")).where(F.size("s") > 0)
+    gold = gold.select("conv_id", "turn", F.transform("s", lambda x, i: F.when(i == 0, x).otherwise(F.concat(x, F.lit(" @@"), i.cast("string"), F.lit("@@")))).alias("gold"))
+    each = runtime.dealt(gold, "conv_id", "turn").crossJoin(spark.createDataFrame([(s, n) for s in ("chain", "gold_repeat", "all_pairs", "nonsense_refs") for n in (3, 6)], "shape string, n int"))  # eight rows
+    made = {
+        "chain": lambda i: F.when(i > 1, F.concat(F.lit("do @@"), (i - 1).cast("string"), F.lit("@@"))).otherwise(F.lit("do it")),
+        "gold_repeat": lambda i: F.element_at("gold", ((i - 1) % F.size("gold") + 1).cast("int")),
+        "all_pairs": lambda i: F.concat_ws(" ", F.lit("join"), F.transform(F.when(i > 1, F.sequence(F.lit(1), i - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.lit("@@"), k.cast("string"), F.lit("@@")))),
+        "nonsense_refs": lambda i: F.lit(graphs.NONSENSE + " @@1@@"),
+    }
+    steps = F.coalesce(*(F.when(F.col("shape") == s, F.transform(F.sequence(F.lit(1), F.col("n")), f)) for s, f in made.items()))
+    gaps = each.select("shape", "n", graphs.bound_gap(steps, F.col("gold")).alias("g")).select("shape", "n", "g.*")
+    return gaps.groupBy("shape", "n").agg(F.count("*").alias("n_pairs"), r6(F.avg("bound")).alias("mean_bound"), r6(F.avg("exact")).alias("mean_exact"), r6(F.max(F.col("bound") - F.col("exact"))).alias("largest_gap"), F.count_if(F.col("bound") - F.col("exact") < 1e-9).alias("n_tight"), F.count_if(~F.col("proven")).alias("n_unproven"))
+
+
 # ---- aggregates --------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,10 +45,13 @@ def test_node_cap(spark):
     assert r.ged == pytest.approx(18 / 17) and r.ged_fallback == "node_cap"
 
 
-def test_step_budget(spark):
+def test_long_searches(spark):
+    """Eight steps reversed are searched to the end; a search that is ended says so."""
     gold = [f"find thing {i} of [#{max(i - 1, 1)}]" for i in range(1, 9)]
-    assert score(spark, gold[::-1], gold).ged_fallback == "step_budget"
-    assert score(spark, gold[:4][::-1], gold[:4]).ged_fallback is None
+    assert score(spark, gold[::-1], gold).ged_fallback is None
+    a, b = (graphs.graph([s.replace("[#", "@@").replace("]", "@@") for s in x]) for x in (gold[::-1], gold))
+    cost, proven = graphs.search(a, b, limit=1)
+    assert not proven and cost >= graphs.search(a, b)[0]
 
 
 def test_words_for_references(spark):
@@ -61,17 +66,26 @@ def test_punctuation_only(spark):
     assert r.rouge_l_f1 == pytest.approx(0.8) and r.exact_match == 1 and r.break_exact == 0
 
 
+ITEMS = [
+    ("m1", "Who painted the mural in the harbour hall of the guild?", ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"], ["Which guild has a harbour hall?", "Who painted the mural of [#1]?"]),
+    ("m2", "Who governs the state that holds the poet's birthplace?", ["Where was the poet born?", "Which state holds [#1]?", "Who governs that place?"], ["Where was the poet born?", "Which state holds [#1]?", "Who governs [#2]?"]),
+    ("m3", "When did the school of the founder of the press of Low Tide open?", ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"], ["Who printed Low Tide?", "Who founded [#1]?", "Which school did [#2] go to?", "When did [#3] open?"]),
+    ("m4", "Who led the guild that built the mill?", ["Which guild built the mill.", "Who led [#1]"], ["Which guild built the mill?", "Who led [#1]?"]),
+]
+
+
 def test_all_groups_of_the_fixture(spark):
     """m2: steps and order 2/3, its one reference valid, no count error, so 0.4 * 2/3 + 0.3 * 2/3 + 0.2 + 0.1;
     11 of its 13 tokens in order against 12."""
-    from hopframe import queries
-
-    rows = spark.createDataFrame(queries.ITEMS, "item_id string, question string, steps array<string>, gold_steps array<string>")
+    rows = spark.createDataFrame(ITEMS, "item_id string, question string, steps array<string>, gold_steps array<string>")
     got = {r.gold_hops: r for r in evaluation.summarize(evaluation.score(rows)).collect()}
     assert set(got) == {None, 2, 3, 4}
     r = got[3]
     assert (r.n_items, r.exact_match, r.count_exact_rate, r.hop_count_exact_rate, r.hop_count_mae) == (1, 0, 1, 1, 0)
     assert (r.step_f1, r.rouge_l_f1, r.composite) == pytest.approx((2 / 3, 22 / 25, 23 / 30))
+    every = {k: (g.n_items, g.exact_match, g.step_f1, g.rouge_l_f1, g.composite, g.count_exact_rate) for k, g in got.items()}
+    assert every[None] == pytest.approx((4, 0.75, 0.916667, 0.9075, 0.941667, 1.0), abs=1e-6)  # m4: other punctuation, 6 of 8 tokens
+    assert every[2] == pytest.approx((2, 1.0, 1.0, 0.875, 1.0, 1.0)) and every[4] == pytest.approx((1, 1, 1, 1, 1, 1))
 
 
 @pytest.mark.parametrize(
@@ -100,8 +114,6 @@ def brute_lcs(a, b):
 
 
 def test_lcs_against_brute_force(spark):
-    import random
-
     rng = random.Random(3)
     rows = [([rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(metrics.lcs_length("a", "b"), "a", "b").collect()
@@ -114,6 +126,77 @@ def test_alignment_is_not_lcs():
     assert graphs.label_distance("", "") == 0
 
 
+def _cheapest(a, b, loose):
+    """Over all mappings."""
+    best = float("inf")
+
+    def extend(to):
+        nonlocal best
+        if len(to) == len(a[0]):
+            best = min(best, graphs.mapping_cost(a, b, to, loose))
+            return
+        for j in [*range(len(b[0])), None]:
+            if j is None or j not in to:
+                extend([*to, j])
+
+    extend([])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_distance_is_the_least_of_all_mappings(seed):
+    rng = random.Random(seed)
+    make = lambda most: graphs.graph([" ".join([*rng.choices("abcd", k=rng.randint(1, 3)), *(f"@@{rng.randint(1, 5)}@@" for _ in range(rng.randint(0, 2)))]) for _ in range(rng.randint(1, most))])
+    for _ in range(12):
+        a, b = make(5), make(4)
+        if max(len(a[0]), len(b[0])) > 6:
+            continue
+        for loose in (False, True):
+            cost, proven = graphs.search(a, b, loose=loose)
+            assert proven and cost == pytest.approx(_cheapest(a, b, loose))
+
+
+def test_least_assignment():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 3), (4, 6), (5, 5)) * 5:
+        c = np.round(rng.random((n, m)), 1)
+        total, to = graphs.least_assignment(c)
+        assert total == pytest.approx(min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n)))
+        assert len(set(to)) == n
+
+
+# Hand-worked: identical, reversed (three steps, two), one step too many, none, too many nodes for the search.
+UNION = ["Which union runs the Low Fell depot?", "Where is @@1@@ based?"]
+MILL = ["Who built the mill?", "Which town bore @@1@@?", "What county holds @@2@@?"]
+WORKED = [(UNION, UNION, 0.0, None), (MILL[::-1], MILL, 0.4, None), (UNION[::-1], UNION, 0.0, None), ([*UNION, "Which lake is near it?"], UNION, 0.25, None), ([], UNION, 1.0, None), (["zzz"] * 17, UNION, 18 / 17, "node_cap"), ([], [], 0.0, None)]
+
+
+@pytest.mark.parametrize(("pred", "gold", "distance", "why"), WORKED)
+def test_worked_distances(pred, gold, distance, why):
+    got, reason = graphs.normalized(pred, gold)
+    assert (reason, got) == (why, pytest.approx(distance))
+    if pred == UNION[::-1]:  # a loop costs what its edits cost where it isn't paired with an edge
+        assert graphs.normalized(pred, gold, loose=False)[0] == pytest.approx(2 / 3)
+
+
+def test_policy():
+    assert graphs.policy({"max_nodes": 3, "loose_loops": False}) == {"most": 3, "loose": False}
+    assert graphs.normalized([*UNION, "x"], UNION, **graphs.policy({"max_nodes": 2, "loose_loops": True})) == (pytest.approx(0.25), "node_cap")
+    for bad in ({}, {"max_nodes": 0, "loose_loops": True}, {"max_nodes": True, "loose_loops": True}, {"max_nodes": 2, "loose_loops": 1}, {"max_nodes": 2, "loose_loops": True, "seconds": 3}):
+        with pytest.raises(ValueError):
+            graphs.policy(bad)
+
+
+def test_sixteen_nodes_are_searched_to_the_end():
+    gold = ["Who founded the press?", "Where was @@1@@ born?", "When did @@2@@ join?", "Which river crosses @@2@@ and @@3@@?"]
+    for name in graphs.SHAPES:
+        assert graphs.normalized(graphs.shape(name, 16, gold), gold)[1] is None
+
+
 def test_distance_is_at_most_the_bound():
     for name in graphs.SHAPES:
         a, b = graphs.graph(graphs.shape(name, 5, ["x", "y @@1@@"])), graphs.graph(["x", "y @@1@@", "z @@2@@"])

@@ -110,16 +110,33 @@ def test_parse_hop(spark, said, expected):
 
 
 def test_templates(spark):
-    for ok in ("- The number of steps MUST equal the hop count.", "Hop count: {hop_count}", "Hop count: 3", "Use 2-hop style"):
-        assert plans.mixed_hop_lines(ok) == []
-    for bad in ("- The number of steps MUST equal the hop count. Output ONLY the steps.", "- Use the hop count and output ONLY the steps.", "Hop count: {hop_count}, and do NOT explain", "MUST equal the hop count, and output ONLY the steps"):
-        assert plans.mixed_hop_lines(bad) == [bad]
-    assert plans.unguided("a\r\nHop count: {hop_count}\r\nUse 2-hop style\r\n") == "a\r\nUse 2-hop style\r\n"
-    plans.check_unguided("a\nhop-count: 3\nb\n", "a\nb\n")
-    with pytest.raises(ValueError):
-        plans.check_unguided("a\nhop-count: 3\nb\n", "a\nb\nc\n")
-    assert plans.unguided("Use {question}\nIt has {hop_count} hops\nEnd") == "Use {question}\nEnd"
-    with pytest.raises(ValueError):
-        plans.unguided("Answer shortly. Use {hop_count} steps.")
+    fine = ["- The number of steps MUST equal the hop count.", "Hop count: {hop_count}", "Hop count: 3", "Use 2-hop style"]
+    mixed = ["- The number of steps MUST equal the hop count. Output ONLY the steps.", "- Use the hop count and output ONLY the steps.", "Hop count: {hop_count}, and do NOT explain", "MUST equal the hop count, and output ONLY the steps"]
+    rows = spark.createDataFrame([(t, t in mixed) for t in fine + mixed], "t string, mixed boolean")
+    for r in rows.select("t", "mixed", plans.mixed_hop_line_column(F.col("t")).alias("m")).collect():
+        assert r.m == ([r.t] if r.mixed else [])
+    pairs = [
+        ("a\r\nHop count: {hop_count}\r\nUse 2-hop style\r\n", "a\r\nUse 2-hop style\r\n", "same"), ("a\nhop-count: 3\nb\n", "a\nb\n", "same"), ("a\nhop-count: 3\nb\n", "a\nb\nc\n", "different"),
+        ("Use {question}\nIt has {hop_count} hops\nEnd", "Use {question}\nEnd", "same"), ("Answer shortly. Use {hop_count} steps.", "", "mixed"), (None, "x", "missing"), ("x", None, "missing"),
+    ]
+    got = spark.createDataFrame(pairs, "a string, b string, want string").select("want", plans.unguided_status(F.col("a"), F.col("b")).alias("is")).collect()
+    assert all(r["is"] == r.want for r in got)
+
+
+def test_reader_prompts(spark):
+    def said(template, style, **slots):
+        return [tuple(x) for x in spark.range(1).select(plans.reader_prompt(template, style, "<<>>", **slots).alias("m")).first()[0]]
+
+    slots = {"context": F.lit("C"), "question": F.lit("why")}
+    whole = "Use {context} well<<>>{context}\nQ: {question}"
+    assert said(whole, "chat", **slots) == [("system", "Use {context} well"), ("user", "C\nQ: why")]
+    assert said(whole, "plain", **slots) == [("user", "Use C well\n\nC\nQ: why")]
+    assert said("{context} {question}", "plain", **slots) == [("user", "C why")]
+    for template, style in (("{context} {question}", "chat"), ("{context}<<>>{question}", "chat"), ("{context}<<>>x", "plain"), (whole, "other")):
+        with pytest.raises(ValueError):
+            said(template, style, **slots)
+
+
+def test_chat_fills_both_halves(spark):
     got = spark.range(1).select(plans.chat("Be good<<>>Q: {question}", "<<>>", question=F.lit("why")).alias("m")).first()[0]
     assert [tuple(x) for x in got] == [("system", "Be good"), ("user", "Q: why")]
