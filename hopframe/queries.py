@@ -719,11 +719,28 @@ def mask_documents(spark, sf):
     return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", masking.mask_both(F.col("text")).alias("m")).select("doc_id", "m.typed", "m.uniform")
 
 
+def part_words(spark, sf) -> DataFrame:
+    """Words of part names and names of nations."""
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
+    return words.union(table(spark, sf, "nation").select("n_name")).where("name <> ''").distinct()
+
+
+@query("""
+with names as (select distinct name from (select unnest(string_split(p_name, ' ')) as name from part union all select n_name from nation) where name <> ''), texts as materialized (select lower(text) as t from documents where text is not null)
+select name, exists (select 1 from texts where contains(t, lower(name))) as occurs from names
+""")
+def names_in_documents(spark, sf):
+    """Which names occur anywhere in the documents, in any case (O)."""
+    names = part_words(spark, sf)
+    found = masking.names_in_corpus(names, spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")).withColumn("occurs", F.lit(True))
+    return names.join(found, "name", "left").select("name", F.coalesce("occurs", F.lit(False)).alias("occurs"))
+
+
 @query()
 def mask_names(spark, sf):
-    """Names of the graph in part names and conversations (O; pandas UDF over a broadcast tree)."""
-    names = {r[0]: "[PLACE]" for r in table(spark, sf, "nation").select("n_name").collect()}  # 25 rows
-    return table(spark, sf, "conversations").select("conv_id", "turn", masking.name_mask_udf(names)("text").alias("masked"))
+    """Names of nations, and words of part names, masked in whole documents (O; an automaton that workers map)."""
+    names = part_words(spark, sf).withColumn("placeholder", F.when(F.upper("name") == F.col("name"), "[PLACE]").otherwise("[THING]"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", masking.name_mask(names)("text").alias("masked"))
 
 
 @query()
