@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -77,24 +79,77 @@ def paired_t(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFram
     return out.withColumn("p_value", p_paired_t("t", "dof"))
 
 
-def bootstrap(df: DataFrame, key: str, diff: Column, resamples: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """mean_diff, ci_low, ci_high, significant of a paired percentile bootstrap.
-
-    Poisson resampling: in each resample a row counts as often as a Poisson(1) draw made from a hash of seed, resample
-    and key says. No row has to be fetched by its place, both sides share the draws, and rows are read once; the
-    multinomial scheme differs by the size of a resample alone. Partial sums per resample are made before the shuffle."""
-    rows = df.select(F.col(key).alias("k"), diff.cast("double").alias("d")).where("d is not null")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "r", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, cdf = F.lit(0), 0.0
-    for n in range(0, 10):
-        cdf += math.exp(-1) / math.factorial(n)
-        weight = weight + (u > cdf).cast("int")
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
-    means = drawn.groupBy("r").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
-    out = ends.crossJoin(rows.agg(F.avg("d").alias("mean_diff"), F.count("*").alias("n")))  # one row by one row
+PRIME = (1 << 31) - 1
+# P(X <= n) of a Poisson variable of mean 1: as many of these as lie below a uniform number is a draw of it.
+STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(10)]
+
+
+def draws(keys: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """How often each key's row counts in resamples first .. last - 1: whole-number arithmetic below 2^63 alone, so that any
+    engine draws the same."""
+    x, r = keys[None, :] % PRIME, np.arange(first, last, dtype=np.int64)[:, None]
+    y = (x * 48271 + r * 69621 + seed) % PRIME
+    y = (y * y + 7 * y + r) % PRIME
+    y = (y * y + 13 * y + x) % PRIME
+    return np.searchsorted(STEPS, (y + 0.5) / PRIME, "left").astype(np.float64)
+
+
+def resampled(df: DataFrame, key: str, sums: dict[str, Column], resamples: int, seed: int = 42) -> DataFrame:
+    """Sums of many columns over Poisson resamples, in one pass: `resample` from 0, and -1 for the rows as they are; a column
+    for each of `sums`, to which nulls add nothing.
+
+    In each resample a row counts as often as a Poisson(1) draw from its key says, so no row is fetched by its place, all
+    columns share the draws, and the result doesn't depend on how rows are stored. A task multiplies the matrix of draws
+    by that of its rows' values and passes on its sums alone, resamples x columns, whatever the number of its rows; the
+    multinomial scheme differs by the size of a resample alone. Keys are whole numbers, or anything, which is hashed."""
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.pmod(F.col(key).cast("long") if whole else F.xxhash64(key), F.lit(PRIME))
+    names = [f"c{i}" for i in range(len(sums))]
+    rows = df.select(F.coalesce(number, F.lit(0)).alias("k"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, sums.values())))
+    most = max(1, (1 << 21) // max(1, resamples))
+
+    def add(batches):
+        total = np.zeros((resamples + 1, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                x = np.column_stack([c.to_numpy() for c in part.columns[1:]])
+                total[0] += x.sum(axis=0)
+                total[1:] += draws(part.column(0).to_numpy(), 0, resamples, seed) @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, resamples, dtype=np.int64)), *map(pa.array, total.T.copy())], names=["resample", *names])
+
+    parts = rows.mapInArrow(add, ", ".join(["resample long", *(f"{n} double" for n in names)]))
+    return parts.groupBy("resample").agg(*(F.sum(n).alias(name) for n, name in zip(names, sums)))
+
+
+def intervals(sums: DataFrame, statistics: dict[str, Column], alpha: float = 0.05) -> DataFrame:
+    """statistic, value, ci_low, ci_high, significant of expressions over what `resampled` gave; resamples in which an
+    expression is null are left out."""
+    each = sums.select("resample", F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), c.cast("double").alias("v")) for k, c in statistics.items()))).alias("s")).select("resample", "s.*")
+    drawn = F.when((F.col("resample") >= 0) & ~F.isnan("v"), F.col("v"))
+    ends = each.groupBy("statistic").agg(F.max(F.when(F.col("resample") < 0, F.col("v"))).alias("value"), F.percentile(drawn, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
     low, high = F.get("ci", F.lit(0)), F.get("ci", F.lit(1))
-    return out.select("n", "mean_diff", low.alias("ci_low"), high.alias("ci_high"), ((low > 0) | (high < 0)).alias("significant"))
+    return ends.select("statistic", "value", low.alias("ci_low"), high.alias("ci_high"), F.coalesce((low > 0) | (high < 0), F.lit(False)).alias("significant"))
+
+
+def bootstrap(df: DataFrame, key: str, diff: Column, resamples: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """n, mean_diff, ci_low, ci_high, significant of a paired percentile bootstrap of one difference; nulls are left out."""
+    d = diff.cast("double")
+    sums = resampled(df, key, {"d": d, "n": d.isNotNull().cast("int")}, resamples, seed)
+    out = intervals(sums, {"mean": F.try_divide("d", "n"), "rows": F.when(F.col("resample") < 0, F.col("n"))}, alpha)
+    pick = lambda name, c: F.max(F.when(F.col("statistic") == name, F.col(c))).alias({"value": "mean_diff" if name == "mean" else "n"}.get(c, c))
+    one = out.agg(pick("rows", "value"), *(pick("mean", c) for c in ("value", "ci_low", "ci_high", "significant")))
+    return one.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def mcnemar_many(df: DataFrame, pairs: dict[str, tuple[Column, Column]], alpha: float = 0.05) -> DataFrame:
+    """`mcnemar` of several pairs, all counted in one pass; a row per statistic."""
+    won = lambda c: F.coalesce(c.cast("double") >= 1.0, F.lit(False))
+    kinds = {"only_a": (True, False), "only_b": (False, True), "both": (True, True), "neither": (False, False)}
+    counts = df.agg(*(F.count_if((won(a) == x) & (won(b) == y)).alias(f"{i}_{k}") for i, (a, b) in enumerate(pairs.values()) for k, (x, y) in kinds.items()))
+    rows = counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("statistic"), *(F.col(f"{i}_{k}").alias(k) for k in kinds)) for i, name in enumerate(pairs)))).alias("s")).select("s.*")
+    out = rows.withColumn("p_value", p_mcnemar("only_a", "only_b")).withColumn("min_p", p_mcnemar(F.lit(0), F.col("only_a") + F.col("only_b")))
+    return out.withColumn("significant", F.col("p_value") < alpha).withColumn("underpowered", F.col("min_p") >= alpha)
 
 
 def favours(name: str, difference: Column, significant: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions import graphs, metrics, text
 from ..operators import aggregate, joins, stats
 
@@ -65,32 +66,65 @@ def distribution(scored: DataFrame, column: str) -> DataFrame:
     ).where(F.col("\x00all") == 0).select("gold_hops", "is_total", F.col(column).alias("value"), "n")
 
 
-def compare_arms(arms: dict[str, DataFrame], baseline: str, key: str, names: list[str], resamples: int = 1000) -> dict[str, DataFrame]:
-    """`compare` of every other arm with the baseline, as tables with a column `arm`; all have the baseline's items."""
-    out: dict[str, DataFrame] = {}
-    for arm, scored in arms.items():
-        if arm != baseline:
-            for kind, rows in compare(scored, arms[baseline], key, names, resamples).items():
-                rows = rows.withColumn("arm", F.lit(arm))
-                out[kind] = rows if kind not in out else out[kind].unionByName(rows)
-    return out
+RATIOS = {"reference_validity_micro": ("references_valid", "references_total")}  # sums over sums
+
+
+def compare_arms(arms: dict[str, DataFrame], baseline: str, key: str, names: list[str], resamples: int = 1000, alpha: float = 0.05) -> dict[str, DataFrame]:
+    """Bootstrap intervals, t-tests and McNemar tests of every other arm's items against the baseline's, as tables with a
+    column `arm`; all arms have the baseline's items.
+
+    The arms are joined once and stored; each kind of test then takes one pass over that table for all arms and columns.
+    Besides means of the named columns, ratios of sums (RATIOS) and the weighted composite are resampled where an arm has
+    their columns."""
+    others = [a for a in arms if a != baseline]
+    more = sorted(({c for cs in RATIOS.values() for c in cs} | {"count_error", *WEIGHTS}) - set(RATIOS))
+    have = lambda arm: [c for c in dict.fromkeys([*names, *more]) if c in arms[arm].columns and c in arms[baseline].columns]
+    own = {arm: i for i, arm in enumerate([baseline, *others])}
+    side = lambda arm: arms[arm].select(key, *(F.col(c).cast("double").alias(f"{c}__{own[arm]}") for c in have(arm)))
+    both = side(baseline)
+    for arm in others:
+        both = joins.complete(both, side(arm), key)
+    both = runtime.stored(both, "arms")
+    of = lambda c, arm: F.col(f"{c}__{own[arm]}")
+
+    sums: dict[str, Column] = {}
+    statistics: dict[str, Column] = {}
+    for arm in others:
+        for c in (c for c in names if c in have(arm)):
+            d = of(c, arm) - of(c, baseline)
+            sums |= {f"{arm}|{c}|d": d, f"{arm}|{c}|n": d.isNotNull().cast("int")}
+            statistics[f"{arm}|{c}"] = F.try_divide(F.col(f"`{arm}|{c}|d`"), F.col(f"`{arm}|{c}|n`"))
+    for arm in others:
+        full = have(arm)
+        sides = {}
+        for s in (arm, baseline):
+            base = f"{arm}|{s}"
+            mean = lambda c: F.coalesce(F.try_divide(F.col(f"`{base}|{c}`"), F.col(f"`{base}|{c}|n`")), F.lit(0.0))  # noqa: B023, E731
+            micro = {}
+            for r, (valid, total) in RATIOS.items():
+                if valid in full and total in full:
+                    sums |= {f"{base}|{valid}": of(valid, s), f"{base}|{total}": of(total, s)}
+                    micro[r] = F.coalesce(F.try_divide(F.col(f"`{base}|{valid}`"), F.col(f"`{base}|{total}`")), F.lit(1.0))
+            means = [c for c in WEIGHTS if c not in RATIOS]
+            whole = all(c in full for c in [*means, "count_error"]) and all(r in micro for r in RATIOS)
+            if whole:
+                for c, v in [*((c, of(c, s)) for c in means), ("count_error", F.abs(of("count_error", s)))]:
+                    sums |= {f"{base}|{c}": v, f"{base}|{c}|n": v.isNotNull().cast("int")}
+                micro["composite"] = metrics.composite([(micro[c] if c in RATIOS else mean(c), w) for c, w in WEIGHTS.items()], mean("count_error"), COUNT_WEIGHT, COUNT_SCALE)
+            sides[s] = micro
+        statistics |= {f"{arm}|{c}": sides[arm][c] - sides[baseline][c] for c in sides[arm]}
+    split = lambda rows: rows.withColumn("arm", F.substring_index("statistic", "|", 1)).withColumn("statistic", F.substring_index("statistic", "|", -1))
+    boot = split(stats.intervals(stats.resampled(both, key, sums, resamples), statistics, alpha)).withColumnRenamed("value", "mean_diff")
+    lower = F.when(F.col("statistic").isin(sorted(stats.LOWER_IS_BETTER)), -1).otherwise(1)
+    better = F.col("mean_diff") * lower
+    boot = boot.withColumn("favours", F.when(F.col("significant") & (better != 0), F.when(better > 0, "a").otherwise("b")))
+    tests = {f"{arm}|{c}": (of(c, arm), of(c, baseline)) for arm in others for c in names if c in have(arm)}
+    return {"bootstrap": boot, "t_test": split(stats.paired_t(both, tests)), "mcnemar": split(stats.mcnemar_many(both, tests, alpha))}
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, names: list[str], resamples: int = 1000) -> dict[str, DataFrame]:
-    """t-tests, McNemar tests and bootstrap intervals of two scored tables of the same items."""
-    cols = [n for n in names if n in a.columns and n in b.columns]
-    both = joins.complete(a.select(key, *(F.col(c).cast("double").alias(f"a_{c}") for c in cols)), b.select(key, *(F.col(c).cast("double").alias(f"b_{c}") for c in cols)), key)
-    boot = None
-    for c in cols:
-        one = stats.bootstrap(both, key, F.col(f"a_{c}") - F.col(f"b_{c}"), resamples).withColumn("statistic", F.lit(c))
-        one = one.withColumn("favours", stats.favours(c, F.col("mean_diff"), F.col("significant")))
-        boot = one if boot is None else boot.unionByName(one)
-    tests = {c: (F.col(f"a_{c}"), F.col(f"b_{c}")) for c in cols}
-    binary = None
-    for c in cols:
-        one = stats.mcnemar(both, F.col(f"a_{c}"), F.col(f"b_{c}")).withColumn("statistic", F.lit(c))
-        binary = one if binary is None else binary.unionByName(one)
-    return {"bootstrap": boot, "t_test": stats.paired_t(both, tests), "mcnemar": binary}
+    """`compare_arms` of two scored tables of the same items."""
+    return {kind: rows.drop("arm") for kind, rows in compare_arms({"a": a, "b": b}, "b", key, names, resamples).items()}
 
 
 def coverage(status: DataFrame) -> DataFrame:

@@ -461,10 +461,34 @@ def paired_t(spark, sf):
     return out.select("statistic", "n", r6(F.col("mean_diff")).alias("mean_diff"), r6(F.col("sd")).alias("sd"), F.round("t", 4).alias("t"), "dof", (F.round("p_value", 5) + F.lit(0.0)).alias("p_value"))
 
 
-@query()
+POISSON_SQL = " + ".join(f"cast(u > {c:.17e} as int)" for c in stats.STEPS)
+DRAWN_SQL = f"""select *, {POISSON_SQL} as w from (select *, ((y2 * y2 + 13 * y2 + x) % {stats.PRIME} + 0.5) / {stats.PRIME} as u from (select *, (y1 * y1 + 7 * y1 + r) % {stats.PRIME} as y2
+from (select *, (x * 48271 + r * 69621 + 42) % {stats.PRIME} as y1 from (select *, {{key}} % {stats.PRIME} as x from {{rows}}) one, (select unnest(range({{n}})) as r) two) three) four) five"""
+
+
+@query(f"""
+with rows_ as (select doc_id, cast(quality as double) - toxic as d from labels where quality is not null and toxic is not null), drawn as ({DRAWN_SQL.format(key="doc_id", rows="rows_", n=1000)}),
+means as (select r, sum(d * w) / sum(w) as m from drawn group by r), ends as (select quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from means)
+select (select count(*) from rows_) as n, round((select avg(d) from rows_), 9) as mean_diff, round(lo, 9) as ci_low, round(hi, 9) as ci_high, lo > 0 or hi < 0 as significant from ends
+""")
 def bootstrap_ci(spark, sf):
     """Percentile interval of a paired difference, Poisson resampling (G)."""
-    return stats.bootstrap(table(spark, sf, "labels"), "doc_id", F.col("quality") - F.col("toxic"), 1000)
+    out = stats.bootstrap(table(spark, sf, "labels"), "doc_id", F.col("quality") - F.col("toxic"), 1000)
+    return out.select("n", *(F.round(c, 9).alias(c) for c in ("mean_diff", "ci_low", "ci_high")), "significant")
+
+
+@query(f"""
+with rows_ as (select o_orderkey, o_custkey % 5 + o_orderkey % 7 as a, o_orderkey % 11 as b, case when o_orderkey % 5 > 0 then o_orderkey % 3 end as c from orders), drawn as ({DRAWN_SQL.format(key="o_orderkey", rows="rows_", n=100)}),
+sums as (select r, sum(w * (a - b)) / sum(w) as ab, cast(sum(w * (c - b)) as double) / sum(case when c is not null then w end) as cb, sum(w * a * 1.0) / sum(w * b) - sum(w * coalesce(c, 0) * 1.0) / sum(w * b) as ratio from drawn group by r),
+long as (select r, 'ab' as statistic, cast(ab as double) as v from sums union all select r, 'cb', cb from sums union all select r, 'ratio', ratio from sums)
+select statistic, round(quantile_cont(v, 0.025), 6) as ci_low, round(quantile_cont(v, 0.975), 6) as ci_high from long group by statistic
+""")
+def resample_many(spark, sf):
+    """Intervals of means with nulls and of a difference of ratios, all from one pass (G)."""
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 5 + F.col("o_orderkey") % 7).alias("a"), (F.col("o_orderkey") % 11).alias("b"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 3).alias("c"))
+    sums = stats.resampled(rows, "o_orderkey", {"ab": F.col("a") - F.col("b"), "n": F.lit(1), "cb": F.col("c") - F.col("b"), "cn": F.col("c").isNotNull().cast("int"), "a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, 100)
+    out = stats.intervals(sums, {"ab": F.col("ab") / F.col("n"), "cb": F.col("cb") / F.col("cn"), "ratio": F.col("a") / F.col("b") - F.col("c") / F.col("b")})
+    return out.select("statistic", r6(F.col("ci_low")).alias("ci_low"), r6(F.col("ci_high")).alias("ci_high"))
 
 
 # ---- neighbours --------------------------------------------------------------------------------
