@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .functions import graphs, ids, masking, metrics, plans, text
-from .operators import aggregate, joins, kg, models, sampling, stats, topk
+from .operators import aggregate, joins, kg, models, sampling, stats, topk, validation
 from .plans import evaluation, sweep
 from .runtime import dealt, spread
+from .sources import result_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -778,3 +779,43 @@ def run_step_plans(spark, sf):
 def embed_texts(spark, sf):
     """Stand-in embeddings of whole texts (P)."""
     return table(spark, sf, "documents").select("doc_id", models.embed_udf()("text").alias("embedding"))
+
+
+# ---- sources and validation --------------------------------------------------------------------
+
+
+@query("""
+with i as (select conv_id // 50 as b, conv_id, turn, conv_id // 50 % 2 = 0 as versioned, text is null as lacks, case when turn % 7 <> 3 then conv_id || '_' || turn // 2 end as id from conversations where conv_id is not null and turn is not null),
+twice as (select b, id, count(*) as n from i where versioned and id is not null group by b, id having count(*) > 1)
+select 'missing' as problem, count(*) as n from i where lacks group by 1 union all select 'no_id', count(*) from i where versioned and id is null group by 1 union all select 'repeated_id', cast(sum(n - 1) as bigint) from twice group by 1
+union all select 'good', count(*) from i where not lacks and (not versioned or id is not null and not exists (select 1 from twice t where t.b = i.b and t.id = i.id)) group by 1
+""")
+def versioned_results(spark, sf):
+    """Result files of both versions, written from the conversations (fifty to a file) and read back: rows that are sound, and
+    all problems of the others (A)."""
+    rows = table(spark, sf, "conversations").where("conv_id is not null and turn is not null").withColumn("b", F.expr("conv_id div 50"))
+    item_id = F.when((F.col("b") % 2 == 0) & (F.col("turn") % 7 != 3), F.concat_ws("_", "conv_id", F.expr("turn div 2")))
+    item = F.to_json(F.struct(item_id.alias("item_id"), F.length("text").alias("m"), F.col("turn").alias("k")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", item.alias("j")))), lambda x: x["j"]), ",")
+    head = '{"schema": "v2", "composite_score_weights": {"step_f1": 0.4}, "composite_step_count_error_scale": 3.0, "items": ['
+    files = rows.groupBy("b").agg(listed.alias("items")).select("b", F.when(F.col("b") % 2 == 0, F.concat(F.lit(head), "items", F.lit("]}"))).otherwise(F.concat(F.lit("["), "items", F.lit("]"))).alias("value"))
+    folder = runtime.new_folder(spark, "result-files")
+    files.write.partitionBy("b").text(folder)
+    found = result_files.read(spark, folder, ["m", "k"], "position")
+    return found.problems.groupBy("problem").agg(F.count("*").alias("n")).union(found.rows.agg(F.lit("good"), F.count("*")).where("`count(1)` > 0"))
+
+
+@query("""
+with r as (select conv_id, case when turn % 3 > 0 then turn end as hops, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '') as steps from conversations),
+m as (select *, not coalesce(len(steps) > 0, false) as bare, coalesce(hops > 0 and hops <> len(steps), false) as differ from r), k as (select conv_id, count(*) as n from m where conv_id is not null group by conv_id)
+select 'no_steps' as problem, count(*) as n from m where bare group by 1 union all select 'denominators_differ', count(*) from m where differ group by 1 union all select 'repeated_key', count(*) from k where n > 1 group by 1 union all select 'no_key', count(*) from m where conv_id is null group by 1
+union all select 'pinned_but_missing', count(*) from (select distinct doc_id from labels where doc_id % 10 = 0) p where not exists (select 1 from k where k.conv_id = p.doc_id) group by 1
+union all select 'good', count(*) from m where not bare and not differ and conv_id in (select conv_id from k where n = 1) and conv_id in (select doc_id from labels where doc_id % 10 = 0) group by 1
+""")
+def validate_gold(spark, sf):
+    """Gold with two denominators, repeated keys and pinned ids: all problems from one pass (A, B)."""
+    steps = F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, sf, "conversations").select("conv_id", F.when(F.col("turn") % 3 > 0, F.col("turn")).cast("int").alias("hops"), steps.alias("steps"))
+    pinned = table(spark, sf, "labels").where("doc_id % 10 = 0").select(F.col("doc_id").alias("conv_id"))
+    report = validation.gold(rows, "conv_id", "steps", "hops", pinned=pinned)
+    return report.summary().union(report.rows.agg(F.lit("good"), F.count("*")).where("`count(1)` > 0"))
