@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def micro(valid: Column, total: Column) -> Column:
     """Sum over sum; 1 where there is nothing to be valid."""
@@ -69,8 +71,9 @@ def delta(df: DataFrame, keys: list[str], by: str, a, b, value: str) -> DataFram
 
 
 def cost_summary(df: DataFrame, value: str) -> DataFrame:
-    v = F.col(value)
-    return df.agg(F.count(v).alias("n_measured"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.sum(v).alias("total"))
+    """n_measured, mean, median, total over the rows with a number; one row, of nulls where there is none."""
+    one = ordered.quantiles(df, [], [value], {"median": 0.5})
+    return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_measured"), *(F.max(c).alias(c) for c in ("mean", "median", "total")))
 
 
 def mode_with_priority(df: DataFrame, key: str, value: str, priority: Column) -> DataFrame:

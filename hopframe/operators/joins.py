@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions.text import normalize_question
 from . import checks
+from .ordered import merge_intervals as merge_intervals  # noqa: PLC0414
 
 
 def keep_one(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -111,16 +112,6 @@ def reindex(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     return out.drop("\x00p", "\x00i", "\x00s")
 
 
-def merge_intervals(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Overlapping and touching intervals of each group as one: (by, start, end, n). A new one begins after the largest
-    end so far."""
-    w = Window.partitionBy(by).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce((F.col(start) > seen).cast("int"), F.lit(1))
-    islands = df.withColumn("\x00b", begins).withColumn("\x00g", F.sum("\x00b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(by, "\x00g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("\x00g")
-
-
 def gold_for(rows: DataFrame, gold: DataFrame, hop: str = "hop_count", question: str = "question") -> DataFrame:
     """rows with the gold columns of their hop count and trimmed question; null where there is none or no hop count.
     gold has one row for each."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .functions import graphs, ids, masking, metrics, plans, text
-from .operators import aggregate, joins, kg, models, sampling, stats, topk, validation
-from .plans import evaluation, sweep
+from .operators import aggregate, joins, kg, models, ordered, sampling, stats, topk, validation
+from .plans import evaluation, feasibility, stages, sweep
 from .runtime import dealt, spread
 from .sources import result_files
 
@@ -433,6 +433,17 @@ def median_cost(spark, sf):
     return aggregate.cost_summary(table(spark, sf, "events"), "value").select("n_measured", r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"), F.round("total", 2).alias("total"))
 
 
+@query("""
+with l as (select event_type, 'value' as statistic, value as v from events union all select event_type, 'user', cast(user_id as double) from events)
+select event_type, statistic, count(v) as n, round(avg(v), 6) as mean, round(quantile_cont(v, 0.1), 6) as p10, round(median(v), 6) as median, round(quantile_cont(v, 0.99), 6) as p99 from l where v is not null and isfinite(v) group by event_type, statistic
+""")
+def quantiles_by_type(spark, sf):
+    """Exact quantiles of several columns by group, without any group's values in one place (F)."""
+    rows = table(spark, sf, "events").select("event_type", "value", F.col("user_id").alias("user"))
+    out = ordered.quantiles(rows, ["event_type"], ["value", "user"], {"p10": 0.1, "median": 0.5, "p99": 0.99})
+    return out.select("event_type", "statistic", "n", *(r6(F.col(c)).alias(c) for c in ("mean", "p10", "median", "p99")))
+
+
 @query("select source, arg_max(lang, (n, lang)) as lang from (select source, lang, count(*) as n from documents group by all) group by source")
 def mode_per_source(spark, sf):
     """Most frequent value, ties by a priority (F)."""
@@ -819,3 +830,34 @@ def validate_gold(spark, sf):
     pinned = table(spark, sf, "labels").where("doc_id % 10 = 0").select(F.col("doc_id").alias("conv_id"))
     report = validation.gold(rows, "conv_id", "steps", "hops", pinned=pinned)
     return report.summary().union(report.rows.agg(F.lit("good"), F.count("*")).where("`count(1)` > 0"))
+
+
+@query("""
+with h as (select vec_id, label, vec_id % 7 as file from embeddings), p as (select label, count(*) as n from embeddings where vec_id % 3 = 0 group by label),
+a as (select file, label, count(*) as n_queries, max(case when vec_id % 3 = 0 then 1 else 0 end) as own from h where vec_id % 10 = 0 group by file, label)
+select file, a.label as label, n_queries, greatest(coalesce(n, 0) - own, 0) as n_candidates, a.label is not null and greatest(coalesce(n, 0) - own, 0) >= 15 as feasible,
+case when a.label is null then 'no_bucket' when greatest(coalesce(n, 0) - own, 0) = 0 then 'empty_bucket' when greatest(coalesce(n, 0) - own, 0) < 15 then 'too_few' end as problem from a left join p on a.label = p.label
+""")
+def candidate_plan(spark, sf):
+    """What restricted searches will find, from counts alone (Q: plan-only mode)."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 7).alias("file"))
+    plan = feasibility.candidates(rows.where("vec_id % 10 = 0"), rows.where("vec_id % 3 = 0"), ["file"], "label", 15, F.col("vec_id") % 3 == 0)
+    return plan.withColumn("n_candidates", F.col("n_candidates").cast("long"))
+
+
+@query("""
+with sampled as (select doc_id, lang, n_chars from documents where doc_id % 3 <> 1), counted as (select lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from sampled group by lang)
+select lang, n, chars, n >= 20 as enough from counted
+""")
+def staged_counts(spark, sf):
+    """Two stages over the documents, stored by content and read back (Q); a second graph over the same sources makes none."""
+    root = runtime.new_folder(spark, "stages")
+
+    def graph() -> stages.Graph:
+        g = stages.Graph(spark, root, {"documents": f"{sf}/documents.parquet"})
+        g.add("sampled", lambda docs, left: docs.where(F.coalesce(F.col("doc_id") % 3 != left, F.lit(False))).select("doc_id", "lang", "n_chars"), ["documents"], left=1)
+        return g.add("counted", lambda rows: rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), ["sampled"])
+
+    graph().table("counted")
+    again = graph()
+    return again.table("counted").select("lang", "n", "chars", ((F.col("n") >= 20) & F.lit(not again.made)).alias("enough"))
