@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
+
 
 def needs_prefix(model_id: str) -> bool:
     """Models of the e5 family want "query: " and "passage: "."""
@@ -57,40 +59,52 @@ def generate_udf(load: Callable[[], Callable[[list[str]], list[str]]] | None = N
     return run
 
 
-def run_steps(items: DataFrame, load: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
-    """items (item_id, steps array<string>) -> per step: prompt with earlier answers put in, answer, flags.
-
-    A step needs the answers before it, so an item's steps are a fold; items are independent and dealt out by batches."""
-    from ..functions.plans import step_flags
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        model = load() if load else lambda prompt: prompt.rstrip("?")
-        ref = re.compile(r"\[#(\d+)\](?!\w)|\[#(\d+)|(?<![\[\w#])#(\d+)(?!\w)")
-        for f in frames:
-            out = []
-            for item, steps in zip(f["item_id"], f["steps"]):
-                answers: list[str] = []
-                for n, step in enumerate(steps, 1):
-                    missing: list[int] = []
-
-                    def put(m, missing=missing, answers=answers):
-                        whole = m.group(1) or m.group(3)
-                        k = int(whole or m.group(2))
-                        if whole and 1 <= k <= len(answers) and answers[k - 1].strip():
-                            return answers[k - 1].strip()
-                        missing.append(k)
-                        return m.group(0)
-
-                    prompt, error, answer = ref.sub(put, step), None, ""
-                    try:
-                        answer = model(prompt) or ""
-                    except Exception as e:
-                        error = str(e)
-                    answers.append(answer)
-                    out.append((item, n, prompt, answer, missing, error))
-            yield pd.DataFrame(out, columns=["item_id", "step", "prompt", "answer", "unresolved", "error"])
-
-    rows = items.select("item_id", "steps").mapInPandas(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, step int, prompt string, answer string, unresolved array<int>, error string")
-    return rows.withColumn("flags", step_flags(F.col("answer"), F.col("unresolved"), F.col("error"), F.lit(True)))
+def reader(load: Callable[[], Callable[[list[str]], list[str]]]) -> Callable[[DataFrame], DataFrame]:
+    """An `answer` of run_steps from a model that takes a batch of prompts: (prompt, answer, error). A batch that fails is
+    asked again prompt by prompt, so that only those that fail by themselves are failures."""
+
+    @F.pandas_udf("text string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+            try:
+                said = model(prompts)
+                if len(said) != len(prompts):
+                    raise ValueError("the model must give one answer for each prompt")
+                return [(x, None) for x in said]
+            except Exception as e:  # failures are data: they are counted, not raised
+                return [(None, str(e))] if len(prompts) == 1 else [x for p in prompts for x in ask([p])]
+
+        for prompts in batches:
+            yield pd.DataFrame(ask(list(prompts)) if len(prompts) else [], columns=["text", "error"])
+
+    def answer(prompts: DataFrame) -> DataFrame:
+        return prompts.select("prompt", run("prompt").alias("r")).select("prompt", F.col("r.text").alias("answer"), "r.error")
+
+    return answer
+
+
+def run_steps(items: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """items (item_id, steps array<string>) -> item_id, step, prompt, answer, unresolved, error, flags of every step.
+
+    Steps run in rounds: all items' k-th steps get the answers before them put in, their different prompts go to
+    `answer` as one table (prompt) and come back as (prompt, answer, error), by a model (`reader`) or by joins. Rounds
+    are stored, so there are as many as the longest item has steps, whatever the number of items, and each is made once.
+    A prompt without a reply has an empty answer. Items with null or no steps have no rows; repeated items run as often."""
+    from ..functions.plans import step_flags, substitute
+
+    state = runtime.stored(items.select("item_id", "steps", F.array().cast("array<string>").alias("answers")).where(F.size("steps") > 0), "items")
+    done = None
+    for k in range(1, (state.agg(F.max(F.size("steps"))).first()[0] or 0) + 1):
+        step = F.coalesce(F.get("steps", F.lit(k - 1)), F.lit(""))
+        now = state.where(F.size("steps") >= k).withColumn("s", substitute(step, F.col("answers")))
+        now = now.select("item_id", "steps", "answers", F.col("s").getField("text").alias("prompt"), F.col("s").getField("unresolved").alias("unresolved"))
+        said = answer(now.select("prompt").distinct()).select(F.col("prompt").alias("\x00prompt"), F.coalesce("answer", F.lit("")).alias("answer"), "error")
+        made = runtime.stored(now.join(said, F.col("prompt") == F.col("\x00prompt"), "left").withColumn("answer", F.coalesce("answer", F.lit(""))).drop("\x00prompt"), f"step-{k}")
+        state = made.select("item_id", "steps", F.concat("answers", F.array("answer")).alias("answers"))
+        rows = made.select("item_id", F.lit(k).alias("step"), "prompt", "answer", "unresolved", "error")
+        done = rows if done is None else done.union(rows)
+    if done is None:
+        done = state.select("item_id", F.lit(0).alias("step"), F.lit("").alias("prompt"), F.lit("").alias("answer"), F.array().cast("array<int>").alias("unresolved"), F.lit(None).cast("string").alias("error")).limit(0)
+    return done.withColumn("flags", step_flags(F.col("answer"), F.col("unresolved"), F.col("error"), F.lit(True)))

@@ -23,10 +23,14 @@ def predictions(rows: DataFrame, query_id: Column, hop: Column, parsed: Column,
     return rows.select(*(c.alias(k) for k, c in fields.items()))
 
 
-def hit_rate(ranked: DataFrame, hit: Column, k: int, by: str | None = None) -> DataFrame:
-    """n_queries, n_hits, rate: queries with at least one hit among their first k neighbours."""
-    one = ranked.where(F.col("rank") <= k).groupBy("query_id", *([by] if by else [])).agg(F.max(hit.cast("int")).alias("\x00h"))
-    out = one.groupBy(*([by] if by else [])).agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("\x00h"), F.lit(0)).alias("n_hits"))
+def hit_rate(ranked: DataFrame, hit: Column, k: int, by: str | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """n_queries, n_hits, rate: queries with at least one hit among their first k neighbours. queries (query_id, and `by`):
+    all that were asked; those without a neighbour are misses. Without it only queries with neighbours are counted."""
+    keys = [by] if by else []
+    one = ranked.where(F.col("rank") <= k).groupBy("query_id", *keys).agg(F.max(hit.cast("int")).alias("\x00h"))
+    if queries is not None:
+        one = queries.select("query_id", *keys).join(one.select("query_id", "\x00h"), "query_id", "left")
+    out = one.groupBy(*keys).agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("\x00h"), F.lit(0)).alias("n_hits"))
     return out.withColumn("rate", safe_div(F.col("n_hits"), F.col("n_queries")))
 
 

@@ -11,7 +11,8 @@ BLOCK = 4096
 
 
 def _blocks(df: DataFrame, key: str, vector: str, bucket: str | None) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(bucket) if bucket else F.lit(0)).alias("bucket"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(bucket) if bucket else F.lit(0)).alias("bucket"))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
 def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, bucket: str | None = None, exclude_self: bool = True) -> DataFrame:
@@ -19,7 +20,8 @@ def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int,
 
     bucket restricts candidates to rows of the query's bucket (null is one too) before the cut. Each bucket's queries and
     pool are dealt out in blocks by its sizes; a task multiplies one block by another and keeps k of each query, so
-    neither side is gathered, and rows of different buckets never meet."""
+    neither side is gathered, and rows of different buckets never meet. Rows without an id or a vector, or with a null or NaN
+    component, take no part; vectors of different lengths never meet."""
     q, p = _blocks(queries, key, vector, bucket), _blocks(pool, key, vector, bucket)
     count = lambda df, most, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     q_size, p_size = count(q, BLOCK, "q_blocks").alias("l"), count(p, 4 * BLOCK, "p_blocks").alias("r")
@@ -32,22 +34,22 @@ def similar(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int,
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [], [], []
         if left.num_rows and right.num_rows:
-            lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-            order = np.argsort(rid, kind="stable")
-            rid = rid[order]
-            a = np.stack(left["v"].to_numpy(zero_copy_only=False))
-            b = np.stack(right["v"].to_numpy(zero_copy_only=False))[order]
-            for at in range(0, len(a), 256):
-                scores = a[at : at + 256] @ b.T
-                for i, row in enumerate(scores, at):
-                    where = np.flatnonzero(rid != lid[i]) if exclude_self else np.arange(len(rid))
-                    if len(where) > k:
-                        cut = np.partition(row[where], len(where) - k)[len(where) - k]
-                        above = where[row[where] > cut]
-                        where = np.concatenate((above, where[row[where] == cut][: k - len(above)]))
-                    out[0].append(np.full(len(where), lid[i]))
-                    out[1].append(rid[where])
-                    out[2].append(row[where])
+            sides = [(t["id"].to_numpy(), t["v"].to_numpy(zero_copy_only=False), np.asarray(t["v"].combine_chunks().value_lengths())) for t in (left, right)]
+            for length in np.intersect1d(sides[0][2], sides[1][2]):
+                (lid, a), (rid, b) = ((i[n == length], np.stack(v[n == length])) for i, v, n in sides)
+                order = np.argsort(rid, kind="stable")
+                rid, b = rid[order], b[order]
+                for at in range(0, len(a), 256):
+                    scores = a[at : at + 256] @ b.T
+                    for i, row in enumerate(scores, at):
+                        where = np.flatnonzero(rid != lid[i]) if exclude_self else np.arange(len(rid))
+                        if len(where) > k:
+                            cut = np.partition(row[where], len(where) - k)[len(where) - k]
+                            above = where[row[where] > cut]
+                            where = np.concatenate((above, where[row[where] == cut][: k - len(above)]))
+                        out[0].append(np.full(len(where), lid[i]))
+                        out[1].append(rid[where])
+                        out[2].append(row[where])
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), t)
         return pa.table({"query_id": flat(out[0], pa.int64()), "pool_id": flat(out[1], pa.int64()), "score": flat(out[2], pa.float64())})
 

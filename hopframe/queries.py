@@ -779,11 +779,24 @@ def mask_names(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", masking.name_mask(names)("text").alias("masked"))
 
 
-@query()
+@query("""
+with o as (select o_orderkey, o_custkey, c_nationkey, n_regionkey from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey), x as (
+select o_orderkey as item_id, 1 as step, 'customer of order ' || o_orderkey as prompt, coalesce(cast(o_custkey as varchar), '') as answer, 0 as n_unresolved from o
+union all select o_orderkey, 2, 'nation of customer ' || coalesce(cast(o_custkey as varchar), '[#1]'), coalesce(cast(c_nationkey as varchar), ''), case when o_custkey is null then 1 else 0 end from o
+union all select o_orderkey, 3, 'region of nation ' || coalesce(cast(c_nationkey as varchar), '#2'), coalesce(cast(n_regionkey as varchar), ''), case when c_nationkey is null then 1 else 0 end from o where o_orderkey % 2 = 0
+union all select o_orderkey, 4, 'capital of [#3] and [#7]', '', 2 from o where o_orderkey % 2 = 0 and n_regionkey is null union all select o_orderkey, 4, 'capital of ' || n_regionkey || ' and [#7]', '', 1 from o where o_orderkey % 2 = 0 and n_regionkey is not null)
+select item_id, step, prompt, answer, n_unresolved, concat_ws(',', case when n_unresolved > 0 then 'broken_reference' end, case when answer = '' then 'empty_answer' end) as flags from x
+""")
 def run_step_plans(spark, sf):
-    """Steps run in order, answers put into later steps, failures flagged (P; no model: questions are echoed)."""
-    items = table(spark, sf, "nation").select(F.col("n_nationkey").alias("item_id"), F.array(F.concat(F.lit("Who rules "), "n_name", F.lit("?")), F.lit("Where was [#1] born?"), F.lit("What is near [#7]?")).alias("steps"))
-    return models.run_steps(items)
+    """Steps run in rounds over a table of facts: who ordered, where they live, in which region (P); the last has no answer."""
+    orders, customers, nations = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    fact = lambda df, about, key, value: df.select(F.concat(F.lit(about), F.col(key).cast("string")).alias("prompt"), F.col(value).cast("string").alias("answer"))
+    facts = fact(orders, "customer of order ", "o_orderkey", "o_custkey").union(fact(customers, "nation of customer ", "c_custkey", "c_nationkey")).union(fact(nations, "region of nation ", "n_nationkey", "n_regionkey"))
+    order = F.concat(F.lit("customer of order "), F.col("o_orderkey").cast("string"))
+    short = F.array(order, F.lit("nation of customer [#1]"))
+    steps = F.when(F.col("o_orderkey") % 2 == 0, F.concat(short, F.array(F.lit("region of nation #2"), F.lit("capital of [#3] and [#7]")))).otherwise(short)
+    out = models.run_steps(orders.select(F.col("o_orderkey").alias("item_id"), steps.alias("steps")), lambda prompts: prompts.join(facts, "prompt").withColumn("error", F.lit(None).cast("string")))
+    return out.select("item_id", "step", "prompt", "answer", F.size("unresolved").alias("n_unresolved"), F.array_join("flags", ",").alias("flags"))
 
 
 @query()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopframe.functions import plans
-from hopframe.operators import aggregate, checks, joins, kg, models, sampling, topk
+from hopframe.operators import aggregate, checks, joins, kg, models, results, sampling, topk
 from hopframe.plans import evaluation, sweep
 from hopframe.sources import readers, sinks
 
@@ -191,9 +191,47 @@ def test_joined_sink_probe_and_groups(spark, tmp_path):
 
 
 def test_step_execution(spark):
-    items = spark.createDataFrame([(1, ["Who runs it?", "Where is [#1]?", "What of [#9]"])], "item_id int, steps array<string>")
-    rows = models.run_steps(items).orderBy("step").collect()
-    assert rows[1].prompt == "Where is Who runs it?" and rows[1].flags == [] and rows[2].flags == ["broken_reference"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def ask(prompts):
+            if len(prompts) > 1 and any("boom" in p for p in prompts):
+                raise RuntimeError("whole batch")
+            if "boom" in prompts[0]:
+                raise RuntimeError("boom")
+            seen.add(len(prompts))
+            return [p.rstrip("?") for p in prompts]
+
+        return ask
+
+    items = spark.createDataFrame([(1, ["Who runs it?", "Where is [#1]?", "What of [#9]"]), (2, ["Who runs it?", "boom", "after [#2]", "?"]), (2, ["Who runs it?"]), (3, []), (4, None)], "item_id int, steps array<string>")
+    rows = {}
+    for r in models.run_steps(items, models.reader(load)).collect():
+        rows.setdefault((r.item_id, r.step), []).append(r)
+    assert {k: len(v) for k, v in rows.items()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 1): 2, (2, 2): 1, (2, 3): 1, (2, 4): 1}
+    one = lambda *k: rows[k][0]
+    assert one(1, 2).prompt == "Where is Who runs it?" and one(1, 2).flags == [] and one(1, 3).flags == ["broken_reference"]
+    assert (one(2, 2).error, one(2, 2).flags) == ("boom", ["generation_error"]) and one(2, 3).prompt == "after [#2]" and one(2, 4).flags == ["empty_answer"]
+    assert seen.value == 5  # equal prompts of a round are asked once
+    assert models.run_steps(items.limit(0), models.reader(load)).collect() == []
+
+
+def test_hits_of_queries_without_neighbours(spark):
+    ranked = spark.createDataFrame([(1, 1, "a", "a"), (1, 2, "b", "a"), (2, 1, "b", "a"), (2, 4, "a", "a")], "query_id int, rank int, label string, own string")
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "query_id int, own string")
+    hit = F.col("label") == F.col("own")
+    assert [tuple(r) for r in results.hit_rate(ranked, hit, 3, "own", asked.select("query_id", "own")).collect()] == [("a", 3, 1, 1 / 3)]
+    assert tuple(results.hit_rate(ranked, hit, 3).first()) == (2, 1, 0.5)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [1.0, None]), (5, [1.0]), (6, [2.0]), (7, [float("nan"), 1.0]), (None, [1.0, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.query_id, r.pool_id) for r in topk.similar(df, df, "id", "v", 3).collect())
+    assert got == [(1, 2), (2, 1), (5, 6), (6, 5)]
+
+
+def test_embedding_hook(spark):
     v = spark.createDataFrame([("a b",), (None,)], "t string").select(models.embed_udf()("t").alias("v")).collect()
     assert len(v[0].v) == 64 and abs(sum(x * x for x in v[0].v) - 1) < 1e-5 and sum(map(abs, v[1].v)) == 0
     assert models.needs_prefix("intfloat/e5-small-v2") and not models.needs_prefix("x/me5y")
