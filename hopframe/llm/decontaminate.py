@@ -21,8 +21,9 @@ Items are worked on in blocks of about BLOCK passages, so what workers are told
 are read once for each block. A block of more than RANK passages has several groups (an item's passages may be in two).
 
 Null and empty texts match nothing; items shorter than LEAST words match exact copies only; repeated documents and
-items are all reported; a null doc_id or item_id is reported as null; empty tables give empty results; other columns
-are not read.
+items are all reported; a null doc_id or item_id is reported as null; of a document's equal matches of an item the
+share is the same, so ties need no rule; texts of any length are searched whole, in one task each; empty tables give
+empty results; other columns are not read.
 """
 
 from __future__ import annotations

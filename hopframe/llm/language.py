@@ -11,8 +11,8 @@ depends on the number of languages alone. It holds the MOST_LANGUAGES with the m
 learned from, and labelled as the nearest of those. Equal shares of two languages: the first by name.
 
 Null text, empty text and text without a letter is `und` with score 0; rows without a language aren't learned
-from; without any training row every text is `und`. Repeated rows count as often as they occur; other columns
-are not read.
+from; without any training row every text is `und`. Repeated rows count as often as they occur; a text of any length
+is labelled whole, in one task; other columns are not read.
 """
 
 from __future__ import annotations

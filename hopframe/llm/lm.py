@@ -19,7 +19,8 @@ sends back to a partition what it can't know by itself: n-grams of training text
 those of held-out texts that occur in training. What isn't sent back occurs once (in the text at hand) or never.
 
 Null text is empty (the end alone); repeated rows count and are scored as often as they occur; an empty table
-gives no rows; without training text every word is unknown with probability one. Other columns are not read.
+gives no rows; without training text every word is unknown with probability one. A text of any length is scored
+whole, in one task. There are no ties to break. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ plan says for each length which of its pieces (by rank) go to which sequences, a
 2. what is left is placed best-fit, longest first: into the smallest gap that holds it.
 
 Null text is an empty document (its end id alone is packed). Repeated rows are packed as often as they
-occur. An empty table gives no rows. Other columns are not read.
+occur. Pieces of equal length are dealt out by scan partition and place. A text of any length is encoded
+whole in one task and cut into pieces. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ The text is never shuffled: rows are named by scan partition and position, and w
 back to the same partition. Strings are compared by 64-bit hashes (128 in step 4).
 
 Null and empty text has no bytes; texts shorter than `length` keep all; a repeated row is a copy like any
-other, so both lose what they share; empty tables give empty results; other columns are not read.
+other, so both lose what they share; a text of any length is parsed whole, its repeats of itself included; empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
