@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions.plans import REVERSE
 
 
@@ -37,13 +37,15 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
     status, reason).
 
     Every round joins all plans' k-th steps to the edges at once. Steps' results are distinct; the last step's are the
-    answers. An entity that isn't in the graph, or a reference to a step that isn't before, fails the plan."""
+    answers. An entity that isn't in the graph, or a reference to a step that isn't before, fails the plan. Each round is
+    stored once, so no plan grows with the number of steps and nothing stays cached."""
     edges = triples.select("src", "rel", "dst").distinct()
     ways = F.array(F.struct(F.lit(False).alias("back"), F.col("src").alias("value"), F.col("dst").alias("to")), F.struct(F.lit(True).alias("back"), F.col("dst").alias("value"), F.col("src").alias("to")))
-    hops = edges.select(F.col("rel").alias("relation"), F.explode(ways).alias("w")).select("relation", "w.*").persist(StorageLevel.MEMORY_AND_DISK)
+    hops = edges.select(F.col("rel").alias("relation"), F.explode(ways).alias("w")).select("relation", "w.*")
+    hops = runtime.stored(hops, "hops")
     steps = plans.select("item_id", F.size("ops").alias("n_steps"), F.posexplode("ops").alias("pos", "o"))
     steps = steps.select("item_id", "n_steps", (F.col("pos") + 1).alias("step"), "o.op", "o.relation", "o.entity", "o.ref_step")
-    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
+    steps = runtime.stored(steps, "steps")
     last = max_steps or (steps.agg(F.max("step")).first()[0] or 0)
 
     names = hops.select(F.col("value").alias("entity")).distinct().withColumn("known", F.lit(True))
@@ -52,7 +54,8 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
     loose = seen.where(F.col("entity").isNull() & (F.col("ref_step").isNull() | (F.col("ref_step") < 1) | (F.col("ref_step") >= F.col("step")))).select("item_id", "step", F.lit("bad_reference_or_plan").alias("reason"))
     empty = plans.where(F.coalesce(F.size("ops"), F.lit(0)) < 1).select("item_id", F.lit(1).alias("step"), F.lit("bad_reference_or_plan").alias("reason"))
     failed = unknown.unionByName(loose).unionByName(empty).groupBy("item_id").agg(F.min_by("reason", "step").alias("reason"))
-    sound = steps.join(failed.select("item_id"), "item_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+    failed = runtime.stored(failed, "failed")
+    sound = runtime.stored(steps.join(failed.select("item_id"), "item_id", "left_anti"), "sound")
 
     done: list[DataFrame] = []
     for k in range(1, last + 1):
@@ -65,7 +68,7 @@ def execute(plans: DataFrame, triples: DataFrame, max_steps: int | None = None)
             frontier = given.unionByName(refs.join(earlier, ["item_id", "ref_step"]).drop("ref_step"))
         frontier = frontier.withColumn("back", F.col("op") == REVERSE)
         found = frontier.join(hops, ["value", "relation", "back"]).select("item_id", "n_steps", "step", F.col("to").alias("value"))
-        done.append(found.distinct().persist(StorageLevel.MEMORY_AND_DISK))  # later steps and the answers read it again
+        done.append(runtime.stored(found.distinct(), f"step-{k}"))  # later steps and the answers read it again
     if not done:
         answers = plans.select("item_id", F.lit("").alias("answer")).limit(0)
     else:
