@@ -288,3 +288,11 @@ def test_streaming_scores(spark, tmp_path):
     q = incremental.score_stream(stream, gold).select("question", "exact_match").writeStream.format("memory").queryName("scored").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("scored").collect()] == [("Who?", 1.0)]
+
+
+def test_schemas_of_any_dataset(spark):
+    from hopframe.sources import schemas
+
+    assert spark.createDataFrame([], schemas.enriched("wiki")).columns[-1] == "few_shot_decomposition_wiki"
+    lists = spark.createDataFrame([], schemas.retrieval("wiki")).schema["typed_top_k"].dataType.elementType
+    assert "pool_few_shot_decomposition_wiki" in lists.names and lists.names[-1] == "score"
