@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 _ROOTS: dict[str, str] = {}
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def make_importable(spark: SparkSession) -> None:

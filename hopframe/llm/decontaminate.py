@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+RUN = 1 << 19  # bytes of text that a worker looks at together
 BITS = 18
 WINDOW, STRIDE = 32, 16
 WINDOWS = (8, 16, WINDOW)
@@ -56,7 +57,7 @@ def _weights(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", RUN):
                 h, rows, _, _ = common.word_hashes(*common.text_buffers(part.column(0)))
                 pairs = np.unique(rows * size + (h >> np.uint64(64 - BITS)).astype(np.int64))
                 total[:size] += np.bincount(pairs & (size - 1), minlength=size)
@@ -316,7 +317,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches, shared=shared):
             items, exact, indices = common.told(shared)
             for batch in batches:
-                for part in common.slices(batch, "text"):
+                for part in common.slices(batch, "text", RUN):
                     h, text, _, _ = common.word_hashes(*common.text_buffers(part.column(2)))
                     offsets = np.searchsorted(text, np.arange(part.num_rows + 1))
                     best: dict[tuple[int, int], tuple[float, float]] = dict.fromkeys(exact.copies(h, offsets), (1.0, 1.0))
