@@ -44,7 +44,7 @@ KIND[0x30:0x3A] = DIGIT
 KIND[0x41:0x5B] = KIND[0x61:0x7B] = LETTER
 KIND[0xC3] = LETTER  # with its next byte, a letter of Latin-1; see plain_rows
 KIND[0x80:0xC0] = LETTER
-MOST_PIECES = 1 << 18  # remembered by a worker: 50 MB or so with what sorting them takes
+MOST_PIECES = 500_000  # remembered by a worker, in about 50 MB
 SLOTS = 22
 
 

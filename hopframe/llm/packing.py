@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
         seen = np.zeros(capacity + 1, np.int64)
         schema = pa.schema([("pid", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("local_rank", pa.int64())])
         for batch in batches:
-            for part in common.slices(batch, "text", 1 << 19):
+            for part in common.slices(batch, "text", 1 << 20):
                 ids, bounds = encoding.encode(part.column(2), tokenizer_path, end_id)
                 raw, rows = ids.astype("<u4").tobytes(), []
                 pid = part.column(0)[0].as_py() >> 33
