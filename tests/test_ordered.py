@@ -38,6 +38,21 @@ def test_hot_group_of_intervals(spark):
     assert sorted(map(tuple, got.where("s is null").collect()), key=str) == [(1, None, None, 1), (7, None, 5, 2)]
 
 
+def test_query_on_equal_and_undated_orders(spark, tmp_path):
+    """Equal orders are one interval however ties fall; those without a date, or without a customer, as the SQL has them."""
+    import duckdb
+
+    from hopframe import queries
+
+    rows = [(i, c, d) for i, (c, d) in enumerate([(1, "2000-01-01"), (1, "2000-01-01"), (1, "2000-02-10"), (1, "2001-01-01"), (1, None), (1, None), (2, None), (None, "2000-01-01"), (None, "2000-01-31"), (None, None)])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "to_timestamp_ntz(d) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, queries.interval_merge(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == sorted(con.sql(queries.SQL["interval_merge"]).fetchall(), key=str)
+    assert got.count((1, None, None, 1)) == 2 and (1, "2000-01-01", "2000-04-10", 3) in got
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     data = {"a": rng.standard_normal(5000), "b": np.repeat(2.5, 4000), "c": np.array([1.0, 4.0]), None: np.array([9.0])}
