@@ -22,7 +22,9 @@ parts' sizes differ by an odd number there is a difference. Shingles that no oth
 parts, since they are known to be in no overlap. The join's condition uses the parts folded to 512; the rows that are
 left are filtered by all of them.
 
-Components are exact: every pair that may link is either checked or already connected.
+Components are exact: every pair that may link is either checked or already connected. The numbers of links are counted
+after that, since every link lies within a component: a dense component's sets are compared block by block, as products
+of matrices, a sparse one's by the same prefixes and filters.
 
 Null and blank text has no shingles and no links, and is a component of its own. Repeated rows are one
 class; a null doc_id takes part, but isn't the smallest of a component unless all are null. Very long texts are worked
@@ -265,13 +267,115 @@ def _pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """row_id, doc_id, n_shingles, class (first row of the equal sets), component (first row of it), n_links
-    (the class's checked links to other classes: a spanning set of the component, not every pair in it)."""
+MEMBERS = 512  # sets of a block
+HELD = 1 << 18  # shingles of a block
+COLUMNS = 4096  # shingles that are multiplied at a time
+DENSE = 16  # a component is dense where a pair in so many shares a prefix shingle
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered left with those numbered right."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[token] > 1
+    place = np.cumsum(often > 1) - 1
+    token, own = place[token[shared]], np.repeat(np.arange(len(sets)), sizes)[shared]
+    out = np.zeros((len(left), len(right)), np.float64)
+    order = np.argsort(token, kind="stable")
+    token, own = token[order], own[order]
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, (at, at + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, int(token[-1]) + 1 - at)), np.float32)
+        has[own[a:b], token[a:b] - at] = 1.0
+        out += has[left] @ has[right].T
+    return out
+
+
+def _by_blocks(members: DataFrame, whole: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(class, links) of members (class, component, n, size), each set compared with all of its component: a component is
+    dealt into blocks of about MEMBERS sets and HELD shingles, and a task compares two blocks at a time."""
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(HELD))).cast("int").alias("blocks"))
+    placed = members.join(blocks, "component").withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
+    each = placed.select("component", "class", "size", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    each = each.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "size")
+    each = each.join(whole.select(F.col("row_id").alias("class"), "hashes"), "class").select("component", "i", "j", "block", "class", "size", "hashes")
+
+    def count(rows):
+        block, key, weight = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        sets = [r[3] for r in rows]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        n = np.array([len(x) for x in sets], np.int64)
+        both = overlaps(sets, left, right)
+        linked = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+        linked &= left[:, None] != right[None, :]
+        out = [(key[left], linked @ weight[right])]
+        if block.min() != block.max():
+            out.append((key[right], linked.T @ weight[left]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def links(batches):
+        now, held = None, []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def tell():
+            keys, numbers = (np.concatenate(x) for x in zip(*done))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers.astype(np.int64))], names=["class", "links"])
+
+        def settle():
+            if (now[1] == now[2] or len({r[0] for r in held}) > 1) and len(held) > 1:
+                done.append(count(held))
+
+        for batch in batches:
+            component, i, j, block, key, size = (batch.column(c).to_pylist() for c in range(6))
+            for at, raw in enumerate(batch.column(6)):
+                if (component[at], i[at], j[at]) != now:
+                    if held:
+                        settle()
+                    now, held = (component[at], i[at], j[at]), []
+                held.append((block[at], key[at], size[at], np.frombuffer(raw.as_buffer(), "<u8")))
+            if len(done) > 1000:
+                yield tell()
+        if held:
+            settle()
+        if done:
+            yield tell()
+
+    dealt = each.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return common.stage(dealt.mapInArrow(common.tidy(links), "class long, links long"), "counted")
+
+
+def _count_links(joined: DataFrame, classes: DataFrame, shared: DataFrame, ones: DataFrame, whole: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(class, links): how many documents of other classes link with a class. A link lies within a component. In a
+    dense component all pairs are compared, in a sparse one those that share a prefix shingle and pass the filters."""
+    sized = classes.select("class", "n", "size").join(joined.withColumnRenamed("node", "class"), "class")
+    members = common.stage(sized.select("class", "component", "n", "size"), "members")
+    rows = shared.join(members.select(F.col("class").alias("row_id"), "component"), "row_id")
+    meet = rows.groupBy("component", "token").count().groupBy("component").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("meet"))
+    kinds = members.groupBy("component").count().join(meet, "component", "left")
+    kinds = common.stage(kinds.select("component", (F.coalesce("meet", F.lit(0)) * 2 * DENSE < F.col("count") * (F.col("count") - 1)).alias("sparse")), "kinds")
+    links = _by_blocks(members.join(kinds.where("not sparse").select("component"), "component"), whole, percent, tasks)
+    sparse = kinds.where("sparse").select("component")
+    if sparse.limit(1).count():
+        x = rows.join(sparse, "component")
+        y = x.alias("y")
+        meeting = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") == F.col("y.component")) & (F.col("x.row_id") < F.col("y.row_id"))
+        pairs = x.alias("x").join(y, meeting & _may_link("x.", "y.", percent)).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+        found = _verify(_suffix_filter(pairs, ones, percent), whole, percent)
+        size = members.select("class", "size")
+        ends = found.union(found.select("b", "a")).join(size.withColumnRenamed("class", "b"), "b")
+        links = links.union(ends.select(F.col("a").alias("class"), F.col("size").alias("links")))
+    return links.groupBy("class").agg(F.sum("links").alias("links"))
+
+
+def similar(docs: DataFrame, words: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
+    """row_id, doc_id, n_shingles, class (first row of the equal sets), component (first row of it), n_links (other
+    documents that it links with directly, copies included; without `count` null, for callers that need components
+    alone)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     source = common.with_row_id(docs, "doc_id", "text")
     sets = _prefixes(source, words, percent, _frequencies(source, words))
-    classes = common.stage(sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("row_id").alias("class")), "classes")
+    classes = common.stage(sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("row_id").alias("class"), F.count("*").alias("size")), "classes")
     ones = sets.join(classes.select(F.col("class").alias("row_id")), "row_id", "left_semi")
     shared = common.stage(ones.select("row_id", "n", *MARKS, F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(F.col("p.prefix").alias("token"), "row_id", "n", F.col("p.places").alias("place"), *MARKS), "prefixes")
 
@@ -308,15 +412,23 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         links = rest.limit(0)
     joined = components(links)
 
-    degree = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
-    of_class = of_class.select("n", "sig1", "sig2", "class", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tasks = max(common.scan_partitions(source), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
+    if count:
+        of_class = of_class.join(_count_links(joined, classes, shared, ones, whole, percent, tasks), "class", "left")
+        number = F.col("size") - 1 + F.coalesce("links", F.lit(0))
+    else:
+        number = F.lit(None).cast("long")
+    of_class = of_class.select("n", "sig1", "sig2", "class", F.coalesce("component", "class").alias("component"), number.alias("n_links"))
     rows = sets.select("row_id", "doc_id", "n", "sig1", "sig2").join(of_class, ["n", "sig1", "sig2"], "left")
-    return rows.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "row_id").alias("class"), F.coalesce("component", "row_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) if count else F.col("n_links")
+    return rows.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "row_id").alias("class"), F.coalesce("component", "row_id").alias("component"), n_links.alias("n_links"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: 4-word shingles, Jaccard similarity of 0.85 or more."""
+    """doc_id, n_shingles, component_id of every document: 4-word shingles, Jaccard similarity of 0.85 or more; n_links (other
+    documents it links with) and class_id (smallest doc_id of those with its shingles)."""
     rows = common.stage(similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85), "joined")
-    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "component").select("doc_id", "n_shingles", "component_id", "n_links")
+    names = rows.groupBy("component", "class").agg(F.min("doc_id").alias("class_id"))
+    names = names.join(names.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
+    return rows.join(names.drop("component"), "class").select("doc_id", "n_shingles", "component_id", "n_links", "class_id")

@@ -85,6 +85,31 @@ def test_large_group_of_near_copies_without_its_original(spark, tmp_path, monkey
     assert sum(df.count() for tag, df in made if tag == "rest") < 4 * size
 
 
+def brute_links(rows, words, percent):
+    sets = []
+    for t in rows:
+        w = WORD.findall((t or "").encode().lower())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    linked = lambda a, b: len(a & b) > 0 and 100 * len(a & b) >= percent * len(a | b)
+    return {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("seed", "members", "columns", "dense"), [(1, jaccard.MEMBERS, jaccard.COLUMNS, jaccard.DENSE), (2, 7, 50, 10**6), (3, 7, 50, 0)])
+def test_all_links_are_counted(spark, tmp_path, monkeypatch, seed, members, columns, dense):
+    """A group of near copies, all linked with each other, a chain whose ends aren't linked, copies and odd texts."""
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rng = random.Random(seed)
+    original = [f"w{i}" for i in range(120)]
+    group = [" ".join(f"x{rng.random()}" if i == k * 3 else w for i, w in enumerate(original)) for k in range(40)]
+    chain = [" ".join(f"c{i}" for i in range(k * 4, k * 4 + 100)) for k in range(30)]
+    rows = [*texts(seed, 30), *group, *chain, *group[:3], group[4].upper(), None, "", "one two", "One two"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3).write.parquet(path := f"{tmp_path}/docs")
+    got = {r.doc_id: r.n_links for r in jaccard.similar(spark.read.parquet(path), 4, 85).collect()}
+    assert got == brute_links(rows, 4, 85) and got[30] > 40
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f")], "doc_id long, text string").coalesce(1)
     assert len({r.component for r in jaccard.similar(df).collect()}) == 1
