@@ -277,3 +277,25 @@ def test_names_in_corpus(spark):
 
 def test_tokenize_keeps_punctuation(spark):
     assert spark.range(1).select(text.tokenize(F.lit(" A  b, c"))).first()[0] == ["a", "b,", "c"]
+
+
+def test_labels_of_many_graphs_are_compared_once_and_together(monkeypatch):
+    """The distances of a batch are those of pairs by themselves, and a pair of labels is compared once in a batch."""
+    import random
+
+    rng = random.Random(5)
+    words = ["a", "b", "B", "c", "d", "@@1@@", "@@2@@"]
+    steps = lambda: [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 5))]
+    pred, gold = [steps() for _ in range(150)], [steps() for _ in range(150)]
+    labels = {x for s in (*pred[:30], *gold[:30]) for x in s}
+    got = graphs.label_distances((x, y) for x in labels for y in labels)
+    assert got == pytest.approx({(x, y): graphs.label_distance(x, y) for x in labels for y in labels})
+    alone = [graphs.normalized(p, g) for p, g in zip(pred, gold)]
+    filled = []
+    real = graphs._alignments
+    monkeypatch.setattr(graphs, "_alignments", lambda pairs: filled.append(len(pairs)) or real(pairs))
+    together = [graphs._normalized(*x) for x in graphs.compared(pred, gold, graphs.MAX_NODES)]
+    assert [x[0] for x in together] == pytest.approx([x[0] for x in alone]) and [x[1] for x in together] == [x[1] for x in alone]
+    filled.clear()
+    list(graphs.compared([["a b", "b a"]] * graphs.TOGETHER, [["b c"]] * graphs.TOGETHER))
+    assert filled == [2]
