@@ -81,3 +81,16 @@ def test_too_many_names_are_refused(spark, monkeypatch):
     monkeypatch.setattr(masking, "MOST_NAMES", 2)
     with pytest.raises(ValueError):
         masking.stored_names(spark.createDataFrame([("a",), ("b",), ("c",)], "name string"))
+
+
+def test_texts_are_read_in_runs(monkeypatch):
+    """A batch of any size is worked on by runs of RUN letters, with the results of the whole."""
+    monkeypatch.setattr(automaton, "RUN", 100)
+    known = automaton.Automaton.build(["red", "Red Ring", "bolt"], [0, 1, 0])
+    texts = ["a red ring and a bolt", "", "x" * 250 + " bolt", "redred red"] * 20
+    sizes = []
+    real = automaton.Automaton.find
+    monkeypatch.setattr(automaton.Automaton, "find", lambda self, some: sizes.append((len(some), sum(map(len, some)))) or real(self, some))
+    assert known.replace(texts, ["[T]", "[P]"]) == ["a [P] and a [T]", "", "x" * 250 + " [T]", "redred [T]"] * 20
+    assert known.occurring(texts) == {"red", "red ring", "bolt"} and known.replace([], ["", ""]) == []
+    assert len(sizes) > 40 and all(n == 1 or size <= 100 for n, size in sizes)
