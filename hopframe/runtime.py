@@ -14,13 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOTS: dict[str, str] = {}
 
 
+BATCH_BYTES = 1 << 20
+
+
 def make_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by sys.path alone. On a cluster it is installed
-    or shipped with --py-files; then this changes nothing."""
+    """Let Python workers import this package when the driver found it by sys.path alone (on a cluster it is installed or
+    shipped with --py-files; then this changes nothing), and send them batches of at most BATCH_BYTES (the session's own
+    setting where that is less): ten thousand long texts would be a batch otherwise, held by each worker."""
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(setting).lower().removesuffix("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(setting, BATCH_BYTES)
 
 
 def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -296,3 +296,20 @@ def test_schemas_of_any_dataset(spark):
     assert spark.createDataFrame([], schemas.enriched("wiki")).columns[-1] == "few_shot_decomposition_wiki"
     lists = spark.createDataFrame([], schemas.retrieval("wiki")).schema["typed_top_k"].dataType.elementType
     assert "pool_few_shot_decomposition_wiki" in lists.names and lists.names[-1] == "score"
+
+
+def test_batches_of_long_texts_are_small(spark, tmp_path):
+    """Queries of whole texts get batches of about a megabyte, not of ten thousand rows."""
+    from hopframe import queries, runtime
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "256m")
+    spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 2000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        assert runtime.ready(queries.embed_texts)(spark, str(tmp_path)).count() == 300
+        size = F.pandas_udf(lambda x: x.map(lambda _: len(x)), "long")  # rows of the batch
+        most = spark.read.parquet(f"{tmp_path}/documents.parquet").select(size("text").alias("k")).agg(F.max("k")).first()[0]
+        assert most <= 2 * runtime.BATCH_BYTES / 22_000 and int(spark.conf.get(setting)) == runtime.BATCH_BYTES
+    finally:
+        spark.conf.set(setting, before)
