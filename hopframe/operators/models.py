@@ -98,8 +98,10 @@ def run_steps(items: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> Dat
     done = None
     for k in range(1, (state.agg(F.max(F.size("steps"))).first()[0] or 0) + 1):
         step = F.coalesce(F.get("steps", F.lit(k - 1)), F.lit(""))
-        now = state.where(F.size("steps") >= k).withColumn("s", substitute(step, F.col("answers")))
-        now = now.select("item_id", "steps", "answers", F.col("s").getField("text").alias("prompt"), F.col("s").getField("unresolved").alias("unresolved"))
+        now = state.where(F.size("steps") >= k)
+        put, refers = substitute(step, F.col("answers")), F.contains(step, F.lit("#"))  # most texts refer to nothing
+        text, open_ = F.when(refers, put["text"]).otherwise(step), F.when(refers, put["unresolved"]).otherwise(F.array().cast("array<int>"))
+        now = now.select("item_id", "steps", "answers", text.alias("prompt"), open_.alias("unresolved"))
         said = answer(now.select("prompt").distinct()).select(F.col("prompt").alias("\x00prompt"), F.coalesce("answer", F.lit("")).alias("answer"), "error")
         made = runtime.stored(now.join(said, F.col("prompt") == F.col("\x00prompt"), "left").withColumn("answer", F.coalesce("answer", F.lit(""))).drop("\x00prompt"), f"step-{k}")
         state = made.select("item_id", "steps", F.concat("answers", F.array("answer")).alias("answers"))

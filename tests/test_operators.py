@@ -313,3 +313,15 @@ def test_batches_of_long_texts_are_small(spark, tmp_path):
         assert most <= 2 * runtime.BATCH_BYTES / 22_000 and int(spark.conf.get(setting)) == runtime.BATCH_BYTES
     finally:
         spark.conf.set(setting, before)
+
+
+def test_steps_without_references_are_not_looked_through(spark, monkeypatch):
+    from hopframe.functions import plans
+    from hopframe.operators import models
+
+    real = plans.substitute
+    monkeypatch.setattr(plans, "substitute", lambda text, answers: real(F.when(F.contains(text, F.lit("#")), text).otherwise(F.raise_error(F.lit("refers to nothing"))), answers))
+    items = spark.createDataFrame([(1, ["who", "where is [#1] of #9", "[#1"]), (2, ["what"])], "item_id long, steps array<string>")
+    got = models.run_steps(items, lambda p: p.select("prompt", F.upper("prompt").alias("answer"), F.lit(None).cast("string").alias("error")))
+    rows = {(r.item_id, r.step): (r.prompt, r.unresolved) for r in got.collect()}
+    assert rows == {(1, 1): ("who", []), (1, 2): ("where is WHO of #9", [9]), (1, 3): ("[#1", [1]), (2, 1): ("what", [])}
