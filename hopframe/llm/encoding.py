@@ -46,6 +46,7 @@ KIND[0xC3] = LETTER  # with its next byte, a letter of Latin-1; see plain_rows
 KIND[0x80:0xC0] = LETTER
 MOST_PIECES = 500_000  # remembered by a worker, in about 50 MB
 SLOTS = 22
+RUN_WORDS = 64
 
 
 def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -78,17 +79,53 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
+def word_marks(model) -> tuple[np.ndarray, bool]:
+    """Which ids end a word (True) or, in models that mark no ends, begin with a space (False), as far as the vocabulary says."""
+    suffix = getattr(model.model, "end_of_word_suffix", None)
+    vocabulary = model.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    out[[i for token, i in vocabulary.items() if (token.endswith(suffix) if suffix else token.startswith("Ġ"))]] = True
+    return out, bool(suffix)
+
+
 class Pieces:
     """Ids of the pieces met so far, found by 64-bit hash; the library makes those of new ones."""
 
     def __init__(self, model):
         self.model = model
+        self.marks, self.mark_ends = word_marks(model)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.again = np.empty(0, bool)
         self.ids = np.empty(0, np.uint32)
-        self.slots = np.zeros(1 << SLOTS, np.int32)
+        self.place(0)
+
+    def place(self, n: int) -> None:
+        """Give the pieces from the n-th on slots by their keys' upper bits; those whose slot is taken are found by search."""
+        if not n:
+            self.slots = np.full(1 << SLOTS, -1, np.int32)
+            self.crowded, self.crowded_keys = np.empty(0, np.int32), np.empty(0, np.uint64)
+        slot = (self.keys[n:] >> np.uint64(64 - SLOTS)).astype(np.int64)
+        own = np.arange(n, len(self.keys), dtype=np.int32)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = own[free]
+        every = np.concatenate((self.crowded, own[self.slots[slot] != own]))
+        self.crowded = every[np.argsort(self.keys[every])]
+        self.crowded_keys = self.keys[self.crowded]
+
+    def forget(self, room: int) -> None:
+        """Make room: pieces that weren't met again since the last time go, all of them where that isn't enough."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) + room > MOST_PIECES:
+            self.clear()
+            return
+        count = self.count[keep]
+        first = np.cumsum(count) - count
+        self.ids = self.ids[np.repeat(self.first[keep] - first, count) + np.arange(count.sum())]
+        self.keys, self.first, self.count, self.again = self.keys[keep], first, count, np.zeros(len(keep), bool)
+        self.place(0)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 for unknown ones."""
@@ -97,22 +134,52 @@ class Pieces:
         at = self.slots[(keys >> np.uint64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
         lost = np.flatnonzero(self.keys[at] != keys)
         if len(lost):  # another key has the slot, or it is new
-            k = keys[lost]
-            i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            at[lost] = np.where(self.keys[i] == k, i, -1)
+            at[lost] = -1
+            if len(self.crowded):
+                i = np.minimum(np.searchsorted(self.crowded_keys, keys[lost]), len(self.crowded) - 1)
+                at[lost] = np.where(self.crowded_keys[i] == keys[lost], self.crowded[i], -1)
         return at
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def library(self, texts: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of texts, end to end, and the number of ids of each."""
         ids: list[list[int]] = []
-        for at in range(0, len(texts), 20_000):  # the library's results are many times larger than their ids
-            ids += [x.ids for x in self.model.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(texts), most):  # the library's results are many times larger than their ids
+            ids += [x.ids for x in self.model.encode_batch_fast(texts[at : at + most], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))))
-        every = np.concatenate((self.keys, keys))
-        order = np.argsort(every)
-        self.keys, self.first, self.count = every[order], np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
-        self.slots[(self.keys >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count
+
+    def words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for pieces of a space and letters. Each is one pre-token wherever it stands, so the library gets
+        RUN_WORDS of them as one text (a text costs it more than a word does), and the marks of its ids tell them apart.
+        None if there aren't as many marks as words."""
+        ends = np.cumsum(size)
+        raw = data[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        stop = [*ends[RUN_WORDS - 1 :: RUN_WORDS].tolist(), len(raw)]
+        ids, _ = self.library([raw[a:b].decode() for a, b in zip([0, *stop], stop)], 20_000 // RUN_WORDS)
+        marked = np.flatnonzero(self.marks[ids])
+        if len(marked) != len(start):
+            return None
+        return ids, np.diff(marked, prepend=-1) if self.mark_ends else np.diff(marked, append=len(ids))
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Remember the new pieces data[start:stop]."""
+        others = np.flatnonzero(KIND[data] != LETTER)
+        word = (data[start] == 0x20) & (stop - start > 1) & (np.searchsorted(others, stop) - np.searchsorted(others, start) == 1)
+        one = np.flatnonzero(word)
+        together = self.words(data, start[one], (stop - start)[one]) if len(one) else None
+        rest = np.flatnonzero(~word) if together else np.arange(len(keys))
+        raw = data.tobytes()
+        ids, count_rest = self.library([raw[a:b].decode() for a, b in zip(start[rest].tolist(), stop[rest].tolist())], 20_000)
+        count, first = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        count[rest], first[rest] = count_rest, np.cumsum(count_rest) - count_rest
+        if together:
+            count[one], first[one] = together[1], len(ids) + np.cumsum(together[1]) - together[1]
+            ids = np.concatenate((ids, together[0]))
+        n = len(self.keys)
+        self.first, self.count = np.concatenate((self.first, len(self.ids) + first)), np.concatenate((self.count, count))
+        self.keys, self.again = np.concatenate((self.keys, keys)), np.concatenate((self.again, np.zeros(len(keys), bool)))
+        self.ids = np.concatenate((self.ids, ids))
+        self.place(n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, end to end, and the number of ids of each."""
@@ -132,20 +199,22 @@ class Pieces:
             at = to
         place = self.find(key)
         new = np.flatnonzero(place < 0)
+        self.again[place[place >= 0]] = True
         if len(new):
-            kinds, pick = np.unique(key[new], return_index=True)
+            kinds, pick, kind = np.unique(key[new], return_index=True, return_inverse=True)
             if len(self.keys) + len(kinds) > MOST_PIECES:
-                self.clear()
-                kinds, pick = np.unique(key, return_index=True)
-                new = np.arange(len(key))
-            raw = data.tobytes()
-            self.learn(kinds, [raw[start[i] : stop[i]].decode() for i in new[pick]])
-            place = self.find(key)
+                self.forget(len(kinds))
+                place = self.find(key)
+                new = np.flatnonzero(place < 0)
+                kinds, pick, kind = np.unique(key[new], return_index=True, return_inverse=True)
+            place[new] = len(self.keys) + kind
+            self.learn(kinds, data, start[new[pick]], stop[new[pick]])
         count = self.count[place]
-        ends = np.cumsum(count)
-        ids = self.ids[np.repeat(self.first[place] - (ends - count), count) + np.arange(int(ends[-1]))]
-        of_text = np.searchsorted(offsets, start, "right") - 1
-        return ids, np.bincount(of_text, weights=count, minlength=len(offsets) - 1).astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(self.first[place] - before[:-1], count)
+        at += np.arange(len(at))
+        first = before[np.searchsorted(start, offsets)]  # every text starts a piece
+        return self.ids[at], np.diff(first)
 
 
 _PIECES: dict[str, Pieces] = common.held({})

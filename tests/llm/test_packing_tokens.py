@@ -29,6 +29,54 @@ def test_remembered_pieces_are_the_librarys_ids(name, end):
     assert all(list(ids[bounds[i] : bounds[i + 1]]) == [*w.ids, end] for i, w in enumerate(want))
 
 
+class Counted:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, name):
+        self.real, self.texts = encoding.tokenizer(encoding.public_path(name)), []
+        self.model, self.get_vocab = self.real.model, self.real.get_vocab
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.real.encode_batch_fast(texts, **options)
+
+
+def encoded(pieces, texts):
+    ids, count = pieces.encode(*common.text_buffers(pa.array(texts)))
+    want = [x.ids for x in pieces.model.real.encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(count)
+    return [ids[e - n : e].tolist() for e, n in zip(ends, count)] == want
+
+
+def made_up(rng, n):
+    return ["".join(rng.choice("abcdeghiklmnorstuvwzABEéßñ") for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@pytest.mark.parametrize("marks", [True, False])
+def test_new_words_go_to_the_library_together(name, marks):
+    rng, model = random.Random(7), Counted(name)
+    pieces = encoding.Pieces(model)
+    if not marks:  # a vocabulary that doesn't tell words apart: one by one, with the same ids
+        pieces.marks[:] = False
+    texts = ["", *(" ".join(made_up(rng, k)) for k in (1, 2, 63, 64, 65, 128, 129, 3000)), "", "it's  2nd,word\nÉtat 7x\n"]
+    assert encoded(pieces, texts)
+    assert len(model.texts) < 200 if marks else len(model.texts) > 3000
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_words_met_again_stay_when_memory_is_full(name, monkeypatch):
+    monkeypatch.setattr(encoding, "MOST_PIECES", 400)
+    rng, model = random.Random(8), Counted(name)
+    pieces, common_words = encoding.Pieces(model), ["Zebra", *made_up(rng, 100)]
+    for _ in range(20):
+        assert encoded(pieces, ["; ".join([*common_words, *made_up(rng, 60)]), "a " + " ".join(common_words)])
+        assert len(pieces.keys) <= 400
+    given = " ".join(model.texts).split()
+    assert given.count(common_words[3]) <= 2  # with and without the mark after it
+    assert encoded(pieces, [" ".join(made_up(rng, 3000))]) and encoded(pieces, [" ".join(common_words)])  # more than memory holds, at once
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 31])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
