@@ -16,6 +16,9 @@
    surroundings must cover LCS_SHARE of the item, and ANSWER_SHARE of its answer (what follows "answer:", else the
    rarest quarter of its words) must be there. Paraphrases with changed or moved words pass; texts on the
    same matters don't.
+5. What passes 4 isn't left to the cosine, which falls below COSINE where the words kept are the common ones: windows that
+   the search didn't give are verified too if their surroundings hold as many of the item's words, and of its rarest
+   ones, as 4 asks for. So all windows that pass 4 are found, and shares are the best of all windows.
 
 Items are worked on in blocks of about BLOCK passages, so what workers are told doesn't grow with the benchmark; documents
 are read once for each block. A block of more than RANK passages has several groups (an item's passages may be in two).
@@ -48,6 +51,7 @@ LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST = 5
 BLOCK = 512
 FEW = 4
+PAIRS = 1 << 19  # of words and items that a worker looks at together
 
 
 def _weights(docs: DataFrame) -> np.ndarray:
@@ -208,6 +212,122 @@ class Exact:
         return found
 
 
+class Rest:
+    """Finds the windows that can pass `Item.matches`, whatever their cosine, and loses none that do.
+
+    Of an item's k rarest words at most as many are missing as LCS_SHARE lets be missing of all, and of its answer's words
+    ANSWER_SHARE is there. For each item that of these signs is looked for which is expected to give the fewest windows;
+    where enough of them are within reach of a window, all words of the item, and of its answer, are counted there. Items under LEAST words
+    have no signs."""
+
+    def __init__(self, items: list[Item], idf: np.ndarray):
+        self.length = np.array([len(x.words) for x in items])
+        self.window = np.array([window_of(n) for n in self.length])
+        self.need = np.ceil(LCS_SHARE * self.length - 1e-9).astype(np.int64)
+        self.reach = self.window + 2 * self.length  # words that a window and its surroundings have
+        self.vocabulary = np.unique(np.concatenate([x.words for x in items]))
+        self.known = self._keys([x.words for x in items])
+        self.answer = np.isin(self.known, self._keys([x.answer for x in items]))
+        self.answers = np.array([math.ceil(ANSWER_SHARE * len(x.answer)) for x in items])
+        share = np.exp(-idf) / np.exp(-idf).sum()  # of all words, about; says what costs least, not what is found
+        self.least = np.zeros(len(items), np.int64)
+        signs, owners = [], []
+        for k, item in enumerate(items):
+            if len(item.words) >= LEAST:
+                words, self.least[k] = self._signs(item, share, int(self.need[k]), int(self.reach[k]), int(self.window[k]) // 2)
+                signs.append(words)
+                owners.append(np.full(len(words), k))
+        signs, owners = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((signs, np.uint64), (owners, np.int64)))
+        order = np.argsort(signs, kind="stable")
+        self.owner = owners[order]
+        self.signs, self.first, self.n = np.unique(signs[order], return_index=True, return_counts=True)
+        self.mark = np.zeros(1 << BITS, bool)
+        self.mark[bucket(self.signs)] = True
+
+    def _keys(self, words: list[np.ndarray]) -> np.ndarray:
+        owner = np.repeat(np.arange(len(words)), [len(x) for x in words])
+        return np.unique(owner * len(self.vocabulary) + np.searchsorted(self.vocabulary, np.concatenate(words)))
+
+    @staticmethod
+    def _signs(item: Item, share: np.ndarray, need: int, reach: int, stride: int) -> tuple[np.ndarray, int]:
+        """Words, and how many of their places a window and its surroundings must have."""
+        weight = share[bucket(item.words)]
+        order = np.lexsort((item.words, weight))
+        words, weight = item.words[order], weight[order]
+        new = np.ones(len(words), bool)
+        new[1:] = words[1:] != words[:-1]
+        missing = len(words) - need
+        # the first missing + c of them have c that are there, for each c; the last option is the answer
+        c = np.append(np.arange(1, need + 1), math.ceil(ANSWER_SHARE * len(item.answer)))
+        often = np.append(np.cumsum(weight * new)[missing:], share[bucket(item.answer)].sum())
+        factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(c) + 1)))))
+        windows = np.exp(np.minimum(c * np.log(reach * often) - factorial[c], 0.0))
+        best = int((often + windows * reach / stride).argmin())
+        return (item.answer if best == need else np.unique(words[: missing + best + 1])), int(c[best])
+
+    def candidates(self, h: np.ndarray, offsets: np.ndarray):
+        """(text, first word of the window, its end, item, how many of its surroundings' words are the item's)."""
+        place = np.flatnonzero(self.mark[bucket(h)])
+        at = np.searchsorted(self.signs, h[place])
+        same = self.signs[np.minimum(at, len(self.signs) - 1)] == h[place] if len(place) else np.empty(0, bool)
+        place, at = place[same], at[same]
+        pairs = np.cumsum(self.n[at])
+        a = 0
+        while a < len(place):
+            b = max(a + 1, int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + PAIRS, "right")))
+            yield from self._some(h, offsets, place, at, a, b)
+            a = b
+
+    def _some(self, h, offsets, place, at, a, b):
+        """Those whose first sign is one of a to b."""
+        c = int(np.searchsorted(place, place[b - 1] + self.reach.max()))
+        n = self.n[at[a:c]]
+        item = self.owner[np.repeat(self.first[at[a:c]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.argsort(item, kind="stable")
+        item, begin = item[order], np.repeat(place[a:c], n)[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        end, length, window = begin[inside], self.length[item], self.window[item]
+        text = np.searchsorted(offsets, begin, "right") - 1
+        keep = (last == inside) & (item[inside] == item) & (end < offsets[text + 1]) & (end - begin < self.reach[item]) & (begin <= place[b - 1])
+        item, begin, end, text, length, window = (x[keep] for x in (item, begin, end, text, length, window))
+        # windows are numbered within their text; those of one item and text go up
+        stride, first, size = window // 2, offsets[text], offsets[text + 1] - offsets[text]
+        low = np.maximum(-(-(end - window - length + 1 - first) // stride), 0)
+        high = np.minimum((begin + length - first) // stride, np.maximum(-(-(size - stride) // stride), 1) - 1)
+        again = np.zeros(len(item), bool)
+        again[1:] = (item[1:] == item[:-1]) & (text[1:] == text[:-1])
+        low[1:] = np.where(again[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        keep = low <= high
+        item, text, low, high, length, window, stride, first, again = (x[keep] for x in (item, text, low, high, length, window, stride, first, again))
+        # stretches of windows, whose words are looked up once
+        begin = np.maximum(first, first + stride * low - length)
+        end = np.minimum(offsets[text + 1], first + stride * high + window + length)
+        total = np.cumsum(end - begin)
+        at = 0
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            k = slice(at, to)
+            width = end[k] - begin[k]
+            base = np.cumsum(width) - width
+            words = h[np.repeat(begin[k] - base, width) + np.arange(width.sum())]
+            word = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+            key = np.repeat(item[k], width) * len(self.vocabulary) + word
+            place = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+            own = (self.vocabulary[word] == words) & (self.known[place] == key)
+            sums, answers = (np.concatenate(([0], np.cumsum(x))) for x in (own, own & self.answer[place]))
+            n = high[k] - low[k] + 1
+            of = np.repeat(np.arange(at, to), n)
+            start = first[of] + stride[of] * (low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            stop = np.minimum(start + window[of], offsets[text[of] + 1])
+            shift = base[of - at] - begin[of]
+            left, right = np.maximum(start - length[of], begin[of]) + shift, np.minimum(stop + length[of], end[of]) + shift
+            held = sums[right] - sums[left]
+            live = (held >= self.need[item[of]]) & (answers[right] - answers[left] >= self.answers[item[of]])
+            yield from zip(*(x[live].tolist() for x in (text[of], start, stop, item[of], held)))
+            at = to
+
+
 class Index:
     """One group of passages in latent space."""
 
@@ -312,22 +432,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = [x for x in (Item(r.item_id, r.text, idf) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))) if len(x.words)]
         if not held:
             continue
-        shared = common.tell(spark, (held, Exact(held, idf), [Index(spark, group, idf) for group in groups(held)]), "block")
+        shared = common.tell(spark, (held, Exact(held, idf), [Index(spark, group, idf) for group in groups(held)], Rest(held, idf)), "block")
 
         def search(batches, shared=shared):
-            items, exact, indices = common.told(shared)
+            items, exact, indices, rest = common.told(shared)
             for batch in batches:
                 for part in common.slices(batch, "text", RUN):
                     h, text, _, _ = common.word_hashes(*common.text_buffers(part.column(2)))
                     offsets = np.searchsorted(text, np.arange(part.num_rows + 1))
                     best: dict[tuple[int, int], tuple[float, float]] = dict.fromkeys(exact.copies(h, offsets), (1.0, 1.0))
-                    for _, row, start, end, k in (c for index in indices for c in index.candidates(h, offsets)):
+                    seen = set()
+
+                    def verify(row, start, end, k):
                         item = items[k]
                         reach = len(item.words)
                         region = h[max(offsets[row], start - reach) : min(offsets[row + 1], end + reach)]
+                        if found := item.matches(region):
+                            best[row, k] = max(best.get((row, k), found), found)
+
+                    for _, row, start, end, k in (c for index in indices for c in index.candidates(h, offsets)):
                         if (row, k) not in best or best[row, k][0] < 1:
-                            if found := item.matches(region):
-                                best[row, k] = max(best.get((row, k), found), found)
+                            seen.add((start, k))
+                            verify(row, start, end, k)
+                    for row, start, end, k, n in rest.candidates(h, offsets):
+                        so_far = best.get((row, k), (0.0,))[0]
+                        if so_far < 1 and n / len(items[k].words) >= so_far and (start, k) not in seen:
+                            verify(row, start, end, k)
                     if best:
                         ids, names = part.column(0).to_pylist(), part.column(1).to_pylist()
                         cols = zip(*((ids[r], names[r], items[k].item_id, a, b) for (r, k), (a, b) in sorted(best.items())))

@@ -286,6 +286,65 @@ def test_leaks_of_short_items(spark):
     assert sum((124 + k, i) in got for k, i in enumerate(kept)) >= 0.9 * len(kept)
 
 
+def _best_windows(items, texts):
+    """The best shares of every text and item over all windows, whatever their cosine."""
+    best = {}
+    for d, h in enumerate(texts):
+        for k, item in enumerate(items):
+            n = len(item.words)
+            w = decontaminate.window_of(n)
+            for start in range(0, max(len(h) - w // 2, 1), w // 2) if n >= decontaminate.LEAST else ():
+                if found := item.matches(h[max(0, start - n) : min(start + w, len(h)) + n]):
+                    best[d, k] = max(best.get((d, k), found), found)
+    return best
+
+
+def _rare_ones_replaced(seed, n_items):
+    """Items, and texts that hold them with the rarest half of their answer's words and others of the rare ones replaced."""
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(3000)]
+    say = lambda n, share: [rng.choice(rare if rng.random() < share else common) for _ in range(n)]
+    items = [say(5 + i * 7 % 60, 0.35) for i in range(n_items)]
+    soft = [[rng.choice(rare) if x[0] == "r" and rng.random() < 0.6 else x for x in t] for t in items]
+    long = [y for t in soft for y in say(30, 0.5) + t]
+    rows = [say(40, 0.5) + t + say(40, 0.5) for t in soft] + [say(200, 0.1) for _ in range(20)] + [t[: len(t) // 2] for t in items[::5]] + [long, [], ["c1"]]
+    return [" ".join(t) for t in items] + ["c1 r1 c2"], [" ".join(t) for t in rows]
+
+
+def test_leaks_below_the_cosine(spark):
+    items, rows = _rare_ones_replaced(13, 45)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    idf = decontaminate._weights(docs)
+    words = lambda t: decontaminate.Item(0, t, idf).words
+    want = _best_windows([decontaminate.Item(i, t, idf) for i, t in enumerate(items)], [words(t) for t in rows])
+    got = {(r.doc_id, r.item_id): (r.lcs_share, r.answer_share) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 20 and got == want
+
+
+@pytest.mark.parametrize("pairs", [1 << 19, 300])
+def test_rest_loses_no_window(monkeypatch, pairs):
+    """Also in small runs, whose stretches of words begin and end within texts; every window comes once."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    items, rows = _rare_ones_replaced(14, 24)
+    rng = np.random.default_rng(14)
+    for idf in (np.ones(1 << decontaminate.BITS), rng.uniform(0.1, 8, 1 << decontaminate.BITS)):
+        held = [decontaminate.Item(i, t + (" answer: c1 c2" if i % 7 == 0 else ""), idf) for i, t in enumerate(items)]
+        texts = [decontaminate.Item(0, t, idf).words for t in rows]
+        offsets = np.cumsum([0, *map(len, texts)])
+        best, seen = {}, []
+        for row, start, end, k, n in decontaminate.Rest(held, idf).candidates(np.concatenate(texts), offsets):
+            seen.append((start, k))
+            region = texts[row][max(0, start - offsets[row] - len(held[k].words)) : end - offsets[row] + len(held[k].words)]
+            assert n == np.isin(region, held[k].words).sum()
+            if found := held[k].matches(region):
+                best[row, k] = max(best.get((row, k), found), found)
+        assert best == _best_windows(held, texts) and len(best) > 20
+        assert pairs < 1000 or len(seen) == len(set(seen))
+    none = decontaminate.Rest([decontaminate.Item(0, "too short", idf)], idf)
+    assert list(none.candidates(texts[0], np.array([0, len(texts[0])]))) == [] == list(none.candidates(texts[0][:0], np.array([0, 0])))
+
+
 def test_passages_keep_their_norm(spark):
     rng = random.Random(10)
     idf = np.ones(1 << decontaminate.BITS)
