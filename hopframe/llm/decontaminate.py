@@ -111,6 +111,8 @@ class Item:
         answer = float(np.isin(self.answer, region).mean())
         if answer < ANSWER_SHARE:
             return None
+        if len(self.words) > 256 and np.isin(self.words, region).mean() < LCS_SHARE:  # much faster there than a subsequence
+            return None
         share = lcs(self.words, region) / len(self.words)
         return (share, answer) if share >= LCS_SHARE else None
 
@@ -217,8 +219,8 @@ class Rest:
 
     Of an item's k rarest words at most as many are missing as LCS_SHARE lets be missing of all, and of its answer's words
     ANSWER_SHARE is there. For each item that of these signs is looked for which is expected to give the fewest windows;
-    where enough of them are within reach of a window, all words of the item, and of its answer, are counted there. Items under LEAST words
-    have no signs."""
+    where enough of them are within reach of a window, all words of the item, and of its answer, are counted there. Items
+    under LEAST words have no signs."""
 
     def __init__(self, items: list[Item], idf: np.ndarray):
         self.length = np.array([len(x.words) for x in items])
@@ -299,8 +301,13 @@ class Rest:
         again[1:] = (item[1:] == item[:-1]) & (text[1:] == text[:-1])
         low[1:] = np.where(again[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])
         keep = low <= high
-        item, text, low, high, length, window, stride, first, again = (x[keep] for x in (item, text, low, high, length, window, stride, first, again))
+        item, text, low, high, length, window, stride, first = (x[keep] for x in (item, text, low, high, length, window, stride, first))
         # stretches of windows, whose words are looked up once
+        part = low // np.maximum(PAIRS // stride, 1)
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1] + 1) | (part[1:] != part[:-1])
+        high = np.maximum.reduceat(high, np.flatnonzero(new)) if len(item) else high
+        item, text, low, length, window, stride, first = (x[new] for x in (item, text, low, length, window, stride, first))
         begin = np.maximum(first, first + stride * low - length)
         end = np.minimum(offsets[text + 1], first + stride * high + window + length)
         total = np.cumsum(end - begin)
